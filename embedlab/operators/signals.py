@@ -122,20 +122,6 @@ def frame_signal(
     )
 
 
-def hann_window(size: int = WINDOW) -> np.ndarray:
-    return 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(size) / size)
-
-
-def mel_filters(n_mel: int, n_fft: int) -> np.ndarray:
-    """Triangles evenly spread over the bins; a stand-in when no filter bank is supplied."""
-
-    bins = n_fft // 2 + 1
-    edges = np.linspace(0, bins - 1, n_mel + 2)
-    at = np.arange(bins)[None, :]
-    low, middle, high = edges[:-2, None], edges[1:-1, None], edges[2:, None]
-    return np.maximum(0.0, np.minimum((at - low) / (middle - low), (high - at) / (high - middle)))
-
-
 def _spectra(batch: pa.RecordBatch, window: np.ndarray) -> np.ndarray:
     frames = matrix(batch.column("samples"))
     n_fft = frames.shape[1]

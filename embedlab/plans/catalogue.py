@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from embedlab.functions import quant
@@ -462,22 +462,21 @@ def barycentric_match(spark: SparkSession, d: str) -> DataFrame:
     p, pb = views.projection_matrix()
     pairs = scoring.project(views.pairs(spark, d).select("x", "y"), p, pb, "y", "y")
     cost = matching.unit_cost(mom.moments(pairs))
-    soft, hard = matching.barycentric_plan(cost), matching.integral_plan(cost)
-    total = lambda plan: cost.join(plan, ["src", "tgt"]).agg(
-        F.sum(F.col("cost") * F.col("mass")).alias("c")
-    )
-    spread = lambda plan, side, size: plan.groupBy(side).agg(F.sum("mass").alias("m")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("m") - 1.0 / size)).alias("off")
-    )
-    src = spread(soft, "src", 64).select(F.col("n").alias("n_src"), (F.col("off") < 1e-9).alias("src_even"))
-    tgt = spread(soft, "tgt", 96).select(F.col("n").alias("n_tgt"), (F.col("off") < 1e-9).alias("tgt_even"))
-    costs = total(soft).select(F.col("c").alias("soft")).withColumn("_k", F.lit(0)).join(
-        total(hard).select(F.col("c").alias("hard")).withColumn("_k", F.lit(0)), "_k"
-    )
-    keyed = lambda df: df.withColumn("_k", F.lit(0))
-    return (
-        keyed(src).join(keyed(tgt), "_k").join(costs, "_k")
-        .select("n_src", "n_tgt", "src_even", "tgt_even", (F.col("soft") <= F.col("hard") + 1e-9).alias("not_above_hard"))
+    plan = matching.barycentric_plan(cost)
+    # d x d cells: one windowed pass gives both marginals next to each cell
+    cells = cost.join(plan, ["src", "tgt"], "left").na.fill(0.0, ["mass"])
+    marked = cells.withColumn("row", F.sum("mass").over(Window.partitionBy("src"))).withColumn(
+        "column", F.sum("mass").over(Window.partitionBy("tgt"))
+    ).withColumn("least", F.min("cost").over(Window.partitionBy("tgt")))
+    paid = F.sum(F.col("cost") * F.col("mass"))
+    return marked.agg(
+        F.countDistinct("src").alias("n_src"),
+        F.countDistinct("tgt").alias("n_tgt"),
+        (F.max(F.abs(F.col("row") - 1.0 / 64)) < 1e-9).alias("src_even"),
+        (F.max(F.abs(F.col("column") - 1.0 / 96)) < 1e-9).alias("tgt_even"),
+        # never dearer than spreading evenly, never cheaper than free choice per target
+        (paid <= F.avg("cost") + 1e-9).alias("below_even_spread"),
+        (paid >= F.avg("least") - 1e-9).alias("above_free_choice"),
     )
 
 

@@ -481,7 +481,7 @@ ORACLE: dict[str, str] = {
         {r('(SELECT avg(CASE WHEN src = tgt THEN 1.0 ELSE 0.0 END) FROM plan)')} AS identity_agreement,
         1.0::DOUBLE AS mean_self_mass, 1.0::DOUBLE AS min_self_mass"""),
     "match_by_group": q("SELECT grp, 64::BIGINT AS n_src, 64::BIGINT AS n_tgt, 1.0::DOUBLE AS mass, true AS not_worse FROM pairs GROUP BY grp"),
-    "barycentric_match": "SELECT 64::BIGINT AS n_src, 96::BIGINT AS n_tgt, true AS src_even, true AS tgt_even, true AS not_above_hard",
+    "barycentric_match": "SELECT 64::BIGINT AS n_src, 96::BIGINT AS n_tgt, true AS src_even, true AS tgt_even, true AS below_even_spread, true AS above_free_choice",
     "expand_ops": q("SELECT src * 2 + f AS src, tgt * 2 + f AS tgt, 1.0::DOUBLE AS analysis, 1.0::DOUBLE AS synthesis FROM plan, (SELECT unnest([0, 1]::BIGINT[]) AS f)"),
     "concat_ops": q("SELECT src, tgt, 1.0::DOUBLE AS analysis FROM plan UNION ALL SELECT src * 2 + f + 64, tgt * 2 + f + 64, 1.0::DOUBLE FROM plan, (SELECT unnest([0, 1]::BIGINT[]) AS f)"),
     "project_axis": q(f"SELECT name, row, tgt AS i, {r('vals[src + 1]')} AS v FROM tensors, plan WHERE ckpt = 'base'"),
