@@ -199,10 +199,18 @@ def _arrow_moments(pairs, by, x, y, full_yy, max_partials) -> DataFrame:
 
 
 def sum_cells(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Array rows to summed cells ``(by..., kind, i, j, v)``."""
+    """Array rows to summed cells ``(by..., kind, i, j, v)``.
 
-    cells = rows.select(*by, "kind", "i", F.posexplode("row").alias("j", "v"))
-    summed = cells.groupBy(*by, "kind", "i", "j").agg(F.sum("v").alias("v"))
+    Input partitions that saw vectors of different widths fail here.
+    """
+
+    cells = rows.select(*by, "kind", "i", F.size("row").alias("_w"), F.posexplode("row").alias("j", "v"))
+    summed = cells.groupBy(*by, "kind", "i", "j").agg(
+        F.sum("v").alias("v"), F.min("_w").alias("_narrow"), F.max("_w").alias("_wide")
+    )
+    uneven = F.raise_error(F.lit("vector widths differ between partitions")).cast("boolean")
+    same = F.when(F.col("_narrow") == F.col("_wide"), F.lit(True)).otherwise(uneven)
+    summed = summed.filter(same)
     down = F.col("i") < 0
     return summed.select(
         *by,

@@ -50,12 +50,25 @@ def dense_positions(
     )
 
 
-def nth_key(keys: DataFrame, column: str, n: int, total: int) -> DataFrame:
-    """One row: the ``n``-th (one-based) of ``total`` distinct keys in sort order."""
+def boundary_key(df: DataFrame, column: str, place) -> tuple[object, int, int]:
+    """``(key, n, total)``: the ``n``-th (one-based) distinct key in sort order, where
+    ``place(total)`` gives ``n``.
 
-    if total <= SMALL_KEY_COUNT:
-        return keys.orderBy(column).limit(n).agg(F.max(column).alias(column))
-    return dense_positions(keys, [], [column], "_p").filter(F.col("_p") == n - 1).select(column)
+    Up to ``SMALL_KEY_COUNT`` keys are sorted on the driver after a limited collect; more keys
+    are placed by range partitioning and only the wanted one is fetched.
+    """
+
+    keys = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    few = [row[0] for row in keys.limit(SMALL_KEY_COUNT + 1).collect()]
+    if len(few) <= SMALL_KEY_COUNT:
+        n = place(len(few))
+        # Python compares code points, Spark compares UTF-8 bytes: the same order
+        return (sorted(few)[n - 1] if 0 < n <= len(few) else None), n, len(few)
+    total = keys.count()
+    n = place(total)
+    placed = dense_positions(keys, [], [column], "_p").filter(F.col("_p") == n - 1)
+    found = placed.select(column).first()
+    return (found[0] if found else None), n, total
 
 
 def with_halo(

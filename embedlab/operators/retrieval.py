@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from embedlab.functions import vectors as V
+from embedlab.operators.arrow import matrix
 from embedlab.operators.scoring import linear_quantile
 
 NORM_FLOOR = 1e-12
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
+CHUNK_ROWS = 1024
 # dot products closer than this to the truth are compared again in one fixed order
 TIE_BAND = 1e-9
 
@@ -58,6 +60,21 @@ def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(a * b, axis=1)[:, -1] + 0.0
 
 
+def _count_above(p: np.ndarray, r: np.ndarray, bar: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Per row of ``p``: rows of ``r`` whose product is above ``bar``, where ``other`` holds.
+
+    Products within the tie band are computed again in the order ``bar`` was.
+    """
+
+    similarity = p @ r.T
+    above = similarity > bar[:, None]
+    rows, columns = np.nonzero((np.abs(similarity - bar[:, None]) <= TIE_BAND) & other)
+    for start in range(0, len(rows), 100_000):
+        a, b = rows[start : start + 100_000], columns[start : start + 100_000]
+        above[a, b] = _ordered_dot(p[a], r[b]) > bar[a]
+    return (above & other).sum(axis=1)
+
+
 def truth_rank(
     probes: DataFrame,
     references: DataFrame,
@@ -116,25 +133,20 @@ def rank_matched(
     schema = T.StructType([*fields, T.StructField("greater", T.LongType())])
     cell = [*by, "_pb", "_rb"]
 
-    def count_greater(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out = mine[[*by, key]].copy()
-        if mine.empty or theirs.empty:
-            out["greater"] = np.zeros(len(mine), dtype=np.int64)
-            return out
-        p, r = np.vstack(mine["_p"].to_numpy()), np.vstack(theirs["_r"].to_numpy())
-        bar = mine["truth"].to_numpy()
-        other = mine[key].to_numpy()[:, None] != theirs[key].to_numpy()[None, :]
-        similarity = p @ r.T
-        above = similarity > bar[:, None]
-        rows, columns = np.nonzero((np.abs(similarity - bar[:, None]) <= TIE_BAND) & other)
-        if len(rows):
-            above[rows, columns] = _ordered_dot(p[rows], r[columns]) > bar[rows]
-        out["greater"] = (above & other).sum(axis=1)
-        return out
+    def count_greater(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        greater = np.zeros(mine.num_rows, dtype=np.int64)
+        if mine.num_rows and theirs.num_rows:
+            p, r = matrix(mine["_p"].combine_chunks()), matrix(theirs["_r"].combine_chunks())
+            bar = mine["truth"].to_numpy()
+            own, others = mine[key].to_numpy(), theirs[key].to_numpy()
+            for start in range(0, len(p), CHUNK_ROWS):
+                rows = slice(start, start + CHUNK_ROWS)
+                greater[rows] = _count_above(p[rows], r, bar[rows], own[rows, None] != others)
+        return mine.select([*by, key]).append_column("greater", pa.array(greater))
 
     # new attribute ids: both sides may come from the same table
     right = right.toDF(*right.columns)
-    counted = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(count_greater, schema)
+    counted = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(count_greater, schema)
     return counted.groupBy(*by, key).agg((F.sum("greater") + 1).alias("rank"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedlab.functions.text import group_key
-from embedlab.operators.ordering import dense_positions, nth_key
+from embedlab.operators.ordering import boundary_key, dense_positions
 
 
 def wanted_samples(seconds: float, rate: int) -> int:
@@ -110,12 +110,11 @@ def group_holdout(
     the group key and a hot group costs nothing.
     """
 
-    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    total = keys.count()
-    held = max(1, int(round(total * fraction)))
+    boundary, held, total = boundary_key(
+        df, key, lambda count: max(1, int(round(count * fraction)))
+    )
     if held >= total:
         raise ValueError(f"{message}: {held} of {total}")
-    boundary = nth_key(keys, key, held, total).first()[0]
     return df.withColumn(
         "split", F.when(F.col(key) <= F.lit(boundary), F.lit("eval")).otherwise(F.lit("fit"))
     )

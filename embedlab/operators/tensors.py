@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedlab.functions import quant
+from embedlab.functions.vectors import scale
 from embedlab.functions.text import has_any_suffix, layer_index, layer_suffix
 from embedlab.operators.pairing import left_driven_join, require_same_keys
 
@@ -396,9 +399,7 @@ def apply_operator(
     rest = [*keys, *[c for c in ("row", "i") if c != axis]]
     op = ops.select(F.col("src").alias("_s"), F.col("tgt").alias("_t"), F.col(weight).alias("_w"))
     joined = cells.join(op, F.col(axis) == F.col("_s"), "left")
-    known = F.when(F.col("_w").isNotNull(), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit(f"axis {axis} is wider than the operator at "), F.col(axis).cast("string"))).cast("boolean")
-    )
+    known = _or_fail(F.col("_w").isNotNull(), f"axis {axis} is wider than the operator: ")
     return (
         joined.filter(known)
         .groupBy(*rest, F.col("_t").alias(axis))
@@ -455,54 +456,81 @@ def axis_owners(names: DataFrame) -> DataFrame:
     return names.withColumn("out_group", fill(out_group)).withColumn("in_group", fill(in_group))
 
 
-def _turn_axis(cells: DataFrame, ops: DataFrame, axis: str, group: str, weight: str, keys) -> DataFrame:
-    """Apply the operator of each tensor's own group; tensors without a plan keep the axis."""
+def _or_fail(condition: Column, message: str) -> Column:
+    """A filter that keeps rows meeting ``condition`` and fails the job on any other."""
+
+    problem = F.raise_error(F.concat(F.lit(message), F.col("name"))).cast("boolean")
+    return F.when(condition, F.lit(True)).otherwise(problem)
+
+
+def _column_rules(ops: DataFrame) -> DataFrame:
+    """One row per group: for each target index its list of (source, weight), both weights.
+
+    At most one entry per plan cell, so a row is as large as the group's plan.
+    """
 
-    op = ops.select(
-        F.col("group").alias(group),
-        F.col("src").alias("_s"), F.col("tgt").alias("_t"), F.col(weight).alias("_w"),
+    per_target = ops.groupBy("group", "tgt").agg(
+        F.collect_list(F.struct("src", "analysis", "synthesis")).alias("parts"),
+        F.max("src").alias("_last"),
     )
-    joined = cells.join(op, (cells[group] == op[group]) & (F.col(axis) == F.col("_s")), "left").drop(op[group])
-    moved = joined.withColumn("_to", F.coalesce(F.col("_t"), F.col(axis))).withColumn(
-        "_v", F.col("v") * F.coalesce(F.col("_w"), F.lit(1.0))
+    return per_target.groupBy("group").agg(
+        F.sort_array(F.collect_list(F.struct("tgt", "parts"))).alias("_rules"),
+        (F.max("_last") + 1).alias("_sources"),
     )
-    rest = [c for c in cells.columns if c not in (axis, "v")]
-    return moved.groupBy(*rest, F.col("_to").alias(axis)).agg(F.sum("_v").alias("v"))
 
 
 def rebase(tensors: DataFrame, ops: DataFrame) -> DataFrame:
-    """Express tensors in another basis: ``(name, row, i, v)``.
+    """Express tensors in another basis: ``(name, row, values)``.
 
-    ``ops`` is ``(group, src, tgt, analysis, synthesis)`` for all groups that have a plan. A
-    one-dimensional tensor stores its only axis in ``values``; its output group turns that
-    axis. ``ndim`` tells the two apart.
+    ``ops`` is ``(group, src, tgt, analysis, synthesis)`` for the groups that have a plan. A
+    one-dimensional tensor (``ndim`` 1) stores its only axis in ``values``, and its output
+    group turns that axis. The axis inside ``values`` is turned row by row without exploding;
+    the row axis is one join on (group, row) and a vector sum.
     """
 
     owned = axis_owners(tensors)
     flat = F.col("ndim") == 1
     owned = (
-        owned.withColumn("_col", F.when(flat, F.col("out_group")).otherwise(F.col("in_group")))
-        .withColumn("_colw", flat)
-        .withColumn("_row", F.when(flat, F.lit(None).cast("string")).otherwise(F.col("out_group")))
+        owned.withColumn("_inner", F.when(flat, F.col("out_group")).otherwise(F.col("in_group")))
+        .withColumn("_outer", F.when(~flat, F.col("out_group")))
+        .withColumn("_flat", flat)
+    )
+    rules = _column_rules(ops).withColumnRenamed("group", "_inner")
+    joined = owned.join(rules, "_inner", "left")
+    fits = F.col("_rules").isNull() | (F.size("values") == F.col("_sources"))
+    joined = joined.filter(_or_fail(fits, "inner axis and operator differ in size: "))
+    weight = lambda part: F.when(F.col("_flat"), part["analysis"]).otherwise(part["synthesis"])
+    turned = F.transform(
+        "_rules",
+        lambda rule: F.aggregate(
+            rule["parts"],
+            F.lit(0.0),
+            lambda acc, part: acc + F.get("values", part["src"]) * weight(part),
+        ),
+    )
+    inner = joined.select(
+        "name",
+        F.col("row").cast("bigint").alias("row"),
+        "_outer",
+        F.when(F.col("_rules").isNull(), F.col("values")).otherwise(turned).alias("values"),
+    )
+    moves = ops.select(
+        F.col("group").alias("_outer"),
+        F.col("src").cast("bigint").alias("row"),
+        F.col("tgt").cast("bigint").alias("_to"),
+        F.col("analysis").alias("_w"),
     )
-    cells = owned.select(
-        "name", F.col("row").cast("bigint").alias("row"), "_col", "_row", "_colw",
-        F.posexplode("values").alias("i", "v"),
+    planned = ops.select(F.col("group").alias("_outer")).distinct()
+    stay = inner.join(planned, "_outer", "left_anti").select("name", "row", "values")
+    to_move = inner.join(planned, "_outer", "left_semi").join(moves, ["_outer", "row"], "left")
+    known = F.col("_to").isNotNull()
+    moved = to_move.filter(_or_fail(known, "row axis is wider than the operator: ")).select(
+        "name", F.col("_to").alias("row"), scale(F.col("values"), F.col("_w")).alias("values")
     )
-    # the inner axis takes synthesis for inputs and analysis for one-dimensional outputs
-    two_sided = ops.select(
-        "group", "src", "tgt", "analysis",
-        F.explode(F.array(F.lit(True), F.lit(False))).alias("_flat"), "synthesis",
-    ).select(
-        F.concat_ws("|", "group", F.col("_flat").cast("string")).alias("group"), "src", "tgt",
-        F.when(F.col("_flat"), F.col("analysis")).otherwise(F.col("synthesis")).alias("w"),
+    summed = moved.groupBy("name", "row").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("values"))).alias("values")
     )
-    cells = cells.withColumn(
-        "_col", F.when(F.col("_col").isNotNull(), F.concat_ws("|", "_col", F.col("_colw").cast("string")))
-    ).drop("_colw")
-    inner = _turn_axis(cells, two_sided, "i", "_col", "w", None)
-    outer = _turn_axis(inner, ops, "row", "_row", "analysis", None)
-    return outer.select("name", "row", "i", "v")
+    return stay.unionByName(summed)
 
 
 def head_operators(plan_ops: DataFrame, d_head: int) -> DataFrame:

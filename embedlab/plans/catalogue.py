@@ -24,7 +24,7 @@ from embedlab.operators import (
 from embedlab.operators import moments as mom
 from embedlab.operators.ordering import stable_order
 from embedlab.plans import alignment, crosslingual, views
-from embedlab.session import fresh_path
+from embedlab.session import fresh_path, materialize
 from embedlab.sources import readers, writers
 from embedlab.sources.tables import read_table
 from embedlab.streaming import statistics
@@ -286,13 +286,12 @@ def report_lines(spark: SparkSession, d: str) -> DataFrame:
 def normalisation_what_if(spark: SparkSession, d: str) -> DataFrame:
     """The ladder's R2 with and without per-feature normalisation of the source."""
 
-    pairs = views.pairs(spark, d)
+    pairs = sampling.group_holdout(views.pairs(spark, d), "grp")
     scaled = signals.normalize_channels(pairs, ["grp"], "x", views.WIDTH)
-    both = pairs.select("grp", "x", "y", F.lit(False).alias("normalized")).unionByName(
-        scaled.select("grp", "x", "y", F.lit(True).alias("normalized"))
+    both = pairs.select("split", "x", "y", F.lit(False).alias("normalized")).unionByName(
+        scaled.select("split", "x", "y", F.lit(True).alias("normalized"))
     )
-    halves = sampling.group_holdout(both, "grp")
-    table = mom.moments(halves, ["normalized", "split"])
+    table = mom.moments(both, ["normalized", "split"])
     out = alignment.ladder_from_moments(table, ["identity", "diagonal", "ridge"], ["normalized"], [0.01])
     return _r(out, "r2", digits=5).select("normalized", "map", "r2")
 
@@ -426,7 +425,7 @@ def _ops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_sources(spark: SparkSession, d: str) -> DataFrame:
-    ops = _ops(spark, d)
+    ops = materialize(_ops(spark, d))
     best = matching.argmax_source(ops, ["group"])
     mass = matching.self_mass(ops, ["group"])
     return _r(_long(best.join(mass, ["group", "src"]), "src", "tgt"), "self_mass").select(
@@ -486,7 +485,7 @@ def expand_ops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def concat_ops(spark: SparkSession, d: str) -> DataFrame:
-    ops = _ops(spark, d)
+    ops = materialize(_ops(spark, d))
     both = matching.concat_ops([(ops, 64, 64), (matching.expand_ops(ops, 2), 128, 128)])
     return _r(_long(both, "src", "tgt"), "analysis").select("src", "tgt", "analysis")
 
@@ -741,8 +740,9 @@ def lambda_sweep(spark: SparkSession, d: str) -> DataFrame:
         _base(spark, d), _base(spark, d, "ancestor"), _base(spark, d, "descendant"), LAMBDAS
     )
     target = _base(spark, d, "descendant").select("name", "row", F.col("values").alias("y"))
-    paired = swept.withColumnRenamed("values", "x").join(target, ["name", "row"])
-    halves = sampling.group_holdout(paired, "name")
+    halves = swept.withColumnRenamed("values", "x").join(
+        sampling.group_holdout(target, "name"), ["name", "row"]
+    )
     table = mom.moments(halves, ["lambda", "split"])
     out = alignment.ladder_from_moments(table, ["identity", "diagonal"], ["lambda"])
     return _r(out, "r2", digits=5).select("lambda", "map", "r2")
@@ -758,23 +758,19 @@ def _with_norms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rebase(spark: SparkSession, d: str) -> DataFrame:
-    moved = tensors.rebase(_with_norms(spark, d), _ops(spark, d))
-    return _r(_long(moved, "i"), "v")
+    moved = tensors.rebase(_with_norms(spark, d), materialize(_ops(spark, d)))
+    return _r(_long(tensors.tensor_cells(moved), "i"), "v")
 
 
 def fused_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     """Bring ancestor and descendant into the base's order, then add their difference."""
 
-    ops = _ops(spark, d)
+    ops = materialize(_ops(spark, d))
     moved = lambda ckpt: tensors.rebase(_base(spark, d, ckpt).withColumn("ndim", F.lit(2)), ops)
-    sides = moved("ancestor").withColumnRenamed("v", "a").join(
-        moved("descendant").withColumnRenamed("v", "b"), ["name", "row", "i"]
-    )
-    base = tensors.tensor_cells(_base(spark, d))
-    fused = base.join(sides, ["name", "row", "i"]).select(
-        "name", "row", "i", (F.col("v") + 0.5 * (F.col("b") - F.col("a"))).alias("v")
+    fused = tensors.task_arithmetic(
+        _base(spark, d), moved("ancestor"), moved("descendant"), 0.5, checked=False
     )
-    return _r(_long(fused, "i"), "v")
+    return _r(_long(tensors.tensor_cells(fused), "i"), "v")
 
 
 def aligned_tensors(spark: SparkSession, d: str) -> DataFrame:
