@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from embedlab.functions import vectors as V
 from embedlab.operators.arrow import list_array, matrix
-from embedlab.operators.moments import MomentMatrices, PARTIAL_FIELDS, PartialSums, per_group, sum_cells
+from embedlab.operators.moments import PARTIAL_FIELDS, MomentMatrices, PartialSums, per_group, sum_cells
+from embedlab.session import join_summary
 
 FLOOR = 1e-12
 METRICS = ("cosine", "correlation")
@@ -37,7 +38,7 @@ def rms_normalize(
             for c in columns
         ]
     )
-    out = pairs.join(energy, keys)
+    out = join_summary(pairs, energy, keys)
     for c in columns:
         scale = F.greatest(F.col(f"_rms_{c}"), F.lit(FLOOR))
         out = out.withColumn(c, V.divide(F.col(c), scale))

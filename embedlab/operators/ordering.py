@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedlab.session import materialize
+from embedlab.session import join_summary, materialize
 
 SMALL_KEY_COUNT = 100_000
 DEFAULT_BLOCK = 65_536
@@ -44,7 +44,7 @@ def dense_positions(
     runs = runs.select(
         *group, "_part", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base")
     )
-    placed = marked.join(runs, [*group, "_part"])
+    placed = join_summary(marked, runs, [*group, "_part"])
     return placed.withColumn(name, F.col("_seq") - F.col("_first") + F.col("_base")).drop(
         "_seq", "_part", "_first", "_base"
     )

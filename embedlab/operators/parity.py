@@ -73,26 +73,31 @@ def describe_block(
     size = F.size(v).cast("double")
     fold = lambda f: F.aggregate(v, F.lit(0.0), f)
     rows = frames.select(*by, F.col(frame).alias("_frame"), v.alias(values), size.alias("_n"))
+    # only the ends of a row travel with the aggregate, not the whole vector
+    edge = F.least(F.size(v), F.lit(EDGE))
+    ends = F.struct(F.slice(v, F.lit(1), edge).alias("first"), F.slice(v, -edge, edge).alias("last"))
+    rows = rows.withColumn("_ends", ends)
     rows = rows.withColumn("_s", fold(lambda a, x: a + x))
     rows = rows.withColumn("_m", F.col("_s") / F.col("_n"))
+    rows = rows.withColumn("_lo", F.array_min(v)).withColumn("_hi", F.array_max(v))
     rows = rows.withColumn(
         "_within", fold(lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m")))
     )
     reduced = rows.groupBy(*by).agg(
-        F.min_by(values, "_frame").alias("_first_row"),
+        F.min_by("_ends", "_frame").alias("_first_row"),
         F.count(F.lit(1)).alias("frames"),
         F.max("_n").cast("bigint").alias("width"),
         F.sum("_n").alias("_cells"),
         F.sum("_s").alias("sum"),
         F.sum("_within").alias("_within"),
         F.var_pop("_m").alias("_between"),
-        F.min(F.array_min(v)).alias("min"),
-        F.max(F.array_max(v)).alias("max"),
+        F.min("_lo").alias("min"),
+        F.max("_hi").alias("max"),
     )
     return reduced.select(
         *by, "width", "frames",
-        F.slice("_first_row", 1, EDGE).alias("first"),
-        F.slice("_first_row", -EDGE, EDGE).alias("last"),
+        F.col("_first_row.first"),
+        F.col("_first_row.last"),
         (F.col("sum") / F.col("_cells")).alias("mean"),
         F.sqrt(F.col("_within") / F.col("_cells") + F.col("_between")).alias("std"),
         "min", "max", "sum",

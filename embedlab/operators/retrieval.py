@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from embedlab.functions import vectors as V
 from embedlab.operators.arrow import matrix
 from embedlab.operators.scoring import linear_quantile
+from embedlab.session import join_summary
 
 NORM_FLOOR = 1e-12
 BLOCK_ROWS = 16_384
@@ -44,7 +45,8 @@ def center_and_normalize(
     """Subtract each set's own mean and divide by the norm, column by column."""
 
     means = mean_pool(vectors, by, columns, width)
-    out = vectors.join(means.toDF(*by, *[f"_mean_{c}" for c in columns]), list(by))
+    means = means.toDF(*by, *[f"_mean_{c}" for c in columns])
+    out = join_summary(vectors, means, by, 64 + 8 * len(columns) * (width or 4096))
     for c in columns:
         out = out.withColumn(c, V.subtract(F.col(c), F.col(f"_mean_{c}")))
         out = out.withColumn(

@@ -89,6 +89,7 @@ def sample_clips(
     """
 
     usable = filter_min_length(recordings, want)
+    require_nonempty(usable, f"no recording reaches {want} samples")
     order = F.md5(F.concat(F.lit(str(seed)), F.col("path")))
     clips = usable.select(
         "path",
@@ -98,7 +99,7 @@ def sample_clips(
     )
     if limit is not None:
         clips = clips.orderBy("_order", "path").limit(limit)
-    return require_nonempty(clips, f"no recording reaches {want} samples").drop("_order")
+    return clips.drop("_order")
 
 
 def group_holdout(

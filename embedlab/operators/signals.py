@@ -11,12 +11,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from embedlab.functions import vectors as V
 from embedlab.operators.arrow import list_array, matrix
 from embedlab.operators.ordering import DEFAULT_BLOCK, over_left_context
+from embedlab.session import join_summary
 
 # Fixed values of the feature front end.
 PREEMPHASIS = 0.97
@@ -24,6 +28,8 @@ N_FFT, WINDOW, HOP = 512, 400, 160
 LOG_FLOOR = 2.0**-24
 STD_FLOOR = 1e-5
 
+SEGMENT_FRAMES = 256
+
 
 def preemphasis(signal: DataFrame, factor: float = PREEMPHASIS, block: int = DEFAULT_BLOCK) -> DataFrame:
     """``v[t] - factor * v[t-1]``; the first sample stays."""
@@ -78,13 +84,20 @@ def frames_out(samples: Column, n_fft: int = N_FFT, hop: int = HOP) -> Column:
     return frames
 
 
-def frame_samples(
-    signal: DataFrame, n_fft: int = N_FFT, window: int = WINDOW, hop: int = HOP
+def segments(
+    signal: DataFrame,
+    n_fft: int = N_FFT,
+    window: int = WINDOW,
+    hop: int = HOP,
+    before: int = 0,
+    frames_per_segment: int = SEGMENT_FRAMES,
 ) -> DataFrame:
-    """``(clip, frame, pos, v)``: every sample placed in the frames whose window covers it.
+    """``(clip, first, count, at, v)``: the samples of ``frames_per_segment`` frames together.
 
-    The frames of a sample follow from its position, so there is no join between samples and
-    frames. A clip shorter than one frame fails the job.
+    A sample goes to the one or two segments whose frames cover it (and to the one after if
+    ``before`` earlier samples are wanted), so the data is shuffled once and a long clip is
+    spread over many bounded groups. ``at`` counts from the segment's first sample. A clip
+    shorter than one frame fails the job.
     """
 
     pad, lead = n_fft // 2, (n_fft - window) // 2
@@ -96,13 +109,75 @@ def frame_samples(
         .otherwise(F.raise_error(F.lit("clip shorter than one frame")).cast("bigint"))
         .alias("_frames"),
     )
-    placed = signal.join(sizes, "clip").withColumn("_p", F.col("t") + pad)
-    first = F.greatest(F.ceil((F.col("_p") - lead - window + 1) / hop), F.lit(0))
-    last = F.least(F.floor((F.col("_p") - lead) / hop), F.col("_frames") - 1)
-    covered = placed.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last")
-    return covered.select(
-        "clip", F.explode(F.sequence("_first", "_last")).alias("frame"), "_p", "v"
-    ).select("clip", "frame", (F.col("_p") - F.col("frame") * hop).cast("int").alias("pos"), "v")
+    placed = join_summary(signal, sizes, ["clip"]).withColumn("_p", F.col("t") + pad - lead)
+    low = F.greatest(F.ceil((F.col("_p") - window + 1) / hop), F.lit(0))
+    high = F.least(F.floor((F.col("_p") + before) / hop), F.col("_frames") - 1)
+    span = placed.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
+    spread = span.withColumn(
+        "_seg",
+        F.explode(
+            F.sequence(
+                F.floor(F.col("_low") / frames_per_segment), F.floor(F.col("_high") / frames_per_segment)
+            )
+        ),
+    )
+    first = F.col("_seg") * frames_per_segment
+    at = F.col("_p") + before - first * hop
+    gathered = spread.groupBy("clip", "_seg").agg(
+        F.collect_list(F.struct(at.alias("at"), "v")).alias("_s"), F.max("_frames").alias("_frames")
+    )
+    return gathered.select(
+        "clip",
+        first.alias("first"),
+        F.least(F.lit(frames_per_segment), F.col("_frames") - first).alias("count"),
+        F.col("_s.at").alias("at"),
+        F.col("_s.v").alias("v"),
+    )
+
+
+def _cut(at, values, count: int, window: int, hop: int, before: int, factor: float) -> np.ndarray:
+    """``(count, window)`` frames of one segment; positions without a sample are zero."""
+
+    length = (count - 1) * hop + window + before
+    inside = (at >= 0) & (at < length)
+    buffer, real = np.zeros(length), np.zeros(length, dtype=bool)
+    buffer[at[inside]] = values[inside]
+    real[at[inside]] = True
+    if before:
+        buffer = np.where(real, buffer - factor * np.concatenate([[0.0], buffer[:-1]]), 0.0)[before:]
+    return np.lib.stride_tricks.sliding_window_view(buffer, window)[::hop]
+
+
+def _per_segment(
+    parts: DataFrame, name: str, window: int, hop: int, compute, before: int = 0, factor: float = 0.0
+) -> DataFrame:
+    """``(clip, frame, name)`` from segments; ``compute`` turns frames into rows."""
+
+    schema = T.StructType(
+        [
+            parts.schema["clip"],
+            T.StructField("frame", T.LongType()),
+            T.StructField(name, T.ArrayType(T.DoubleType())),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                first, count = batch["first"][row].as_py(), batch["count"][row].as_py()
+                at = batch["at"][row].values.to_numpy()
+                values = batch["v"][row].values.to_numpy()
+                out = compute(_cut(at, values, count, window, hop, before, factor))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch["clip"][row].as_py()] * count, batch.schema.field("clip").type),
+                        pa.array(np.arange(first, first + count)),
+                        list_array(out),
+                    ],
+                    names=["clip", "frame", name],
+                )
+
+    return parts.mapInArrow(run, schema)
 
 
 def frame_signal(
@@ -110,25 +185,15 @@ def frame_signal(
 ) -> DataFrame:
     """``(clip, frame, samples)`` with ``samples`` a zero-filled buffer of ``n_fft``."""
 
-    placed = frame_samples(signal, n_fft, window, hop)
-    # a frame has at most `window` samples, so this group is bounded
-    cells = F.map_from_entries(F.collect_list(F.struct("pos", "v")))
-    buffer = F.transform(
-        F.sequence(F.lit(0), F.lit(n_fft - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("_cells"), i), F.lit(0.0)),
-    )
-    return placed.groupBy("clip", "frame").agg(cells.alias("_cells")).select(
-        "clip", "frame", buffer.alias("samples")
+    lead = (n_fft - window) // 2
+    edges = ((0, 0), (lead, n_fft - window - lead))
+    return _per_segment(
+        segments(signal, n_fft, window, hop), "samples", window, hop, lambda f: np.pad(f, edges)
     )
 
 
-def _spectra(batch: pa.RecordBatch, window: np.ndarray) -> np.ndarray:
-    frames = matrix(batch.column("samples"))
-    n_fft = frames.shape[1]
-    lead = (n_fft - len(window)) // 2
-    padded = np.zeros(n_fft)
-    padded[lead : lead + len(window)] = window
-    bins = np.fft.rfft(frames * padded, axis=1)
+def _power(frames: np.ndarray) -> np.ndarray:
+    bins = np.fft.rfft(frames, axis=1)
     return np.square(bins.real) + np.square(bins.imag)
 
 
@@ -149,9 +214,16 @@ def _per_frame(frames: DataFrame, name: str, compute) -> DataFrame:
 
 
 def power_spectrum(frames: DataFrame, window: np.ndarray) -> DataFrame:
-    """``(clip, frame, power)``: squared modulus of the windowed real FFT."""
+    """``(clip, frame, power)``: squared modulus of the windowed real FFT of each buffer."""
+
+    def compute(batch: pa.RecordBatch) -> np.ndarray:
+        samples = matrix(batch.column("samples"))
+        lead = (samples.shape[1] - len(window)) // 2
+        shape = np.zeros(samples.shape[1])
+        shape[lead : lead + len(window)] = window
+        return _power(samples * shape)
 
-    return _per_frame(frames, "power", lambda batch: _spectra(batch, window))
+    return _per_frame(frames, "power", compute)
 
 
 def mel_log(power: DataFrame, filters: np.ndarray) -> DataFrame:
@@ -165,37 +237,44 @@ def mel_log(power: DataFrame, filters: np.ndarray) -> DataFrame:
 def log_mel(
     signal: DataFrame, filters: np.ndarray, window: np.ndarray, n_fft: int = N_FFT, hop: int = HOP
 ) -> DataFrame:
-    """Waveform to log-mel frames; spectrum and filter bank share one Arrow pass."""
+    """Waveform to log-mel frames: pre-emphasis, framing, spectrum and filter bank in one pass.
 
-    frames = frame_signal(preemphasis(signal), n_fft, len(window), hop)
-    return _per_frame(
-        frames, "mel", lambda batch: np.log(_spectra(batch, window) @ filters.T + LOG_FLOOR)
-    )
+    Each segment brings one sample more, so pre-emphasis needs no shuffle of its own.
+    """
+
+    size = len(window)
+    lead = (n_fft - size) // 2
+    edges = ((0, 0), (lead, n_fft - size - lead))
+
+    def compute(frames: np.ndarray) -> np.ndarray:
+        return np.log(_power(np.pad(frames * window, edges)) @ filters.T + LOG_FLOOR)
+
+    parts = segments(signal, n_fft, size, hop, before=1)
+    return _per_segment(parts, "mel", size, hop, compute, 1, PREEMPHASIS)
 
 
 def per_feature_normalize(values: DataFrame, keys: Sequence[str] = ("clip", "bin")) -> DataFrame:
-    """``(v - mean) / (sample std + 1e-5)`` per key; statistics are pre-aggregated, then joined."""
+    """``(v - mean) / (sample std + 1e-5)`` per key, for values in long form."""
 
     keys = list(keys)
     stats = values.groupBy(*keys).agg(F.avg("v").alias("_mean"), F.stddev_samp("v").alias("_std"))
     scaled = (F.col("v") - F.col("_mean")) / (F.col("_std") + STD_FLOOR)
-    return values.join(stats, keys).withColumn("v", scaled).drop("_mean", "_std")
+    return join_summary(values, stats, keys).withColumn("v", scaled).drop("_mean", "_std")
 
 
-def normalize_channels(
-    frames: DataFrame, keys: Sequence[str], column: str, width: int
-) -> DataFrame:
-    """The same for frames kept as arrays: per key and channel, without exploding."""
+def normalize_channels(frames: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """The same for frames kept as arrays, every channel at once and nothing exploded."""
 
     keys = list(keys)
-    each = lambda form: F.expr(
-        "array(" + ", ".join(form.format(c=column, i=i) for i in range(width)) + ")"
-    )
-    stats = frames.groupBy(*keys).agg(
-        each("avg(`{c}`[{i}])").alias("_mean"), each("stddev_samp(`{c}`[{i}])").alias("_std")
+    summary = Summarizer.metrics("mean", "variance").summary(array_to_vector(column))
+    stats = frames.groupBy(*keys).agg(summary.alias("_s")).select(
+        *keys,
+        vector_to_array("_s.mean").alias("_mean"),
+        F.transform(vector_to_array("_s.variance"), lambda v: F.sqrt(v) + STD_FLOOR).alias("_std"),
     )
-    scaled = each(f"(`{{c}}`[{{i}}] - _mean[{{i}}]) / (_std[{{i}}] + {STD_FLOOR!r}D)")
-    return frames.join(stats, keys).withColumn(column, scaled).drop("_mean", "_std")
+    shifted = V.subtract(F.col(column), F.col("_mean"))
+    scaled = F.zip_with(shifted, "_std", lambda v, s: v / s)
+    return join_summary(frames, stats, keys, 16_384).withColumn(column, scaled).drop("_mean", "_std")
 
 
 def harmonic_features(offsets: DataFrame, width: int, offset: str = "offset") -> DataFrame:

@@ -287,7 +287,7 @@ def normalisation_what_if(spark: SparkSession, d: str) -> DataFrame:
     """The ladder's R2 with and without per-feature normalisation of the source."""
 
     pairs = sampling.group_holdout(views.pairs(spark, d), "grp")
-    scaled = signals.normalize_channels(pairs, ["grp"], "x", views.WIDTH)
+    scaled = signals.normalize_channels(pairs, ["grp"], "x")
     both = pairs.select("split", "x", "y", F.lit(False).alias("normalized")).unionByName(
         scaled.select("split", "x", "y", F.lit(True).alias("normalized"))
     )
@@ -570,16 +570,20 @@ def power_spectrum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _log_mel(spark: SparkSession, d: str) -> DataFrame:
-    mel = signals.log_mel(views.signals(spark, d), _filters(), _window(), SMALL_FFT, SMALL_HOP)
+    return signals.log_mel(views.signals(spark, d), _filters(), _window(), SMALL_FFT, SMALL_HOP)
+
+
+def _bins(mel: DataFrame) -> DataFrame:
     return _long(mel.select("clip", "frame", F.posexplode("mel").alias("bin", "v")), "bin")
 
 
 def log_mel(spark: SparkSession, d: str) -> DataFrame:
-    return _r(_log_mel(spark, d), "v", digits=5)
+    return _r(_bins(_log_mel(spark, d)), "v", digits=5)
 
 
 def per_feature_norm(spark: SparkSession, d: str) -> DataFrame:
-    return _r(signals.per_feature_normalize(_log_mel(spark, d)), "v", digits=5)
+    mel = materialize(_log_mel(spark, d))
+    return _r(_bins(signals.normalize_channels(mel, ["clip"], "mel")), "v", digits=5)
 
 
 def frames_out(spark: SparkSession, d: str) -> DataFrame:

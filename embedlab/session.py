@@ -5,9 +5,11 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,6 +21,9 @@ SESSION_DEFAULTS = {
 }
 
 
+BROADCAST_BYTES = 128 << 20
+
+
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the bench."""
 
@@ -91,3 +96,19 @@ def materialize(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+def join_summary(
+    rows: DataFrame, summary: DataFrame, keys: Sequence[str], row_bytes: int = 64
+) -> DataFrame:
+    """Join rows with per-key statistics, without shuffling the rows when that is safe.
+
+    The statistics are computed once and kept; they are broadcast only if their counted size
+    is below ``BROADCAST_BYTES``. A larger table goes through an ordinary shuffle join, where
+    adaptive execution splits hot keys.
+    """
+
+    kept = materialize(summary)
+    if kept.count() * row_bytes <= BROADCAST_BYTES:
+        kept = F.broadcast(kept)
+    return rows.join(kept, list(keys))
