@@ -22,16 +22,19 @@ SKETCH_ACCURACY = 100_000
 # ---------------------------------------------------------------- applying maps
 
 
+def _schema_with(df: DataFrame, out: str) -> T.StructType:
+    """The schema with a double array ``out`` added, or in place of the column it replaces."""
+
+    target = T.StructField(out, T.ArrayType(T.DoubleType()))
+    fields = [target if f.name == out else f for f in df.schema.fields]
+    return T.StructType(fields if out in df.columns else [*fields, target])
+
+
 def apply_map(df: DataFrame, mapping: LinearMap, x: str = "x", out: str = "x") -> DataFrame:
     """``x @ W + b`` by matrix products on Arrow batches; no shuffle."""
 
     weight, bias = mapping.weight, mapping.bias
-    fields = [f for f in df.schema.fields if f.name != out]
-    target = T.StructField(out, T.ArrayType(T.DoubleType()))
-    if out in df.columns:
-        schema = T.StructType([target if f.name == out else f for f in df.schema.fields])
-    else:
-        schema = T.StructType([*fields, target])
+    schema = _schema_with(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,18 +62,15 @@ def mlp_scores(
 ) -> DataFrame:
     """Two-layer batch scoring, ``relu(x W1' + b1) W2' + b2``."""
 
-    fields = [f for f in df.schema.fields if f.name != out]
-    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
-    names = [f.name for f in fields]
+    schema = _schema_with(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 hidden = np.maximum(matrix(batch.column(x)) @ w1.T + b1, 0.0)
-                yield replace_column(batch.select(names), out, list_array(hidden @ w2.T + b2))
+                yield replace_column(batch, out, list_array(hidden @ w2.T + b2))
 
-    kept = df if x in names else df.select(*names, x)
-    return kept.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- quantised projections

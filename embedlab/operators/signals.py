@@ -29,6 +29,7 @@ LOG_FLOOR = 2.0**-24
 STD_FLOOR = 1e-5
 
 SEGMENT_FRAMES = 256
+BATCH_FRAMES = 4096
 
 
 def preemphasis(signal: DataFrame, factor: float = PREEMPHASIS, block: int = DEFAULT_BLOCK) -> DataFrame:
@@ -163,20 +164,33 @@ def _per_segment(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                first, count = batch["first"][row].as_py(), batch["count"][row].as_py()
-                at = batch["at"][row].values.to_numpy()
-                values = batch["v"][row].values.to_numpy()
-                out = compute(_cut(at, values, count, window, hop, before, factor))
-                yield pa.RecordBatch.from_arrays(
+            kind = batch.schema.field("clip").type
+            clips, numbers, rows, held = [], [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
                     [
-                        pa.array([batch["clip"][row].as_py()] * count, batch.schema.field("clip").type),
-                        pa.array(np.arange(first, first + count)),
-                        list_array(out),
+                        pa.array(clips, kind),
+                        pa.array(np.concatenate(numbers)),
+                        list_array(np.concatenate(rows)),
                     ],
                     names=["clip", "frame", name],
                 )
 
+            for row in range(batch.num_rows):
+                first, count = batch["first"][row].as_py(), batch["count"][row].as_py()
+                at = batch["at"][row].values.to_numpy()
+                values = batch["v"][row].values.to_numpy()
+                rows.append(compute(_cut(at, values, count, window, hop, before, factor)))
+                numbers.append(np.arange(first, first + count))
+                clips += [batch["clip"][row].as_py()] * count
+                held += count
+                if held >= BATCH_FRAMES:
+                    yield flush()
+                    clips, numbers, rows, held = [], [], [], 0
+            if held:
+                yield flush()
+
     return parts.mapInArrow(run, schema)
 
 

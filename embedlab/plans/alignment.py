@@ -6,13 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from embedlab.operators import fits, scoring
 from embedlab.operators.fits import RIDGE_ALPHAS, LinearMap
 from embedlab.operators.matching import cost_matrix, integral_assignment
-from embedlab.operators.moments import MomentMatrices, moments, per_group
+from embedlab.operators.moments import MomentMatrices, moments
 from embedlab.operators.sampling import group_holdout
 
 
@@ -123,12 +124,31 @@ def ladder(
     )
 
 
-def ladder_with_best(pairs: DataFrame, projection) -> DataFrame:
-    """The ladder with the map to ship flagged."""
+def report_only_rung(
+    pairs: DataFrame, head: Sequence, projection, alphas: Sequence[float] = RIDGE_ALPHAS
+) -> DataFrame:
+    """The best ridge fitted behind a two-layer head: worth measuring, not shippable.
 
-    rungs = ladder(pairs, projection)
-    from pyspark.sql import Window
+    ``head`` is ``(w1, b1, w2, b2)``. The head is applied once, ahead of both halves.
+    """
+
+    turned = scoring.mlp_scores(pairs, *head, x="x", out="x")
+    halves = split_pairs(turned)
+    scores = _both_scores(halves, fits.fit(halves.fit, ["ridge"], alphas), projection)
+    best = scoring.flag_best_alpha(scores).filter("is_best").drop("is_best", "at_edge")
+    return best.withColumn("map", F.lit("head+ridge")).withColumn("shippable", F.lit(False))
+
+
+def ladder_with_best(pairs: DataFrame, projection, head: Sequence | None = None) -> DataFrame:
+    """The ladder with the map to ship flagged, and the report-only rung if there is a head.
 
+    One row per rung, so the window over all of them is tiny.
+    """
+
+    rungs = ladder(pairs, projection)
+    if head is not None:
+        extra = report_only_rung(pairs, head, projection)
+        rungs = rungs.unionByName(extra.withColumn("ord", F.lit(1000)))
     criterion = F.coalesce("deployed_r2", "r2")
     usable = F.coalesce("shippable", F.lit(True)) & ~F.isnan(criterion)
     order = Window.partitionBy(F.lit(0)).orderBy(
@@ -172,8 +192,6 @@ def ladder_from_moments(
             result.insert(position, name, [key[position]] * len(result))
         return result
 
-    from pyspark.sql import types as T
-
     schema = T.StructType(
         [moment_rows.schema[name] for name in by]
         + list(T._parse_datatype_string("map string, alpha double, r2 double").fields)
@@ -189,17 +207,3 @@ def map_weights(
 
     return fits.map_cells(fits.fit_maps(moments(pairs, by, widths=widths), names, by, alphas), by)
 
-
-__all__ = [
-    "chosen_projection",
-    "ladder",
-    "ladder_from_moments",
-    "ladder_with_best",
-    "map_weights",
-    "matched_sources",
-    "per_group",
-    "ridge_sweep",
-    "score_maps",
-    "split_moments",
-    "split_pairs",
-]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from embedlab.functions import quant
 from embedlab.functions import vectors as V
+from embedlab.functions.sql import register_sql_functions
 from embedlab.functions.vectors import round_metric as r6
 from embedlab.operators import (
     fits,
@@ -262,6 +263,19 @@ def ladder(spark: SparkSession, d: str) -> DataFrame:
     return _r(_ladder(spark, d), *columns, digits=5).select("map", "alpha", *columns, "is_best")
 
 
+def _grid(rows: int, columns: int, a: int, b: int, modulus: int) -> np.ndarray:
+    values = np.add.outer(np.arange(rows) * a, np.arange(columns) * b) % modulus
+    return (values - modulus // 2) / modulus
+
+
+def ladder_with_head(spark: SparkSession, d: str) -> DataFrame:
+    """The ladder with an extra rung behind a two-layer head, which never wins."""
+
+    head = (_grid(32, 64, 5, 3, 37), np.arange(32) / 64.0, _grid(64, 32, 7, 11, 29), np.arange(64) / 32.0)
+    out = alignment.ladder_with_best(views.pairs(spark, d), views.projection_matrix(), head)
+    return _r(out, "r2", "deployed_r2", digits=4).select("map", "r2", "deployed_r2", "shippable", "is_best")
+
+
 def best_map(spark: SparkSession, d: str) -> DataFrame:
     rungs = alignment.ladder(views.pairs(spark, d), views.projection_matrix())
     return _r(scoring.best_map(rungs), "r2", "deployed_r2", digits=5).select("map", "r2", "deployed_r2")
@@ -329,6 +343,17 @@ def f16_round(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("vec_id", F.col("i").cast("bigint").alias("i"), quant.f16(F.col("x")).alias("h"))
 
 
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The scalar functions as a SQL user calls them."""
+
+    register_sql_functions(spark)
+    pairs = views.pairs(spark, d)
+    called = pairs.selectExpr(
+        "vec_id", "f16(y[0]) AS first_half", "cosine(x, y) AS cos", "cosine(x, q8_0(x)) AS kept"
+    )
+    return _r(called, "cos", "kept")
+
+
 def deployed_tensors(spark: SparkSession, d: str) -> DataFrame:
     rounded = tensors.as_deployed(_base(spark, d).withColumn("ndim", F.lit(2)))
     out = rounded.groupBy("name").agg(
@@ -778,7 +803,7 @@ def fused_checkpoint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aligned_tensors(spark: SparkSession, d: str) -> DataFrame:
-    """Names an aligned checkpoint has beyond its source, after a write and a read."""
+    """An aligned checkpoint after a write and a read: what is new in it against its source."""
 
     pairs = views.pairs(spark, d)
     name, projection, fit_rows = alignment.chosen_projection(pairs, views.projection_matrix())
@@ -793,7 +818,8 @@ def aligned_tensors(spark: SparkSession, d: str) -> DataFrame:
     writers.write_tensors(tensors.aligned_tensors(spark, source, projection, featurizer, report, "aligned"), out)
     read = readers.scan_tensors(spark, out, "aligned")
     counted = read.groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
-    return counted.join(source.select("name").distinct(), "name", "left_anti").select("name", "n_rows")
+    known = source.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.join(known, "name", "left").select("name", "n_rows", F.col("_n").isNull().alias("added"))
 
 
 def tensor_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -831,9 +857,8 @@ def probe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mlp_scores(spark: SparkSession, d: str) -> DataFrame:
-    grid = lambda r, c, a, b, m: (np.add.outer(np.arange(r) * a, np.arange(c) * b) % m - m // 2) / m
-    w1, b1 = grid(32, 64, 5, 3, 37), np.arange(32) / 64.0
-    w2, b2 = grid(16, 32, 7, 11, 29), np.arange(16) / 32.0
+    w1, b1 = _grid(32, 64, 5, 3, 37), np.arange(32) / 64.0
+    w2, b2 = _grid(16, 32, 7, 11, 29), np.arange(16) / 32.0
     out = scoring.mlp_scores(views.pairs(spark, d).select("vec_id", "x"), w1, b1, w2, b2, "x", "z")
     cells = out.select("vec_id", F.posexplode("z").alias("j", "v"))
     return _r(_long(cells, "j"), "v")
@@ -920,6 +945,7 @@ QUERIES = {
     "score_from_moments": score_from_moments,
     "group_ladder": group_ladder,
     "ladder": ladder,
+    "ladder_with_head": ladder_with_head,
     "best_map": best_map,
     "deployed_score": deployed_score,
     "report_lines": report_lines,
@@ -928,6 +954,7 @@ QUERIES = {
     "q8_loss": q8_loss,
     "f16_round": f16_round,
     "deployed_tensors": deployed_tensors,
+    "sql_functions": sql_functions,
     "takes_first_last": takes_first_last,
     "shared_sentences": shared_sentences,
     "existing_takes": existing_takes,

@@ -542,7 +542,11 @@ ORACLE: dict[str, str] = {
          SELECT replace(name, 'self_attn.q_proj', 'norm_out'), 0, arg_min(vals, row) FROM tensors WHERE ckpt = 'base' GROUP BY name)"""),
     "fused_checkpoint": q(f"""SELECT 'encoder.layers.' || grp || '.self_attn.q_proj.weight' AS name, vec_id AS row, tgt AS i,
         {r('x[tgt + 1] + 0.5::DOUBLE * (y[src + 1] - x[src + 1] * 0.5::DOUBLE)')} AS v FROM pairs, plan"""),
-    "aligned_tensors": "SELECT * FROM (VALUES ('proj.weight', 96::BIGINT), ('proj.bias', 1), ('preprocessor.featurizer.fb', 4), ('preprocessor.featurizer.window', 1)) t(name, n_rows)",
+    "aligned_tensors": q("""SELECT name, count(*) AS n_rows, false AS added FROM tensors WHERE ckpt = 'base' GROUP BY name UNION ALL
+        SELECT * FROM (VALUES ('proj.weight', 96::BIGINT, true), ('proj.bias', 1, true), ('preprocessor.featurizer.fb', 4, true), ('preprocessor.featurizer.window', 1, true))"""),
+    "sql_functions": q(f"""SELECT vec_id, {f16('y[1]')} AS first_half, {r('list_cosine_similarity(x, y)')} AS cos, {r('list_cosine_similarity(x, qx)')} AS kept FROM
+        (SELECT vec_id, x, y, list_concat(list_transform(x[1:32], lambda v: round_even(v / (a / 127), 0) * {f16('(a / 127)')}), list_transform(x[33:64], lambda v: round_even(v / (b / 127), 0) * {f16('(b / 127)')})) AS qx FROM
+         (SELECT *, list_max(list_transform(x[1:32], lambda v: abs(v))) AS a, list_max(list_transform(x[33:64], lambda v: abs(v))) AS b FROM pairs))"""),
     "tensor_roundtrip": q(f"SELECT name, row, {r('list_sum(vals)')} AS total FROM tensors WHERE ckpt = 'descendant' AND regexp_matches(name, 'layers\\.[012]\\.')"),
     "report_roundtrip": q(f"SELECT '?' AS chosen, (SELECT count(*) FROM pairs) AS fit_frames, 1::BIGINT AS n_groups, map, {r('r2')} AS r2, {r('cosine_mean')} AS cosine_mean FROM ({_score(_named('identity', 'diagonal'))})"),
     "probe_roundtrip": q("SELECT language::VARCHAR AS language, probe, n, top1, top5, median_rank, chance_top1 FROM rettab"),
@@ -587,3 +591,23 @@ ORACLE["block_cost"] = q(
     f"""SELECT a.h AS src, b.h AS tgt, {r('1 - corr(a.cx, b.cy)')} AS cost FROM
     (SELECT vec_id, h, tgt AS o, cx FROM bparts JOIN plan ON plan.src = bparts.o) a JOIN bparts b USING (vec_id, o) GROUP BY 1, 2"""
 )
+
+# the ridge rung once more, with the source behind a two-layer head
+_HEAD = {"split": "hsplit", "lng": "hlng", "fitmom": "hmom", "fitmean": "hmean", "fitmat": "hmat", "gj": "hgj", "m_ridge": "h_ridge", "ev": "hev"}
+
+
+def _headed(text: str) -> str:
+    for old, new in _HEAD.items():
+        text = re.sub(rf"\b{old}\b", new, text)
+    return text
+
+
+for _old, _new in list(_HEAD.items())[1:]:
+    CTE[_new] = _headed(CTE[_old])
+CTE["hsplit"] = """SELECT vec_id, grp, y, held, list_transform(range(64), lambda o: list_sum(list_transform(hid, lambda h, k: h * ((((o * 7 + (k - 1) * 11) % 29) - 14)::DOUBLE / 29::DOUBLE))) + o::DOUBLE / 32) AS x FROM
+    (SELECT vec_id, grp, y, held, list_transform(range(32), lambda o: greatest(0.0::DOUBLE, list_sum(list_transform(x, lambda a, k: a * ((((o * 5 + (k - 1) * 3) % 37) - 18)::DOUBLE / 37::DOUBLE))) + o::DOUBLE / 64)) AS hid FROM split)"""
+_HEAD_RUNG = f"SELECT * FROM ({_headed(_both(_named('ridge')))}) ORDER BY deployed_r2 DESC, alpha LIMIT 1"
+ORACLE["ladder_with_head"] = q(
+    f"""SELECT map, {r('r2', 4)} AS r2, {r('deployed_r2', 4)} AS deployed_r2, NULL::BOOLEAN AS shippable, row_number() OVER (ORDER BY deployed_r2 DESC, ord) = 1 AS is_best FROM ({_LADDER})
+    UNION ALL SELECT 'head+ridge', {r('r2', 4)}, {r('deployed_r2', 4)}, false, false FROM ({_HEAD_RUNG})"""
+)
