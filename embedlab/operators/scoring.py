@@ -46,6 +46,25 @@ def apply_map(df: DataFrame, mapping: LinearMap, x: str = "x", out: str = "x") -
     return df.mapInArrow(run, schema)
 
 
+def apply_maps(df: DataFrame, steps: Sequence[tuple[LinearMap, str, str]]) -> DataFrame:
+    """Several ``(map, column, new column)`` in one Arrow pass."""
+
+    schema = df.schema
+    for _, _, out in steps:
+        schema = T.StructType([*schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    plain = [(m.weight, m.bias, x, out) for m, x, out in steps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for weight, bias, x, out in plain:
+                    moved = matrix(batch.column(x)) @ weight + bias
+                    batch = replace_column(batch, out, list_array(moved))
+                yield batch
+
+    return df.mapInArrow(run, schema)
+
+
 def projection_map(p: np.ndarray, pb: np.ndarray) -> LinearMap:
     """A projection stored as (out, in) in the row convention of maps."""
 

@@ -13,6 +13,7 @@ from embedlab.functions import quant
 from embedlab.functions.vectors import scale
 from embedlab.functions.text import has_any_suffix, layer_index, layer_suffix
 from embedlab.operators.pairing import left_driven_join, require_same_keys
+from embedlab.session import BROADCAST_BYTES
 
 # Name endings by stored precision.
 F16_SUFFIXES = [
@@ -108,6 +109,7 @@ COMPANIONS = [
     "preprocessor.featurizer.window",
 ]
 LEFT_CONTEXT_WINDOW = 71
+CELL_BYTES = 64
 SUBSAMPLING = 8
 
 
@@ -445,15 +447,15 @@ AXIS_OWNERS = [
 def axis_owners(names: DataFrame) -> DataFrame:
     """Add ``out_group`` and ``in_group`` to a table with a ``name`` column."""
 
-    name = F.col("name")
-    out_group, in_group = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for suffix, out, into in reversed(AXIS_OWNERS):
-        hit = name.endswith(suffix)
-        out_group = F.when(hit, F.lit(out)).otherwise(out_group)
-        in_group = F.when(hit, F.lit(into).cast("string")).otherwise(in_group)
-    layer = F.coalesce(layer_index(name).cast("string"), F.lit(""))
-    fill = lambda g: F.replace(g, F.lit("{n}"), layer)
-    return names.withColumn("out_group", fill(out_group)).withColumn("in_group", fill(in_group))
+    def owner(position: int) -> Column:
+        cases = " ".join(
+            f"WHEN endswith(name, '{row[0]}') THEN " + (f"'{row[position]}'" if row[position] else "NULL")
+            for row in AXIS_OWNERS
+        )
+        return F.replace(F.expr(f"CASE {cases} END"), F.lit("{n}"), layer)
+
+    layer = F.coalesce(layer_index(F.col("name")).cast("string"), F.lit(""))
+    return names.withColumn("out_group", owner(1)).withColumn("in_group", owner(2))
 
 
 def _or_fail(condition: Column, message: str) -> Column:
@@ -485,9 +487,14 @@ def rebase(tensors: DataFrame, ops: DataFrame) -> DataFrame:
     ``ops`` is ``(group, src, tgt, analysis, synthesis)`` for the groups that have a plan. A
     one-dimensional tensor (``ndim`` 1) stores its only axis in ``values``, and its output
     group turns that axis. The axis inside ``values`` is turned row by row without exploding;
-    the row axis is one join on (group, row) and a vector sum.
+    the row axis is one join on (group, row) and a vector sum. Pass a materialised ``ops``: its
+    cells are counted, and broadcast only when they are few, because one group usually owns
+    most rows.
     """
 
+    small = ops.count() * CELL_BYTES <= BROADCAST_BYTES
+    sent = F.broadcast if small else (lambda df: df)
+
     owned = axis_owners(tensors)
     flat = F.col("ndim") == 1
     owned = (
@@ -496,7 +503,7 @@ def rebase(tensors: DataFrame, ops: DataFrame) -> DataFrame:
         .withColumn("_flat", flat)
     )
     rules = _column_rules(ops).withColumnRenamed("group", "_inner")
-    joined = owned.join(rules, "_inner", "left")
+    joined = owned.join(sent(rules), "_inner", "left")
     fits = F.col("_rules").isNull() | (F.size("values") == F.col("_sources"))
     joined = joined.filter(_or_fail(fits, "inner axis and operator differ in size: "))
     weight = lambda part: F.when(F.col("_flat"), part["analysis"]).otherwise(part["synthesis"])
@@ -521,8 +528,9 @@ def rebase(tensors: DataFrame, ops: DataFrame) -> DataFrame:
         F.col("analysis").alias("_w"),
     )
     planned = ops.select(F.col("group").alias("_outer")).distinct()
+    planned = sent(planned)
     stay = inner.join(planned, "_outer", "left_anti").select("name", "row", "values")
-    to_move = inner.join(planned, "_outer", "left_semi").join(moves, ["_outer", "row"], "left")
+    to_move = inner.join(planned, "_outer", "left_semi").join(sent(moves), ["_outer", "row"], "left")
     known = F.col("_to").isNotNull()
     moved = to_move.filter(_or_fail(known, "row axis is wider than the operator: ")).select(
         "name", F.col("_to").alias("row"), scale(F.col("values"), F.col("_w")).alias("values")

@@ -419,6 +419,22 @@ def retrieval_table(spark: SparkSession, d: str) -> DataFrame:
     return _r(out, "top1", "top5", "median_rank", "chance_top1")
 
 
+def takes_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant turns against user turns of the same conversation, three frames per turn."""
+
+    takes = views.takes(spark, d)
+    pairs = views.pairs(spark, d)
+    backward = fits.ridge_map(fits.collect_moments(mom.moments(pairs, x="y", y="x"))[None], 0.01)
+    projection = views.projection_matrix()
+    aligned = backward.fold_into_projection(*projection)
+    return _r(
+        crosslingual.takes_retrieval(
+            takes, takes.select("path"), views.take_frames(spark, d), "user", projection, aligned
+        ),
+        "top1", "top5", "median_rank", "chance_top1",
+    )
+
+
 # ------------------------------------------------------------ unit matching
 
 
@@ -825,8 +841,7 @@ def aligned_tensors(spark: SparkSession, d: str) -> DataFrame:
 def tensor_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     out = fresh_path(spark, "tensors")
     writers.write_tensors(views.tensors(spark, d), out)
-    wanted = [f"encoder.layers.{g}.self_attn.q_proj.weight" for g in (0, 1, 2)]
-    read = readers.scan_tensors(spark, out, "descendant", wanted)
+    read = readers.scan_tensors(spark, out, "descendant")
     total = read.select("name", "row", V.total(F.col("values")).alias("total"))
     return _r(total, "total")
 
@@ -963,6 +978,7 @@ QUERIES = {
     "pooled_projection": pooled_projection,
     "truth_ranks": truth_ranks,
     "retrieval": retrieval_table,
+    "takes_retrieval": takes_retrieval,
     "unit_cost": unit_cost,
     "unit_cost_by_group": unit_cost_by_group,
     "unit_match": unit_match,

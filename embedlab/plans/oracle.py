@@ -547,7 +547,7 @@ ORACLE: dict[str, str] = {
     "sql_functions": q(f"""SELECT vec_id, {f16('y[1]')} AS first_half, {r('list_cosine_similarity(x, y)')} AS cos, {r('list_cosine_similarity(x, qx)')} AS kept FROM
         (SELECT vec_id, x, y, list_concat(list_transform(x[1:32], lambda v: round_even(v / (a / 127), 0) * {f16('(a / 127)')}), list_transform(x[33:64], lambda v: round_even(v / (b / 127), 0) * {f16('(b / 127)')})) AS qx FROM
          (SELECT *, list_max(list_transform(x[1:32], lambda v: abs(v))) AS a, list_max(list_transform(x[33:64], lambda v: abs(v))) AS b FROM pairs))"""),
-    "tensor_roundtrip": q(f"SELECT name, row, {r('list_sum(vals)')} AS total FROM tensors WHERE ckpt = 'descendant' AND regexp_matches(name, 'layers\\.[012]\\.')"),
+    "tensor_roundtrip": q(f"SELECT name, row, {r('list_sum(vals)')} AS total FROM tensors WHERE ckpt = 'descendant'"),
     "report_roundtrip": q(f"SELECT '?' AS chosen, (SELECT count(*) FROM pairs) AS fit_frames, 1::BIGINT AS n_groups, map, {r('r2')} AS r2, {r('cosine_mean')} AS cosine_mean FROM ({_score(_named('identity', 'diagonal'))})"),
     "probe_roundtrip": q("SELECT language::VARCHAR AS language, probe, n, top1, top5, median_rank, chance_top1 FROM rettab"),
     "mlp_scores": q(f"""SELECT vec_id, j, {r('v')} AS v FROM (SELECT vec_id, unnest(range(16)) AS j,
@@ -611,3 +611,29 @@ ORACLE["ladder_with_head"] = q(
     f"""SELECT map, {r('r2', 4)} AS r2, {r('deployed_r2', 4)} AS deployed_r2, NULL::BOOLEAN AS shippable, row_number() OVER (ORDER BY deployed_r2 DESC, ord) = 1 AS is_best FROM ({_LADDER})
     UNION ALL SELECT 'head+ridge', {r('r2', 4)}, {r('deployed_r2', 4)}, false, false FROM ({_HEAD_RUNG})"""
 )
+
+# retrieval from the takes manifest
+CTE["tkfirst"] = "SELECT lang, sentence_id AS sid, arg_min(path, ord) AS f, arg_max(path, ord) AS l, count(*) AS nt FROM takes GROUP BY 1, 2"
+CTE["tkframes"] = """SELECT path, unnest(range(64)) AS j, unnest(x) AS xv, unnest(y) AS yv FROM
+    (SELECT path, (sentence_id * 5 + fr * 3 + ord % 2) % (SELECT count(*) FROM embeddings) AS vec_id FROM takes, (SELECT unnest(range(3)) AS fr)) JOIN pairs USING (vec_id)"""
+CTE["tkpool"] = """SELECT path, list(xm ORDER BY j) AS x, list(ym ORDER BY j) AS y FROM
+    (SELECT path, j, avg(xv) AS xm, avg(yv) AS ym FROM tkframes GROUP BY 1, 2) GROUP BY path"""
+_LIFT = lambda v: f"list_transform(list_zip(p, pb), lambda z: list_dot_product(z[1], {v}) + z[2])"
+CTE["tkjoin"] = f"""SELECT o.lang, o.sid, a.nt, {_LIFT('po.x')} AS base, {_LIFT('po.y')} AS raw, {_LIFT('pr.x')} AS r, {_LIFT('ps.x')} AS second,
+    {_LIFT('my')} AS mapped FROM tkfirst o JOIN tkfirst a ON a.sid = o.sid AND a.lang = 'user' AND o.lang <> 'user'
+    JOIN (SELECT path, x, y, list_transform(list_zip(wt, b), lambda z: list_dot_product(y, z[1]) + z[2]) AS my FROM tkpool, bmap) po ON po.path = o.f
+    JOIN tkpool pr ON pr.path = a.f JOIN tkpool ps ON ps.path = a.l, proj"""
+CTE["tksets"] = """SELECT lang, sid, nt, 'second take' AS probe, second AS v, r FROM tkjoin UNION ALL SELECT lang, sid, nt, 'baseline', base, r FROM tkjoin
+    UNION ALL SELECT lang, sid, nt, 'swapped', raw, r FROM tkjoin UNION ALL SELECT lang, sid, nt, 'swapped+map', mapped, r FROM tkjoin"""
+CTE["tkmean"] = """SELECT lang, probe, list(vm ORDER BY j) AS vm, list(rm ORDER BY j) AS rm FROM (SELECT lang, probe, j, avg(vv) AS vm, avg(rv) AS rm FROM
+    (SELECT lang, probe, unnest(range(96)) AS j, unnest(v) AS vv, unnest(r) AS rv FROM tksets) GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+CTE["tkunit"] = """SELECT lang, probe, sid, nt, list_transform(v, lambda a: a / nv) AS v, list_transform(r, lambda a: a / nr) AS r FROM
+    (SELECT *, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS nv, greatest(sqrt(list_dot_product(r, r)), 1e-12) AS nr FROM
+     (SELECT lang, probe, sid, nt, list_transform(list_zip(v, vm), lambda z: z[1] - z[2]) AS v, list_transform(list_zip(r, rm), lambda z: z[1] - z[2]) AS r
+      FROM tksets JOIN tkmean USING (lang, probe)))"""
+CTE["tkranks"] = """SELECT a.lang AS language, a.probe, a.sid, any_value(a.nt) AS nt,
+    1 + sum(CASE WHEN b.sid <> a.sid AND list_dot_product(a.v, b.r) > list_dot_product(a.v, a.r) + 1e-12 THEN 1 ELSE 0 END)::BIGINT AS rank
+    FROM tkunit a JOIN tkunit b USING (lang, probe) GROUP BY 1, 2, 3"""
+ORACLE["takes_retrieval"] = q(f"""SELECT language, probe, count(*) AS n, {r("avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END)")} AS top1,
+    {r("avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END)")} AS top5, {r("median(rank)::DOUBLE")} AS median_rank,
+    {r("1.0::DOUBLE / count(*)")} AS chance_top1, sum((nt = 1)::INT)::BIGINT AS n_single_take FROM tkranks GROUP BY 1, 2""")

@@ -81,6 +81,16 @@ def takes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def take_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, frame, x, y)``: three vectors per take, near copies for takes of one sentence."""
+
+    vectors = pairs(spark, folder).select("vec_id", "x", "y")
+    total = read_table(spark, folder, "embeddings").count()
+    spread = takes(spark, folder).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    pick = (F.col("sentence_id") * 5 + F.col("frame") * 3 + F.col("ord") % 2) % total
+    return spread.withColumn("vec_id", pick).join(vectors, "vec_id").select("path", "frame", "x", "y")
+
+
 def utterances(spark: SparkSession, folder: str) -> DataFrame:
     """``(utt, lang, frame, x, y)``: four frames per utterance, three languages."""
 
