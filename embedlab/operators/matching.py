@@ -242,13 +242,14 @@ def argmax_source(ops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def identity_agreement(ops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of targets that draw on their own index; NaN when the sizes differ."""
 
-    sizes = ops.groupBy(*by).agg(F.max("src").alias("_s"), F.max("tgt").alias("_t"))
-    hits = argmax_source(ops, by).groupBy(*by).agg(
+    keys = list(by) or ["_all"]
+    marked = ops if by else ops.withColumn("_all", F.lit(0))
+    sizes = marked.groupBy(*keys).agg(F.max("src").alias("_s"), F.max("tgt").alias("_t"))
+    hits = argmax_source(marked, keys).groupBy(*keys).agg(
         F.avg((F.col("src") == F.col("tgt")).cast("double")).alias("_hit")
     )
-    joined = hits.join(sizes, list(by)) if by else hits.join(F.broadcast(sizes))
     value = F.when(F.col("_s") == F.col("_t"), F.col("_hit")).otherwise(F.lit(float("nan")))
-    return joined.select(*by, value.alias("identity_agreement"))
+    return hits.join(sizes, keys).select(*by, value.alias("identity_agreement"))
 
 
 def match_summary(cost_rows: DataFrame, plan: DataFrame, by: Sequence[str]) -> DataFrame:

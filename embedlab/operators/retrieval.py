@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from embedlab.functions import vectors as V
 from embedlab.operators.arrow import matrix
 from embedlab.operators.scoring import linear_quantile
-from embedlab.session import join_summary
+from embedlab.session import join_summary, kept_summary
 
 NORM_FLOOR = 1e-12
 BLOCK_ROWS = 16_384
@@ -109,11 +109,13 @@ def rank_matched(
     count per probe, so a hot set is spread over many equal tasks. The matching reference is
     left out of the counting, so two summation orders cannot make a row beat itself.
 
-    ``matched`` is read three times: pass a pooled, materialised table.
+    ``matched`` is read three times: pass a pooled table that was materialised.
     """
 
     by = list(by)
-    sizes = matched.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_blocks"))
+    sizes = kept_summary(
+        matched.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_blocks"))
+    )
     home = F.pmod(F.xxhash64(key), F.col("_blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
     truth = matched.withColumn("truth", V.dot(F.col("v"), F.col("r"), width))

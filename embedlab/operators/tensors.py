@@ -237,7 +237,8 @@ def missing_companions(catalog: DataFrame, anchor: str = "proj.weight") -> DataF
 def own_or_borrowed(catalog: DataFrame, donor: DataFrame) -> DataFrame:
     """Companions of each checkpoint: its own where it has a projection, else the donor's.
 
-    ``donor`` is ``(name, rows)`` with one row per companion, so it is a constant-size table.
+    ``donor`` is ``(name, rows)``; it is reduced to one row per companion, four at most, which
+    is what makes the broadcast safe.
     """
 
     own = catalog.filter(F.col("name").isin(COMPANIONS)).select("ckpt", "name", "rows")
@@ -245,8 +246,8 @@ def own_or_borrowed(catalog: DataFrame, donor: DataFrame) -> DataFrame:
         F.max((F.col("name") == "proj.weight").cast("int")).alias("_self")
     )
     wanted = per_ckpt.withColumn("name", F.explode(F.array(*[F.lit(c) for c in COMPANIONS])))
-    lent = donor.select("name", F.col("rows").alias("_lent"))
-    joined = wanted.join(own, ["ckpt", "name"], "left").join(lent, "name", "left")
+    lent = donor.filter(F.col("name").isin(COMPANIONS)).groupBy("name").agg(F.max("rows").alias("_lent"))
+    joined = wanted.join(own, ["ckpt", "name"], "left").join(F.broadcast(lent), "name", "left")
     mine = F.col("_self") == 1
     return joined.select(
         "ckpt",

@@ -12,9 +12,16 @@ from pyspark.sql import types as T
 
 from embedlab.operators import fits, scoring
 from embedlab.operators.fits import RIDGE_ALPHAS, LinearMap
-from embedlab.operators.matching import cost_matrix, integral_assignment
+from embedlab.operators.matching import (
+    cost_matrix,
+    integral_assignment,
+    integral_plan,
+    match_summary,
+    unit_cost,
+)
 from embedlab.operators.moments import MomentMatrices, moments
 from embedlab.operators.sampling import group_holdout
+from embedlab.session import materialize
 
 
 @dataclass
@@ -169,6 +176,19 @@ def chosen_projection(pairs: DataFrame, projection, alphas: Sequence[float] = RI
     return chosen.name, chosen.fold_into_projection(*projection), int(halves.fit.n)
 
 
+def unit_costs(pairs: DataFrame, by: Sequence[str], metric: str = "correlation") -> DataFrame:
+    """Unit costs per group, kept: d x d cells are read again instead of the pairs."""
+
+    return materialize(unit_cost(moments(pairs, by), metric, by))
+
+
+def transport_table(pairs: DataFrame, by: Sequence[str], metric: str = "correlation") -> DataFrame:
+    """Per group: are the units of the two sides numbered the same way?"""
+
+    cost = unit_costs(pairs, by, metric)
+    return match_summary(cost, integral_plan(cost, by), by)
+
+
 def ladder_from_moments(
     moment_rows: DataFrame, names: Sequence[str], by: Sequence[str] = (),
     alphas: Sequence[float] = RIDGE_ALPHAS,

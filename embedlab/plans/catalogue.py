@@ -438,9 +438,12 @@ def takes_retrieval(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------ unit matching
 
 
-def _cost(spark: SparkSession, d: str, by: tuple[str, ...] = ()) -> DataFrame:
-    pairs = views.pairs(spark, d).withColumn("group", F.lit("residual"))
-    return matching.unit_cost(mom.moments(pairs, by or ("group",)), "correlation", by or ("group",))
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    return views.pairs(spark, d).withColumn("group", F.lit("residual"))
+
+
+def _cost(spark: SparkSession, d: str) -> DataFrame:
+    return matching.unit_cost(mom.moments(_whole(spark, d), ["group"]), "correlation", ["group"])
 
 
 def unit_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -475,18 +478,16 @@ def unit_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_summary(spark: SparkSession, d: str) -> DataFrame:
-    cost = _cost(spark, d)
-    out = matching.match_summary(cost, matching.integral_plan(cost, ["group"]), ["group"])
     return _r(
-        out, "transport_cost", "identity_cost", "identity_agreement", "mean_self_mass", "min_self_mass"
+        alignment.transport_table(_whole(spark, d), ["group"]), "transport_cost", "identity_cost", "identity_agreement", "mean_self_mass", "min_self_mass"
     )
 
 
 def match_by_group(spark: SparkSession, d: str) -> DataFrame:
     """Invariants of one matching per label, solved in parallel."""
 
-    cost = _cost(spark, d, ("grp",))
-    plan = matching.integral_plan(cost, ["grp"])
+    cost = alignment.unit_costs(views.pairs(spark, d), ["grp"])
+    plan = materialize(matching.integral_plan(cost, ["grp"]))
     used = plan.groupBy("grp").agg(
         F.countDistinct("src").alias("n_src"), F.countDistinct("tgt").alias("n_tgt"),
         F.sum("mass").alias("mass"),
@@ -501,7 +502,7 @@ def barycentric_match(spark: SparkSession, d: str) -> DataFrame:
 
     p, pb = views.projection_matrix()
     pairs = scoring.project(views.pairs(spark, d).select("x", "y"), p, pb, "y", "y")
-    cost = matching.unit_cost(mom.moments(pairs))
+    cost = alignment.unit_costs(pairs, [])
     plan = matching.barycentric_plan(cost)
     # d x d cells: one windowed pass gives both marginals next to each cell
     cells = cost.join(plan, ["src", "tgt"], "left").na.fill(0.0, ["mass"])
@@ -855,7 +856,7 @@ def report_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     header = pairs.agg(F.count(F.lit(1)).alias("fit_frames"))
     out = fresh_path(spark, "report")
     writers.write_report(
-        writers.build_report(header, rungs, matching.match_summary(_cost(spark, d), matching.integral_plan(_cost(spark, d), ["group"]), ["group"])), out
+        writers.build_report(header, rungs, alignment.transport_table(_whole(spark, d), ["group"])), out
     )
     read = readers.scan_report(spark, out)
     listed = read.select(

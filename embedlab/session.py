@@ -98,17 +98,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_summary(summary: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """Per-key statistics, computed once and kept, marked for broadcast only if their counted
+    size is below ``BROADCAST_BYTES``."""
+
+    kept = materialize(summary)
+    return F.broadcast(kept) if kept.count() * row_bytes <= BROADCAST_BYTES else kept
+
+
 def join_summary(
     rows: DataFrame, summary: DataFrame, keys: Sequence[str], row_bytes: int = 64
 ) -> DataFrame:
     """Join rows with per-key statistics, without shuffling the rows when that is safe.
 
-    The statistics are computed once and kept; they are broadcast only if their counted size
-    is below ``BROADCAST_BYTES``. A larger table goes through an ordinary shuffle join, where
-    adaptive execution splits hot keys.
+    Too large a summary goes through a shuffle join, where adaptive execution splits hot keys.
     """
 
-    kept = materialize(summary)
-    if kept.count() * row_bytes <= BROADCAST_BYTES:
-        kept = F.broadcast(kept)
-    return rows.join(kept, list(keys))
+    return rows.join(kept_summary(summary, row_bytes), list(keys))
