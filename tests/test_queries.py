@@ -5,7 +5,7 @@ from compare import connect, difference
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = entry.QUERIES, entry.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def test_every_query_has_a_check():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, folder, con, name):
-    assert difference(QUERIES[name](spark, folder), con, ORACLE[name]) is None
+    assert difference(entry.queries()[name](spark, folder), con, ORACLE[name]) is None
 
 
 def test_entry(spark):
