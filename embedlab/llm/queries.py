@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from embedlab.llm.suffix_dedup import remove_repeated_bytes
+from embedlab.llm.bpe import encode_decode
+from embedlab.llm.exact_dedup import exact_duplicates
+from embedlab.llm.language import identify_languages
+from embedlab.llm.packing import pack_documents
 from embedlab.llm.substring_dedup import remove_repeated_words
+from embedlab.llm.suffix_dedup import remove_repeated_bytes
 from embedlab.sources.tables import read_table
 
 
@@ -14,14 +18,43 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(read_table(spark, folder, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = remove_repeated_bytes(read_table(spark, folder, "documents"), keep_first=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(read_table(spark, folder, "documents"))
+
+
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_decode(read_table(spark, folder, "documents"), outputs=False)
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_languages(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_bpe": op7_bpe,
+    "op8_language": op8_language,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_exact_dedup": """
+        WITH folded AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                     'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents)
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+        FROM folded WINDOW same AS (PARTITION BY t)""",
+}
