@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from embedlab.llm.archives import read_archives, write_archives
 from embedlab.llm.bpe import encode_decode
 from embedlab.llm.exact_dedup import exact_duplicates
 from embedlab.llm.language import identify_languages
 from embedlab.llm.packing import pack_documents
+from embedlab.llm.privacy import find_personal_data
 from embedlab.llm.substring_dedup import remove_repeated_words
 from embedlab.llm.suffix_dedup import remove_repeated_bytes
+from embedlab.llm.topk import integer_vectors, top_products
 from embedlab.sources.tables import read_table
 
 
@@ -31,6 +35,11 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read_table(spark, folder, "documents"))
 
 
+def op6_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = integer_vectors(read_table(spark, folder, "embeddings"))
+    return top_products(vectors, vectors.where(F.col("_id") % 100 == 0))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_decode(read_table(spark, folder, "documents"), outputs=False)
 
@@ -39,13 +48,25 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify_languages(read_table(spark, folder, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(read_table(spark, folder, "documents")).drop("redacted")
+
+
+def op10_web_archives(spark: SparkSession, folder: str) -> DataFrame:
+    records = read_archives(write_archives(read_table(spark, folder, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_top_products": op6_top_products,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
+    "op9_personal_data": op9_personal_data,
+    "op10_web_archives": op10_web_archives,
 }
 
 ORACLE = {
@@ -57,4 +78,15 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM folded WINDOW same AS (PARTITION BY t)""",
+    "op6_top_products": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, p.vec_id, list_dot_product(q.v, p.v)::BIGINT AS score
+            FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM scored
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER best <= 10""",
 }
