@@ -29,6 +29,7 @@ SEGMENTS_PER_DOCUMENT = 6
 SEGMENT_WORDS = 24
 BLOCK = 32
 BATCH_BYTES = 2 << 20
+MIN_SCORE = 0.35
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -265,6 +266,35 @@ def _fit(parts: list[tuple[int, list[str]]], languages: list[str], epochs: int)
     return chain
 
 
+def label_texts(
+    chain: Chain | None, texts: list[str | None]
+) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, number of words and of language switches of every text."""
+
+    lists = [words_of(text) for text in texts]
+    lengths = np.array([len(words) for words in lists], dtype=np.int64)
+    names, scores = [UNDETERMINED] * len(lists), np.zeros(len(lists))
+    switches = np.zeros(len(lists), np.int64)
+    filled = np.flatnonzero(lengths)
+    if chain is None or len(filled) == 0:
+        return names, scores, lengths, switches
+    distinct = {w: i for i, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
+    emission = chain.scores(list(distinct))
+    flat = np.fromiter((distinct[w] for x in lists for w in x), np.int64, int(lengths.sum()))
+    posterior, _ = forward_backward(emission[flat], lengths[filled], chain.transitions)
+    starts = (np.cumsum(lengths) - lengths)[filled]
+    mean = np.add.reduceat(posterior, starts, axis=0) / lengths[filled][:, None]
+    best = mean.argmax(axis=1)
+    likely = posterior.argmax(axis=1)
+    change = np.concatenate((likely[1:] != likely[:-1], [False]))
+    change[(starts[1:] - 1)] = False
+    switches[filled] = np.add.reduceat(change, starts)
+    scores[filled] = np.clip(mean[np.arange(len(best)), best], 0.0, 1.0)
+    for i, k in zip(filled.tolist(), best.tolist()):
+        names[i] = chain.languages[k]
+    return names, scores, lengths, switches
+
+
 def _labeller(broadcast) -> Callable:
     schema = pa.schema(
         [
@@ -278,31 +308,9 @@ def _labeller(broadcast) -> Callable:
     )
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain: Chain | None = broadcast.value
         for batch in batches:
             for part, texts in slices(batch, "text", BATCH_BYTES):
-                lists = [words_of(text) for text in texts]
-                lengths = np.array([len(words) for words in lists], dtype=np.int64)
-                names, scores = [UNDETERMINED] * len(lists), np.zeros(len(lists))
-                switches = np.zeros(len(lists), np.int64)
-                filled = np.flatnonzero(lengths)
-                if chain is not None and len(filled):
-                    distinct = {w: i for i, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
-                    emission = chain.scores(list(distinct))
-                    flat = np.fromiter(
-                        (distinct[w] for x in lists for w in x), np.int64, int(lengths.sum())
-                    )
-                    posterior, _ = forward_backward(emission[flat], lengths[filled], chain.transitions)
-                    starts = (np.cumsum(lengths) - lengths)[filled]
-                    mean = np.add.reduceat(posterior, starts, axis=0) / lengths[filled][:, None]
-                    best = mean.argmax(axis=1)
-                    likely = posterior.argmax(axis=1)
-                    change = np.concatenate((likely[1:] != likely[:-1], [False]))
-                    change[(starts[1:] - 1)] = False
-                    switches[filled] = np.add.reduceat(change, starts)
-                    scores[filled] = np.clip(mean[np.arange(len(best)), best], 0.0, 1.0)
-                    for i, k in zip(filled.tolist(), best.tolist()):
-                        names[i] = chain.languages[k]
+                names, scores, lengths, switches = label_texts(broadcast.value, texts)
                 yield record_batch(
                     {
                         "doc_id": part.column("doc_id"),
@@ -336,3 +344,28 @@ def identify_languages(docs: DataFrame, chain: Chain | None = None) -> DataFrame
         _labeller(spark.sparkContext.broadcast(chain)),
         "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long",
     )
+
+
+def keep_identified(docs: DataFrame, chain: Chain | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with at least ``min_score``; the others (no
+    letters, or no language clearly ahead) go. All columns stay as they are, whatever their names.
+
+    Without anything to learn from all rows stay that have a letter.
+    """
+
+    spark = docs.sparkSession
+    prepare(spark)
+    chain = chain or train_chain(docs)
+    broadcast = spark.sparkContext.broadcast(chain)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, "text", BATCH_BYTES):
+                if broadcast.value is None:
+                    stay = [bool(words_of(t)) for t in texts]
+                else:
+                    names, scores, _, _ = label_texts(broadcast.value, texts)
+                    stay = [n != UNDETERMINED and s >= min_score for n, s in zip(names, scores)]
+                yield part.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

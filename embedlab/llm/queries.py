@@ -9,6 +9,7 @@ from embedlab.llm.archives import read_archives, write_archives
 from embedlab.llm.bpe import encode_decode
 from embedlab.llm.exact_dedup import exact_duplicates
 from embedlab.llm.language import identify_languages
+from embedlab.llm.near_dedup import near_duplicates
 from embedlab.llm.packing import pack_documents
 from embedlab.llm.privacy import find_personal_data
 from embedlab.llm.substring_dedup import remove_repeated_words
@@ -26,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(read_table(spark, folder, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = remove_repeated_bytes(read_table(spark, folder, "documents"), keep_first=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -60,6 +65,7 @@ def op10_web_archives(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_top_products": op6_top_products,

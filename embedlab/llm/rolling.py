@@ -94,14 +94,18 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
-def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of the maximal stretches of equal values."""
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the maximal stretches of rows equal in all columns."""
 
-    if len(values) == 0:
+    length = len(columns[0])
+    if length == 0:
         empty = np.empty(0, np.int64)
         return empty, empty
-    cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
-    return np.concatenate(([0], cuts)), np.concatenate((cuts, [len(values)]))
+    changed = np.zeros(length - 1, bool)
+    for values in columns:
+        changed |= values[1:] != values[:-1]
+    cuts = np.flatnonzero(changed) + 1
+    return np.concatenate(([0], cuts)), np.concatenate((cuts, [length]))
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
