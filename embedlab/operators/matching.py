@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from embedlab.functions import vectors as V
 from embedlab.operators.arrow import list_array, matrix
-from embedlab.operators.moments import PARTIAL_FIELDS, MomentMatrices, PartialSums, per_group, sum_cells
+from embedlab.operators.moments import PARTIAL_FIELDS, MomentMatrices, PartialSums, sum_cells
 from embedlab.session import join_summary
 
 FLOOR = 1e-12
@@ -45,18 +45,21 @@ def rms_normalize(
     return out.drop(*[f"_rms_{c}" for c in columns])
 
 
-def cost_matrix(m: MomentMatrices, metric: str) -> np.ndarray:
+def _centering(metric: str) -> float:
+    """1 where sums of products are taken about the means, 0 where they are taken as they are."""
+
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; choose from {', '.join(METRICS)}")
-    if m.n == 0:
-        raise ValueError("no rows behind these moments")
-    cross, xx, yy = m.sxy, np.diag(m.sxx), np.diag(m.syy)
-    if metric == "correlation":
-        cross = cross - np.outer(m.sx, m.sy) / m.n
-        xx = xx - np.square(m.sx) / m.n
-        yy = yy - np.square(m.sy) / m.n
-    length = np.outer(np.sqrt(np.maximum(xx, FLOOR)), np.sqrt(np.maximum(yy, FLOOR)))
-    return 1.0 - cross / length
+    return float(metric == "correlation")
+
+
+def unit_distances(m: MomentMatrices, metric: str) -> np.ndarray:
+    """The matrix behind ``unit_cost``, for moments that are on the driver already."""
+
+    about = _centering(metric) / m.n
+    x_scale = 1.0 / np.sqrt(np.maximum(np.diag(m.sxx) - about * m.sx**2, FLOOR))
+    y_scale = 1.0 / np.sqrt(np.maximum(np.diag(m.syy) - about * m.sy**2, FLOOR))
+    return 1.0 - x_scale[:, None] * (m.sxy - about * m.sx[:, None] * m.sy) * y_scale
 
 
 def _grid(values: np.ndarray, name: str, keep: np.ndarray | None = None) -> pd.DataFrame:
@@ -67,10 +70,39 @@ def _grid(values: np.ndarray, name: str, keep: np.ndarray | None = None) -> pd.D
 
 
 def unit_cost(moment_rows: DataFrame, metric: str = "correlation", by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., src, tgt, cost)``; smaller means the two units behave alike."""
+    """``(by..., src, tgt, cost)``; smaller means the two units behave alike.
 
-    return per_group(
-        moment_rows, by, lambda m: _grid(cost_matrix(m, metric), "cost"), "src int, tgt int, cost double"
+    Equi-joins of moment rows: the products of each pair of units meet the sums of the two units, so
+    no group is held in one task. ``moment_rows`` is read four times; keep it first when it is costly.
+    """
+
+    about = F.lit(_centering(metric))
+    keys = list(by) or ["_all"]
+    cells = moment_rows if by else moment_rows.withColumn("_all", F.lit(0))
+
+    def units(first: str, second: str, unit: str, total: str, length: str) -> DataFrame:
+        """Per unit its sum and, about the mean or not, its length."""
+
+        own = cells.filter(F.col("kind").isin("n", first, second) & ((F.col("kind") != second) | (F.col("i") == F.col("j"))))
+        counts = own.filter("kind = 'n'").select(*keys, F.col("v").alias("_n"))
+        sums = own.filter("kind <> 'n'").groupBy(*keys, F.col("i").alias(unit)).agg(
+            F.sum(F.when(F.col("kind") == first, F.col("v"))).alias(total),
+            F.sum(F.when(F.col("kind") == second, F.col("v"))).alias("_square"),
+        )
+        spread = F.col("_square") - about * F.col(total) * F.col(total) / F.col("_n")
+        return sums.join(counts, keys).select(
+            *keys, unit, total, F.sqrt(F.greatest(spread, F.lit(FLOOR))).alias(length), F.col("_n").alias(f"_n_{unit}")
+        )
+
+    sources = units("sx", "sxx", "src", "_sx", "_lx")
+    targets = units("sy", "syy", "tgt", "_sy", "_ly").drop("_n_tgt")
+    crossed = cells.filter("kind = 'sxy'").select(
+        *keys, F.col("i").alias("src"), F.col("j").alias("tgt"), F.col("v").alias("_sxy")
+    )
+    together = F.col("_sxy") - about * F.col("_sx") * F.col("_sy") / F.col("_n_src")
+    joined = crossed.join(sources, [*keys, "src"]).join(targets, [*keys, "tgt"])
+    return joined.select(
+        *by, "src", "tgt", (1.0 - together / (F.col("_lx") * F.col("_ly"))).alias("cost")
     )
 
 
@@ -150,13 +182,15 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def integral_assignment(cost: np.ndarray) -> np.ndarray:
     """Source unit of every target unit; sources are used as evenly as possible."""
 
-    owner = np.full(cost.shape[1], -1, dtype=np.int64)
-    open_targets = np.arange(cost.shape[1])
-    while len(open_targets):
-        src, local = assign(cost[:, open_targets])
-        owner[open_targets[local]] = src
-        open_targets = open_targets[owner[open_targets] < 0]
-    return owner
+    sources, targets = cost.shape
+    share, rest = divmod(targets, sources)
+    # one flow from targets to sources: the even share first, at a rebate that beats any detour, then
+    # one more unit per source for what is left over
+    rebate = (np.ptp(cost) + 1.0) * targets if share and rest else 0.0
+    choices = [cost.T - rebate] * bool(share) + [cost.T] * bool(rest)
+    room = [np.full(sources, share)] * bool(share) + [np.ones(sources)] * bool(rest)
+    flow = transport(np.hstack(choices), np.ones(targets), np.concatenate(room))
+    return flow.argmax(axis=1) % sources
 
 
 def barycentric_amounts(cost: np.ndarray) -> np.ndarray:

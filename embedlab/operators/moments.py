@@ -40,7 +40,9 @@ def moments(
 
     With known small ``widths`` the sums are ordinary aggregate expressions. Otherwise each
     input partition is reduced by matrix products on Arrow batches, and only the reduced
-    arrays are shuffled.
+    arrays are shuffled: about 3 d^2 cells per input partition and group, added up in the shuffle's
+    reducers. For wide vectors make input partitions large (``spark.sql.files.maxPartitionBytes``), or
+    give ``max_partials`` to pack them; it also bounds the number of tasks of the pass.
     """
 
     if widths is not None:
@@ -188,11 +190,8 @@ def partial_moments(
 
 
 def _arrow_moments(pairs, by, x, y, full_yy, max_partials) -> DataFrame:
-    spark = pairs.sparkSession
-    if max_partials is None:
-        # each partial is d*d cells, so their number is tied to the cores, not to the files
-        max_partials = 2 * spark.sparkContext.defaultParallelism
-    partial = partial_moments(pairs.coalesce(max_partials), by, x, y, full_yy)
+    source = pairs if max_partials is None else pairs.coalesce(max_partials)
+    partial = partial_moments(source, by, x, y, full_yy)
     # arrays are shuffled whole; the cell sums below reuse this partitioning
     rows = partial.repartition(*by, "kind", "i")
     return sum_cells(rows, by)

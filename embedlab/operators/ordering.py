@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from embedlab.session import join_summary, materialize
 
-SMALL_KEY_COUNT = 100_000
 DEFAULT_BLOCK = 65_536
 
 
@@ -52,37 +51,31 @@ def dense_positions(
 
 def boundary_key(df: DataFrame, column: str, place) -> tuple[object, int, int]:
     """``(key, n, total)``: the ``n``-th (one-based) distinct key in sort order, where
-    ``place(total)`` gives ``n``.
+    ``place(total)`` gives ``n``. A null key is an error.
 
-    Up to ``SMALL_KEY_COUNT`` keys are sorted on the driver after a limited collect; more keys
-    are placed by range partitioning and only the wanted one is fetched.
+    The distinct keys are placed by range partitioning, once, and only the wanted one is fetched.
     """
 
-    keys = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    few = [row[0] for row in keys.limit(SMALL_KEY_COUNT + 1).collect()]
-    if len(few) <= SMALL_KEY_COUNT:
-        n = place(len(few))
-        # Python compares code points, Spark compares UTF-8 bytes: the same order
-        return (sorted(few)[n - 1] if 0 < n <= len(few) else None), n, len(few)
-    total = keys.count()
+    nothing = F.raise_error(F.lit(f"{column} has null keys")).cast("boolean")
+    keys = df.select(column).distinct().filter(F.when(F.col(column).isNull(), nothing).otherwise(F.lit(True)))
+    placed = materialize(dense_positions(keys, [], [column], "_p"))
+    total = placed.count()
     n = place(total)
-    placed = dense_positions(keys, [], [column], "_p").filter(F.col("_p") == n - 1)
-    found = placed.select(column).first()
+    found = placed.filter(F.col("_p") == n - 1).select(column).first()
     return (found[0] if found else None), n, total
 
 
 def with_halo(
     df: DataFrame, position: str, left: int, block: int = DEFAULT_BLOCK
 ) -> DataFrame:
-    """Assign rows to blocks of ``block`` positions and copy the last ``left`` rows of each
+    """Assign rows to blocks of ``block`` positions (``left`` if that is more) and copy the last ``left`` rows of each
     block into the next one.
 
     ``_block`` is the block to window over and ``_own`` says whether the row belongs to it. A
     window over (key, ``_block``) sees everything a frame of ``left`` earlier rows needs.
     """
 
-    if left > block:
-        raise ValueError(f"a left context of {left} does not fit a block of {block}")
+    block = max(block, left)
     home = F.floor(F.col(position) / block)
     spill = F.pmod(F.col(position), F.lit(block)) >= block - left
     blocks = F.when(spill, F.array(home, home + 1)).otherwise(F.array(home))

@@ -27,6 +27,35 @@ def pair_frames(
     return both.filter(guard.otherwise(F.lit(True))).select(*on, x, y)
 
 
+def guarded_join(
+    tables: dict[str, tuple[DataFrame, str]], on: Sequence[str], carry: Sequence[str] = ()
+) -> DataFrame:
+    """Equi-join of two or more tables of arrays that must have the same keys and widths.
+
+    ``tables`` maps the name of each result column to (table, column); ``carry`` are further columns of
+    the first table. A key missing from a table, or arrays of different sizes, fail the job. The guard
+    rides on the one full outer join: no second pass compares keys.
+    """
+
+    on = list(on)
+    joined = None
+    for place, (name, (table, column)) in enumerate(tables.items()):
+        extra = [c for c in carry if c not in on] if place == 0 else []
+        part = table.select(*on, *extra, F.col(column).alias(name), F.lit(True).alias(f"_in_{name}"))
+        joined = part if joined is None else joined.join(part, on, "full_outer")
+    names = list(tables)
+    key = F.concat_ws("/", *[F.col(c).cast("string") for c in on])
+    absent = F.concat_ws(",", *[F.when(F.col(f"_in_{n}").isNull(), F.lit(n)) for n in names])
+    missing = F.raise_error(F.concat(F.lit("missing from "), absent, F.lit(": "), key)).cast("boolean")
+    uneven = F.raise_error(F.concat(F.lit("widths differ: "), key)).cast("boolean")
+    size = F.size(names[0])
+    same = F.lit(True)
+    for name in names[1:]:
+        same = same & size.eqNullSafe(F.size(name))
+    guard = F.when(absent != "", missing).when(~same, uneven).otherwise(F.lit(True))
+    return joined.filter(guard).select(*on, *[c for c in carry if c not in on], *names)
+
+
 def unpaired_counts(source: DataFrame, target: DataFrame, clip: str) -> DataFrame:
     """Clips whose two frame counts differ."""
 
@@ -89,9 +118,13 @@ def hook_group(key: Column) -> Column:
 
 
 def match_hook_points(source: DataFrame, target: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Join two activation tables on hook key and frame, then collapse residual keys."""
+    """Join two activation tables on hook key and frame, then collapse residual keys.
+
+    A source row without a target fails the job; targets nobody asked for are left out.
+    """
 
-    joined = source.join(target, list(on))
+    value = next(c for c in target.columns if c not in on)
+    joined = left_driven_join(source, target, on, value).withColumnRenamed("_right", value)
     return joined.withColumn("grp", hook_group(F.col(on[0])))
 
 

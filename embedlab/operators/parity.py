@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedlab.functions.text import numbers
-from embedlab.operators.pairing import pair_frames
+from embedlab.operators.pairing import guarded_join
 
 # Tolerance in standard deviations, edge length and scale floor.
 TOLERANCE = 0.05
@@ -124,10 +124,11 @@ def format_block(described: DataFrame, begin: str = "=== BEGIN ===", end: str =
 def parity(mine: DataFrame, theirs: DataFrame, by: Sequence[str], tolerance: float = TOLERANCE) -> DataFrame:
     """``(by..., check, delta, ok)``: differences in units of our standard deviation.
 
-    ``theirs`` has a ``block`` struct; the checks of a group all pass or the group fails.
+    ``theirs`` has a ``block`` struct; the checks of a group all pass or the group fails. A group
+    without a log, or whose log has no block, fails every check and has no deltas.
     """
 
-    joined = mine.join(theirs.select(*by, "block"), list(by))
+    joined = mine.join(theirs.select(*by, "block"), list(by), "left")
     b = lambda f: F.col(f"block.{f}")
     scale = F.greatest(F.col("std"), F.lit(SCALE_FLOOR))
     worst = lambda own, other: F.array_max(
@@ -135,7 +136,8 @@ def parity(mine: DataFrame, theirs: DataFrame, by: Sequence[str], tolerance: flo
     ) / scale
     same_shape = (F.col("width") == b("width")) & (F.col("frames") == b("frames"))
     rows = [
-        F.struct(F.lit("shape").alias("check"), F.lit(0.0).alias("delta"), same_shape.alias("ok"))
+        F.struct(F.lit(name).alias("check"), F.lit(0.0).alias("delta"), F.coalesce(ok, F.lit(False)).alias("ok"))
+        for name, ok in (("block", F.col("block").isNotNull()), ("shape", same_shape))
     ]
     deltas = {
         "first": worst(F.col("first"), b("first")),
@@ -143,7 +145,7 @@ def parity(mine: DataFrame, theirs: DataFrame, by: Sequence[str], tolerance: flo
         **{k: F.abs(F.col(k) - b(k)) / scale for k in ("mean", "std", "min", "max")},
     }
     rows += [
-        F.struct(F.lit(k).alias("check"), d.alias("delta"), (d < tolerance).alias("ok"))
+        F.struct(F.lit(k).alias("check"), d.alias("delta"), F.coalesce(d < tolerance, F.lit(False)).alias("ok"))
         for k, d in deltas.items()
     ]
     return joined.select(*by, F.inline(F.array(*rows)))
@@ -160,9 +162,7 @@ def vector_diff(
 ) -> DataFrame:
     """Mean and largest absolute error, and the cosine of the two sets taken as one vector."""
 
-    left = a.select(*key, *[c for c in by if c not in key], F.col(values).alias("_x"))
-    right = b.select(*key, F.col(values).alias("_y"))
-    joined = pair_frames(left, right, key, "_x", "_y") if not by else left.join(right, list(key))
+    joined = guarded_join({"_x": (a, values), "_y": (b, values)}, key, carry=by)
     fold = lambda f: F.aggregate(
         F.zip_with("_x", "_y", f), F.lit(0.0), lambda s, v: s + v
     )

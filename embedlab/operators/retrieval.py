@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from embedlab.functions import vectors as V
 from embedlab.operators.arrow import matrix
 from embedlab.operators.scoring import linear_quantile
-from embedlab.session import join_summary, kept_summary
+from embedlab.session import BROADCAST_BYTES, kept_summary, materialize
 
 NORM_FLOOR = 1e-12
 BLOCK_ROWS = 16_384
@@ -45,8 +45,11 @@ def center_and_normalize(
     """Subtract each set's own mean and divide by the norm, column by column."""
 
     means = mean_pool(vectors, by, columns, width)
-    means = means.toDF(*by, *[f"_mean_{c}" for c in columns])
-    out = join_summary(vectors, means, by, 64 + 8 * len(columns) * (width or 4096))
+    means = materialize(means.toDF(*by, *[f"_mean_{c}" for c in columns]))
+    # the size is measured, as widths may be unknown
+    cells = means.agg(F.sum(sum(F.size(f"_mean_{c}") for c in columns)).cast("long"), F.count(F.lit(1))).first()
+    small = 8 * (cells[0] or 0) + 64 * cells[1] <= BROADCAST_BYTES
+    out = vectors.join(F.broadcast(means) if small else means, list(by))
     for c in columns:
         out = out.withColumn(c, V.subtract(F.col(c), F.col(f"_mean_{c}")))
         out = out.withColumn(
@@ -154,19 +157,20 @@ def rank_matched(
     return counted.groupBy(*by, key).agg((F.sum("greater") + 1).alias("rank"))
 
 
-def retrieval_summary(ranks: DataFrame, by: Sequence[str], rows: int | None = None) -> DataFrame:
-    """Top-1 and top-5 shares, median rank, size and chance level per set."""
+def retrieval_summary(ranks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Top-1 and top-5 shares, median rank, size and chance level per set.
+
+    ``ranks`` is read three times: keep it first.
+    """
 
     by = list(by)
     shares = ranks.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg((F.col("rank") <= 1).cast("double")).alias("top1"),
         F.avg((F.col("rank") <= 5).cast("double")).alias("top5"),
-        *([F.median("rank").alias("median_rank")] if rows is not None and rows <= 1_000_000 else []),
     )
-    if "median_rank" not in shares.columns:
-        middle = linear_quantile(
-            ranks.withColumn("_rank", F.col("rank").cast("double")), by, "_rank", 0.5, rows, "median_rank"
-        )
-        shares = shares.join(middle, by)
+    middle = linear_quantile(
+        ranks.withColumn("_rank", F.col("rank").cast("double")), by, "_rank", 0.5, "median_rank"
+    )
+    shares = shares.join(middle, by)
     return shares.withColumn("chance_top1", 1.0 / F.col("n"))

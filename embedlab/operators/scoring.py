@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from embedlab.operators.arrow import list_array, matrix, replace_column
 from embedlab.operators.fits import FLOOR, LinearMap
 from embedlab.operators.moments import MomentMatrices
+from embedlab.session import materialize
 
 COSINE_FLOOR = 1e-8
-EXACT_PERCENTILE_ROWS = 1_000_000
 SKETCH_ACCURACY = 100_000
 
 
@@ -130,36 +130,23 @@ def lifted_map(mapping: LinearMap, target_width: int, projection=None) -> Linear
     p, pb = projection
     if p.shape[0] != target_width or p.shape[1] != mapping.weight.shape[1]:
         raise ValueError(f"map {mapping.name} does not reach {target_width} units")
-    return LinearMap(
-        mapping.name, mapping.weight @ p.T, mapping.bias @ p.T + pb, mapping.ord, mapping.alpha
-    )
+    return mapping.then(p.T, pb)
 
 
 # ---------------------------------------------------------------- exact quantiles
 
 
 def linear_quantile(
-    df: DataFrame, by: Sequence[str], value: str, p: float, rows: int | None = None,
-    name: str = "q",
+    df: DataFrame, by: Sequence[str], value: str, p: float, name: str = "q",
+    accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """Exact quantile with linear interpolation per group.
 
-    Up to a million rows the built-in exact aggregate is used. Beyond that its buffer would
-    grow with the data, so a sketch first brackets the two order statistics and only the
-    distinct values inside the bracket are sorted; the answer is still exact.
+    The built-in exact aggregate holds all distinct values of a group. Here a sketch of fixed size
+    first brackets the two order statistics, and only the distinct values inside the bracket are
+    sorted; the answer is exact as well. ``df`` is read twice: keep it first when it is costly.
     """
 
-    if rows is None:
-        rows = df.count()
-    if rows <= EXACT_PERCENTILE_ROWS:
-        return df.groupBy(*by).agg(F.percentile(value, F.lit(p)).alias(name))
-    return bracketed_quantile(df, by, value, p, name)
-
-
-def bracketed_quantile(
-    df: DataFrame, by: Sequence[str], value: str, p: float, name: str = "q",
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
     by = list(by)
     slack = 3.0 / accuracy
     ends = [max(p - slack, 0.0), min(p + slack, 1.0)]
@@ -177,14 +164,15 @@ def bracketed_quantile(
     high = F.when(F.lit(ends[1] == 1.0), F.col("_most")).otherwise(F.col("_ends")[1])
     sketch = sketch.select(*keys, "_n", low.alias("_low"), high.alias("_high"))
     inside = source.select(*keys, F.col(value).alias("_v")).join(sketch, keys)
-    # everything below the bracket collapses to one counted row per group
-    clipped = F.when(F.col("_v") < F.col("_low"), F.lit(None)).otherwise(F.col("_v"))
+    # what lies below or above the bracket collapses to one counted row per group, with the value next
+    # to the bracket: in a small group the order statistic may be one place outside
+    band = F.when(F.col("_v") < F.col("_low"), -1).when(F.col("_v") > F.col("_high"), 1).otherwise(0)
     counted = (
-        inside.filter(F.col("_v") <= F.col("_high"))
-        .groupBy(*keys, "_n", clipped.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        inside.groupBy(*keys, "_n", band.alias("_band"), F.when(band == 0, F.col("_v")).alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last"))
+        .withColumn("_v", F.when(F.col("_band") < 0, F.col("_last")).otherwise(F.col("_first")))
     )
-    running = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    running = Window.partitionBy(*keys).orderBy("_band", "_at")
     place = F.lit(p) * (F.col("_n") - 1)
     ranked = counted.withColumn("_upto", F.sum("_c").over(running))
     picked = ranked.groupBy(*keys).agg(
@@ -269,7 +257,6 @@ def score_rows(
     projection=None,
     x: str = "x",
     y: str = "y",
-    rows: int | None = None,
 ) -> DataFrame:
     """``(ord, map, alpha, r2, relative_error, cosine_mean, cosine_p05)`` per map.
 
@@ -281,26 +268,16 @@ def score_rows(
     # `ord` keys the score rows, so maps scored together need distinct ones
     if len({m.ord for m in maps}) != len(maps):
         raise ValueError("maps scored together must have distinct ord values")
-    if rows is None:
-        rows = pairs.count()
-    parts = score_parts(pairs, maps, x, y)
-    if rows <= EXACT_PERCENTILE_ROWS:
-        reduced = parts.groupBy("ord", "j").agg(
-            F.sum("a").alias("a"),
-            F.sum("b").alias("b"),
-            F.sum("n").alias("n"),
-            F.avg("cos").alias("cosine_mean"),
-            F.percentile("cos", F.lit(0.05)).alias("cosine_p05"),
-        )
-    else:
-        reduced = parts.groupBy("ord", "j").agg(
-            F.sum("a").alias("a"),
-            F.sum("b").alias("b"),
-            F.sum("n").alias("n"),
-            F.avg("cos").alias("cosine_mean"),
-        )
-        tail = bracketed_quantile(parts.filter("ord >= 0"), ["ord"], "cos", 0.05, "cosine_p05")
-        reduced = reduced.join(tail, "ord", "left")
+    # two numbers per row and map, kept so that every product is made once
+    parts = materialize(score_parts(pairs, maps, x, y))
+    reduced = parts.groupBy("ord", "j").agg(
+        F.sum("a").alias("a"),
+        F.sum("b").alias("b"),
+        F.sum("n").alias("n"),
+        F.avg("cos").alias("cosine_mean"),
+    )
+    tail = linear_quantile(parts.filter("ord >= 0"), ["ord"], "cos", 0.05, "cosine_p05")
+    reduced = reduced.join(tail, "ord", "left")
     # d + (number of maps) rows from here on
     whole = Window.partitionBy(F.lit(0))
     target = F.col("ord") < 0
@@ -324,13 +301,11 @@ def score_rows(
     )
 
 
-def score_deployed(
-    pairs: DataFrame, maps: Sequence[LinearMap], projection, rows: int | None = None
-) -> DataFrame:
+def score_deployed(pairs: DataFrame, maps: Sequence[LinearMap], projection) -> DataFrame:
     """Scores of the folded, quantised maps against the projected target."""
 
     p, pb = projection
-    return score_rows(pairs, [deployed_map(m, p, pb) for m in maps], rows=rows).select(
+    return score_rows(pairs, [deployed_map(m, p, pb) for m in maps]).select(
         "ord",
         F.col("r2").alias("deployed_r2"),
         F.col("cosine_mean").alias("deployed_cosine_mean"),

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from embedlab.functions import quant
 from embedlab.functions.vectors import scale
 from embedlab.functions.text import has_any_suffix, layer_index, layer_suffix
-from embedlab.operators.pairing import left_driven_join, require_same_keys
+from embedlab.operators.pairing import guarded_join, left_driven_join
 from embedlab.session import BROADCAST_BYTES
 
+# Fixed value: the tensor that every complete layer has.
+LAYER_ANCHOR = ".norm_out.weight"
+
 # Name endings by stored precision.
 F16_SUFFIXES = [
     "encoder.subsampling.conv_in.weight",
@@ -204,12 +207,14 @@ def to_short(catalog: DataFrame) -> DataFrame:
 
 
 def count_layers(catalog: DataFrame) -> DataFrame:
-    """``(ckpt, n_layers)``: length of the run 0, 1, 2, ... up to the first gap.
+    """``(ckpt, n_layers)``: length of the run 0, 1, 2, ... of layers that have the anchor tensor.
 
-    The set of layer numbers per checkpoint is what is gathered, a handful of integers.
+    A checkpoint without layer 0 counts 0; ``require_layers`` makes that an error. The set of layer
+    numbers per checkpoint is what is gathered, a handful of integers.
     """
 
-    layers = catalog.select("ckpt", layer_index(F.col("name")).alias("layer")).distinct()
+    anchored = F.when(F.col("name").endswith(LAYER_ANCHOR), layer_index(F.col("name")))
+    layers = catalog.select("ckpt", anchored.alias("layer")).distinct()
     gathered = layers.groupBy("ckpt").agg(F.sort_array(F.collect_list("layer")).alias("_l"))
     run = F.size(
         F.filter("_l", lambda v, i: v == i.cast("bigint"))
@@ -300,22 +305,23 @@ def derive_config(catalog: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- arithmetic
 
 
+def _three(base: DataFrame, ancestor: DataFrame, descendant: DataFrame) -> DataFrame:
+    """The values of three checkpoints side by side; a missing row or another width is an error."""
+
+    tables = {"base": base, "ancestor": ancestor, "descendant": descendant}
+    return guarded_join({name: (table, "values") for name, table in tables.items()}, ["name", "row"])
+
+
 def task_arithmetic(
-    base: DataFrame, ancestor: DataFrame, descendant: DataFrame, weight: float, checked: bool = True
+    base: DataFrame, ancestor: DataFrame, descendant: DataFrame, weight: float
 ) -> DataFrame:
     """``base + weight * (descendant - ancestor)``, per name, row and position."""
 
     key = ["name", "row"]
-    if checked:
-        require_same_keys({"base": base, "ancestor": ancestor, "descendant": descendant}, "name")
-    joined = (
-        base.select(*key, F.col("values").alias("_b"))
-        .join(ancestor.select(*key, F.col("values").alias("_a")), key)
-        .join(descendant.select(*key, F.col("values").alias("_d")), key)
-    )
-    delta = F.zip_with("_d", "_a", lambda d, a: d - a)
+    joined = _three(base, ancestor, descendant)
+    delta = F.zip_with("descendant", "ancestor", lambda d, a: d - a)
     return joined.select(
-        *key, F.zip_with("_b", delta, lambda b, x: b + F.lit(weight) * x).alias("values")
+        *key, F.zip_with("base", delta, lambda b, x: b + F.lit(weight) * x).alias("values")
     )
 
 
@@ -325,16 +331,12 @@ def lambda_sweep(
     """One fused table per weight; the three tables are joined once for all weights."""
 
     key = ["name", "row"]
-    require_same_keys({"base": base, "ancestor": ancestor, "descendant": descendant}, "name")
-    joined = (
-        base.select(*key, F.col("values").alias("_b"))
-        .join(ancestor.select(*key, F.col("values").alias("_a")), key)
-        .join(descendant.select(*key, F.col("values").alias("_d")), key)
-        .withColumn("_x", F.zip_with("_d", "_a", lambda d, a: d - a))
+    joined = _three(base, ancestor, descendant).withColumn(
+        "_x", F.zip_with("descendant", "ancestor", lambda d, a: d - a)
     )
     each = joined.withColumn("lambda", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
     return each.select(
-        "lambda", *key, F.zip_with("_b", "_x", lambda b, x: b + F.col("lambda") * x).alias("values")
+        "lambda", *key, F.zip_with("base", "_x", lambda b, x: b + F.col("lambda") * x).alias("values")
     )
 
 
@@ -342,6 +344,8 @@ def interpolate(left: DataFrame, right: DataFrame, weight: float) -> DataFrame:
     """``(1 - weight) * left + weight * right`` over the keys of ``left``."""
 
     joined = left_driven_join(left, right, ["name", "row"], "values")
+    same = F.size("values") == F.size("_right")
+    joined = joined.filter(_or_fail(same, "widths differ in "))
     mixed = F.zip_with(
         "values", "_right", lambda a, b: F.lit(1.0 - weight) * a + F.lit(weight) * b
     )
@@ -351,15 +355,13 @@ def interpolate(left: DataFrame, right: DataFrame, weight: float) -> DataFrame:
 def weight_drift(tensors: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Cosine of same-named tensors per pair of checkpoints.
 
-    Rows of all checkpoints meet in one aggregation on (name, row); each pair is then a sum
-    over rows, so no tensor is ever held whole.
+    Rows of all checkpoints meet in guarded joins on (name, row), so a row absent from one of them
+    fails the job; each pair is then a sum over rows, and no tensor is ever held whole.
     """
 
     names = sorted({c for pair in pairs for c in pair})
-    wide = (
-        tensors.filter(F.col("ckpt").isin(names))
-        .groupBy("name", "row")
-        .agg(*[F.max(F.when(F.col("ckpt") == c, F.col("values"))).alias(f"_{c}") for c in names])
+    wide = guarded_join(
+        {f"_{c}": (tensors.filter(F.col("ckpt") == c), "values") for c in names}, ["name", "row"]
     )
 
     def inner(a: str, b: str):

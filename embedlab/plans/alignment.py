@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 from embedlab.operators import fits, scoring
 from embedlab.operators.fits import RIDGE_ALPHAS, LinearMap
 from embedlab.operators.matching import (
-    cost_matrix,
     integral_assignment,
     integral_plan,
     match_summary,
     unit_cost,
+    unit_distances,
 )
 from embedlab.operators.moments import MomentMatrices, moments
 from embedlab.operators.sampling import group_holdout
@@ -32,10 +32,6 @@ class Split:
     fit: MomentMatrices
     held: MomentMatrices
 
-    @property
-    def held_rows(self) -> int:
-        return int(self.held.n)
-
 
 def split_moments(pairs: DataFrame, key: str = "grp", fraction: float = 0.2) -> DataFrame:
     """Moments of both halves in one pass over the pairs."""
@@ -52,7 +48,7 @@ def split_pairs(pairs: DataFrame, key: str = "grp", fraction: float = 0.2) -> Sp
 def matched_sources(m: MomentMatrices, metric: str = "correlation") -> list[int]:
     """Source unit of each target unit under the least-cost matching; d x d work."""
 
-    return [int(v) for v in integral_assignment(cost_matrix(m, metric))]
+    return [int(v) for v in integral_assignment(unit_distances(m, metric))]
 
 
 def score_maps(
@@ -63,7 +59,7 @@ def score_maps(
     halves = split_pairs(pairs)
     source_of = matched_sources(halves.fit) if "permutation" in names else None
     maps = fits.fit(halves.fit, names, alphas, source_of)
-    return scoring.score_rows(halves.held_out, maps, rows=halves.held_rows)
+    return scoring.score_rows(halves.held_out, maps)
 
 
 def _both_scores(halves: Split, maps: Sequence[LinearMap], projection) -> DataFrame:
@@ -79,7 +75,7 @@ def _both_scores(halves: Split, maps: Sequence[LinearMap], projection) -> DataFr
     count = len(maps)
     for position, (a, b) in enumerate(zip(plain, shipped)):
         a.ord, b.ord = position, count + position
-    scores = scoring.score_rows(target, [*plain, *shipped], rows=halves.held_rows)
+    scores = scoring.score_rows(target, [*plain, *shipped])
     place = F.pmod(F.col("ord"), F.lit(count))
     deployed = F.col("ord") >= count
     one = lambda c, late: F.max(F.when(deployed if late else ~deployed, F.col(c)))
@@ -103,7 +99,7 @@ def ridge_sweep(
     halves = split_pairs(pairs)
     maps = fits.fit(halves.fit, ["ridge"], alphas)
     if projection is None:
-        scores = scoring.score_rows(halves.held_out, maps, rows=halves.held_rows).withColumn(
+        scores = scoring.score_rows(halves.held_out, maps).withColumn(
             "deployed_r2", F.lit(None).cast("double")
         )
     else:

@@ -286,7 +286,7 @@ def deployed_score(spark: SparkSession, d: str) -> DataFrame:
     p, pb = views.projection_matrix()
     maps = fits.fit(halves.fit, ["identity", "diagonal"])
     target = scoring.project(halves.held_out.select("x", "y"), p, pb, "y", "y")
-    scores = scoring.score_deployed(target, maps, (p, pb), halves.held_rows)
+    scores = scoring.score_deployed(target, maps, (p, pb))
     names = F.create_map(*[v for m in maps for v in (F.lit(m.ord), F.lit(m.name))])
     return _r(scores, "deployed_r2", "deployed_cosine_mean", digits=5).select(
         names[F.col("ord")].alias("map"), "deployed_r2", "deployed_cosine_mean"
@@ -366,6 +366,70 @@ def deployed_tensors(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------ retrieval
 
 
+def scan_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Files written per source and language, found again by listing alone."""
+
+    root = fresh_path(spark, "recordings")
+    docs = read_table(spark, d, "documents").select("source", "lang", "text")
+    docs.write.partitionBy("source", "lang").text(root)
+    listed = readers.scan_recordings(spark, root, "*.txt")
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
+    return listed.groupBy(part("source"), part("lang")).agg(F.sum("length").alias("total_bytes"))
+
+
+def scan_takes(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests of two languages in several files each; the order of lines decides the takes."""
+
+    root = fresh_path(spark, "manifests")
+    takes = views.takes(spark, d)
+    lines = takes.select("lang", "sentence_id", "path", "ord")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(parts, "sentence_id").sortWithinPartitions("lang", "sentence_id", "ord").drop(
+        "ord"
+    ).write.partitionBy("lang").csv(root, sep="\t")
+    scanned = [readers.scan_takes(spark, f"{root}/lang={lang}", lang) for lang in ("user", "assistant")]
+    return pairing.first_last_take(scanned[0].unionByName(scanned[1]))
+
+
+def scan_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs written as files and scanned with their fixed schema; the filter reaches the scan."""
+
+    path = fresh_path(spark, "pairs")
+    views.pairs(spark, d).select(
+        F.col("vec_id").cast("string").alias("clip_id"), F.lit(0).alias("frame"), "grp", "x", "y"
+    ).write.parquet(path)
+    return readers.scan_pairs(spark, path).filter("grp <> '3'").groupBy("grp").agg(
+        F.count(F.lit(1)).alias("n"),
+        r6(F.sum(V.total(F.col("x")))).alias("sum_x"),
+        r6(F.sum(V.total(F.col("y")))).alias("sum_y"),
+    )
+
+
+def scan_debug_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """One log file per utterance; every fifth run printed no block."""
+
+    root = fresh_path(spark, "logs")
+    silent = F.when(F.col("utt") % 5 == 0, F.lit("run 1\nended early")).otherwise(F.col("text"))
+    _log_texts(spark, d).select("utt", silent.alias("text")).repartition("utt").write.partitionBy("utt").text(root)
+    blocks = readers.scan_debug_blocks(spark, root)
+    return blocks.select(
+        F.regexp_extract("path", r"/utt=(\d+)/", 1).cast("bigint").alias("utt"), "block.frames", "block.width"
+    )
+
+
+def scan_configs(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations written one per line and scanned from the files."""
+
+    path = fresh_path(spark, "configs")
+    views.config_texts(spark, d).select("text").write.text(path)
+    return readers.scan_configs(spark, path, multiline=False).select("ckpt", "encoder_config.num_hidden_layers")
+
+
+def nonempty(spark: SparkSession, d: str) -> DataFrame:
+    kept = sampling.require_nonempty(views.recordings(spark, d), "no recordings")
+    return kept.agg(F.count(F.lit(1)).alias("n"))
+
+
 def takes_first_last(spark: SparkSession, d: str) -> DataFrame:
     return pairing.first_last_take(views.takes(spark, d))
 
@@ -484,41 +548,33 @@ def match_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_by_group(spark: SparkSession, d: str) -> DataFrame:
-    """Invariants of one matching per label, solved in parallel."""
+    """One matching of four units per supplier group, solved in parallel, and what it costs."""
 
-    cost = alignment.unit_costs(views.pairs(spark, d), ["grp"])
+    cost = materialize(alignment.unit_costs(views.lineitem_pairs(spark, d), ["grp"]))
     plan = materialize(matching.integral_plan(cost, ["grp"]))
-    used = plan.groupBy("grp").agg(
-        F.countDistinct("src").alias("n_src"), F.countDistinct("tgt").alias("n_tgt"),
-        F.sum("mass").alias("mass"),
-    )
-    summary = matching.match_summary(cost, plan, ["grp"])
-    better = (F.col("transport_cost") <= F.col("identity_cost") + 1e-9).alias("not_worse")
-    return _r(used.join(summary.select("grp", better), "grp"), "mass")
+    summary = matching.match_summary(cost, plan, ["grp"]).select("grp", "transport_cost")
+    out = plan.select("grp", "src", "tgt").join(summary, "grp")
+    return _r(_long(out, "src", "tgt"), "transport_cost")
 
 
 def barycentric_match(spark: SparkSession, d: str) -> DataFrame:
-    """64 source units against the 96 units of the projected target; invariants of the plan."""
+    """Four source units against two target units per supplier group, mass shared and in one piece."""
 
-    p, pb = views.projection_matrix()
-    pairs = scoring.project(views.pairs(spark, d).select("x", "y"), p, pb, "y", "y")
-    cost = alignment.unit_costs(pairs, [])
-    plan = matching.barycentric_plan(cost)
-    # d x d cells: one windowed pass gives both marginals next to each cell
-    cells = cost.join(plan, ["src", "tgt"], "left").na.fill(0.0, ["mass"])
-    marked = cells.withColumn("row", F.sum("mass").over(Window.partitionBy("src"))).withColumn(
-        "column", F.sum("mass").over(Window.partitionBy("tgt"))
-    ).withColumn("least", F.min("cost").over(Window.partitionBy("tgt")))
-    paid = F.sum(F.col("cost") * F.col("mass"))
-    return marked.agg(
-        F.countDistinct("src").alias("n_src"),
-        F.countDistinct("tgt").alias("n_tgt"),
-        (F.max(F.abs(F.col("row") - 1.0 / 64)) < 1e-9).alias("src_even"),
-        (F.max(F.abs(F.col("column") - 1.0 / 96)) < 1e-9).alias("tgt_even"),
-        # never dearer than spreading evenly, never cheaper than free choice per target
-        (paid <= F.avg("cost") + 1e-9).alias("below_even_spread"),
-        (paid >= F.avg("least") - 1e-9).alias("above_free_choice"),
+    cost = materialize(alignment.unit_costs(views.lineitem_pairs(spark, d), ["grp"]).filter("tgt < 2"))
+    paid = lambda plan, name: matching.match_summary(cost, plan, ["grp"]).select(
+        "grp", F.col("transport_cost").alias(name)
     )
+    shared = paid(materialize(matching.barycentric_plan(cost, ["grp"])), "barycentric_cost")
+    whole = paid(materialize(matching.integral_plan(cost, ["grp"])), "integral_cost")
+    return _r(shared.join(whole, "grp"), "barycentric_cost", "integral_cost")
+
+
+def identity_ops(spark: SparkSession, d: str) -> DataFrame:
+    """Groups without a plan keep their order: a change of basis by the identity changes nothing."""
+
+    ops = matching.identity_ops(spark, views.WIDTH)
+    cells = tensors.tensor_cells(_base(spark, d))
+    return _r(_long(tensors.apply_operator(cells, ops, "i", "synthesis"), "i"), "v")
 
 
 def expand_ops(spark: SparkSession, d: str) -> DataFrame:
@@ -683,6 +739,16 @@ def parity_verdict(spark: SparkSession, d: str) -> DataFrame:
     return _r(parity.parity_verdict(parity.parity(mine, theirs, ["utt"]), ["utt"]), "worst_delta", digits=4)
 
 
+def parity_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts where a third of the groups have no log and a third a log without a block."""
+
+    mine = parity.describe_block(_utterance_frames(spark, d), ["utt"], "frame", "x")
+    logs = _log_texts(spark, d).filter("utt % 3 <> 2")
+    silent = F.when(F.col("utt") % 3 == 1, F.lit("run 1\nended early\n")).otherwise(F.col("text"))
+    theirs = parity.parse_debug_block(logs.withColumn("text", silent))
+    return _r(parity.parity_verdict(parity.parity(mine, theirs, ["utt"]), ["utt"]), "worst_delta", digits=4)
+
+
 def vector_diff(spark: SparkSession, d: str) -> DataFrame:
     pairs = views.pairs(spark, d)
     out = parity.vector_diff(
@@ -814,7 +880,7 @@ def fused_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     ops = materialize(_ops(spark, d))
     moved = lambda ckpt: tensors.rebase(_base(spark, d, ckpt).withColumn("ndim", F.lit(2)), ops)
     fused = tensors.task_arithmetic(
-        _base(spark, d), moved("ancestor"), moved("descendant"), 0.5, checked=False
+        _base(spark, d), moved("ancestor"), moved("descendant"), 0.5
     )
     return _r(_long(tensors.tensor_cells(fused), "i"), "v")
 
@@ -1007,6 +1073,14 @@ QUERIES = {
     "debug_block_parity": debug_block_parity,
     "parity_verdict": parity_verdict,
     "vector_diff": vector_diff,
+    "parity_failures": parity_failures,
+    "scan_recordings": scan_recordings,
+    "scan_takes": scan_takes,
+    "scan_pairs": scan_pairs,
+    "scan_debug_blocks": scan_debug_blocks,
+    "scan_configs": scan_configs,
+    "nonempty": nonempty,
+    "identity_ops": identity_ops,
     "weight_drift": weight_drift,
     "layer_count": layer_count,
     "precision_classes": precision_classes,

@@ -40,12 +40,12 @@ def probe_sets(frames: DataFrame, width: int, alpha: float = 0.01) -> DataFrame:
 
 def ranks(sets: DataFrame, width: int) -> DataFrame:
     by = ["language", "probe"]
-    return rank_matched(center_and_normalize(sets, by, ["v", "r"], width), by, "utt", width)
+    return rank_matched(materialize(center_and_normalize(sets, by, ["v", "r"], width)), by, "utt", width)
 
 
 def retrieval_table(frames: DataFrame, width: int, alpha: float = 0.01) -> DataFrame:
-    sets = probe_sets(frames, width, alpha)
-    return retrieval_summary(ranks(sets, width), ["language", "probe"], sets.count())
+    placed = materialize(ranks(probe_sets(frames, width, alpha), width))
+    return retrieval_summary(placed, ["language", "probe"])
 
 
 def takes_retrieval(
@@ -103,8 +103,8 @@ def takes_retrieval(
     )
     sets = materialize(lifted.select("language", "sentence_id", "single", "r", F.inline(each)))
     by = ["language", "probe"]
-    placed = rank_matched(
-        center_and_normalize(sets.drop("single"), by, ["v", "r"]), by, "sentence_id"
+    placed = materialize(
+        rank_matched(materialize(center_and_normalize(sets.drop("single"), by, ["v", "r"])), by, "sentence_id")
     )
     singles = sets.groupBy(*by).agg(F.sum("single").alias("n_single_take"))
-    return retrieval_summary(placed, by, sets.count()).join(singles, by)
+    return retrieval_summary(placed, by).join(singles, by)

@@ -55,6 +55,8 @@ CTE: dict[str, str] = {
     "lp": """SELECT row_number() OVER () AS rid, grp, [x0, x1, x2, x3] AS x,
         [0.9::DOUBLE * x0 + 0.2::DOUBLE * x2, 1.1::DOUBLE * x1 - 0.1::DOUBLE * x3 + 0.05::DOUBLE, x3 - 0.3::DOUBLE * x0,
          0.5::DOUBLE * x2 + 0.25::DOUBLE * x1 * x0] AS y FROM lp0""",
+    "lpcost": """SELECT grp, i AS src, j AS tgt, 1 - corr(x[i + 1], y[j + 1]) AS cost FROM lp,
+        (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j) GROUP BY 1, 2, 3""",
     # ---------------------------------------------------------- hold-out on pairs
     "heldk": """SELECT grp FROM (SELECT grp, row_number() OVER (ORDER BY grp) AS rn, count(*) OVER () AS n
         FROM (SELECT DISTINCT grp FROM pairs)) WHERE rn <= greatest(1, round_even(n * 0.2, 0))""",
@@ -174,7 +176,7 @@ _worst = lambda a, b: (
     f"list_max(list_transform(list_zip(x0[{a}:{b}], z0[{a}:{b}]), lambda z: abs(z[1] - {_six('z[2]')}))) / greatest(std, 1e-9)"
 )
 CTE["checks"] = "\nUNION ALL ".join(
-    ["SELECT utt, 'shape' AS \"check\", 0.0::DOUBLE AS delta, true AS ok FROM ends"]
+    [f"SELECT utt, '{name}' AS \"check\", 0.0::DOUBLE AS delta, true AS ok FROM ends" for name in ("block", "shape")]
     + [
         f"SELECT utt, '{name}', {delta}, {delta} < 0.05 FROM blockstats JOIN ends USING (utt)"
         for name, delta in {
@@ -456,6 +458,13 @@ ORACLE: dict[str, str] = {
         (SELECT name, list_transform(blk, lambda v: greatest(-128, least(127, round_even(v / (amax / 127), 0))) * sc) AS vals FROM
          (SELECT *, {f16("(amax / 127)")} AS sc FROM (SELECT name, blk, list_max(list_transform(blk, lambda a: abs(a))) AS amax FROM
           (SELECT name, vals[block * 32 + 1 : block * 32 + 32] AS blk FROM tensors, (SELECT unnest([0, 1]) AS block) WHERE ckpt = 'base'))))) GROUP BY name"""),
+    "scan_recordings": "SELECT source, lang, sum(strlen(text) + 1)::BIGINT AS total_bytes FROM documents GROUP BY 1, 2",
+    "scan_takes": q("SELECT lang, CAST(sentence_id AS VARCHAR) AS sentence_id, arg_min(path, ord) AS first_take, arg_max(path, ord) AS last_take, count(*) AS n_takes FROM takes WHERE lang IN ('user', 'assistant') GROUP BY 1, 2"),
+    "scan_pairs": q(f"SELECT grp, count(*) AS n, {r('sum(list_sum(x))')} AS sum_x, {r('sum(list_sum(y))')} AS sum_y FROM pairs WHERE grp <> '3' GROUP BY grp"),
+    "scan_debug_blocks": q("SELECT utt, CASE WHEN utt % 5 = 0 THEN NULL ELSE e.frames END AS frames, CASE WHEN utt % 5 = 0 THEN NULL ELSE 64::BIGINT END AS width FROM blockstats JOIN ends e USING (utt)"),
+    "scan_configs": "SELECT p_partkey AS ckpt, p_size::BIGINT AS num_hidden_layers FROM part",
+    "nonempty": q("SELECT count(*) AS n FROM recordings"),
+    "identity_ops": q("SELECT name, row, j AS i, v FROM (SELECT name, row, unnest(range(64)) AS j, unnest(vals) AS v FROM tensors WHERE ckpt = 'base')").replace("j AS i, v FROM", f"j AS i, {r('v')} AS v FROM", 1),
     "takes_first_last": q("SELECT lang, sentence_id, arg_min(path, ord) AS first_take, arg_max(path, ord) AS last_take, count(*) AS n_takes FROM takes GROUP BY 1, 2"),
     "shared_sentences": q("SELECT sentence_id FROM takes WHERE lang = 'user' INTERSECT SELECT sentence_id FROM takes WHERE lang = 'assistant'"),
     "existing_takes": "SELECT role AS lang, conv_id AS sentence_id, conv_id || '_' || turn || '.wav' AS path FROM conversations WHERE length(text) >= 200",
@@ -480,8 +489,16 @@ ORACLE: dict[str, str] = {
         {r('(SELECT avg(cost) FROM cost WHERE src = tgt)')} AS identity_cost,
         {r('(SELECT avg(CASE WHEN src = tgt THEN 1.0 ELSE 0.0 END) FROM plan)')} AS identity_agreement,
         1.0::DOUBLE AS mean_self_mass, 1.0::DOUBLE AS min_self_mass"""),
-    "match_by_group": q("SELECT grp, 64::BIGINT AS n_src, 64::BIGINT AS n_tgt, 1.0::DOUBLE AS mass, true AS not_worse FROM pairs GROUP BY grp"),
-    "barycentric_match": "SELECT 64::BIGINT AS n_src, 96::BIGINT AS n_tgt, true AS src_even, true AS tgt_even, true AS below_even_spread, true AS above_free_choice",
+    "match_by_group": q(f"""SELECT grp, unnest([p0, p1, p2, p3]) AS src, unnest([0, 1, 2, 3]::BIGINT[]) AS tgt, {r('c')} AS transport_cost FROM
+        (SELECT grp, a.src AS p0, b.src AS p1, c.src AS p2, d.src AS p3, (a.cost + b.cost + c.cost + d.cost) / 4 AS c,
+                row_number() OVER (PARTITION BY grp ORDER BY a.cost + b.cost + c.cost + d.cost) AS rn
+         FROM lpcost a JOIN lpcost b USING (grp) JOIN lpcost c USING (grp) JOIN lpcost d USING (grp)
+         WHERE a.tgt = 0 AND b.tgt = 1 AND c.tgt = 2 AND d.tgt = 3
+           AND a.src <> b.src AND a.src <> c.src AND a.src <> d.src AND b.src <> c.src AND b.src <> d.src AND c.src <> d.src) WHERE rn = 1"""),
+    "barycentric_match": q(f"""SELECT grp, {r('min(c)')} AS barycentric_cost, {r('min(i)')} AS integral_cost FROM
+        (SELECT grp, (s0.cost + s1.cost + (SELECT sum(o.cost) FROM lpcost o WHERE o.grp = s0.grp AND o.tgt = 1 AND o.src NOT IN (s0.src, s1.src))) / 4 AS c,
+                NULL AS i FROM lpcost s0 JOIN lpcost s1 USING (grp) WHERE s0.tgt = 0 AND s1.tgt = 0 AND s0.src < s1.src
+         UNION ALL SELECT grp, NULL, (a.cost + b.cost) / 2 FROM lpcost a JOIN lpcost b USING (grp) WHERE a.tgt = 0 AND b.tgt = 1 AND a.src <> b.src) GROUP BY grp"""),
     "expand_ops": q("SELECT src * 2 + f AS src, tgt * 2 + f AS tgt, 1.0::DOUBLE AS analysis, 1.0::DOUBLE AS synthesis FROM plan, (SELECT unnest([0, 1]::BIGINT[]) AS f)"),
     "concat_ops": q("SELECT src, tgt, 1.0::DOUBLE AS analysis FROM plan UNION ALL SELECT src * 2 + f + 64, tgt * 2 + f + 64, 1.0::DOUBLE FROM plan, (SELECT unnest([0, 1]::BIGINT[]) AS f)"),
     "project_axis": q(f"SELECT name, row, tgt AS i, {r('vals[src + 1]')} AS v FROM tensors, plan WHERE ckpt = 'base'"),
@@ -506,12 +523,14 @@ ORACLE: dict[str, str] = {
         {r('list_sum(x0[1:16])')} AS first_sum, {r('list_sum(x0[49:64])')} AS last_sum FROM blockstats JOIN ends USING (utt)"""),
     "debug_block_parity": q(f"SELECT utt, \"check\", {r('delta', 4)} AS delta, ok FROM checks"),
     "parity_verdict": q(f"SELECT utt, bool_and(ok) AS ok, {r('max(delta)', 4)} AS worst_delta FROM checks GROUP BY utt"),
+    "parity_failures": q(f"""SELECT utt, CASE WHEN utt % 3 = 0 THEN bool_and(ok) ELSE false END AS ok,
+        CASE WHEN utt % 3 = 0 THEN {r('max(delta)', 4)} ELSE 0.0::DOUBLE END AS worst_delta FROM checks GROUP BY utt"""),
     "vector_diff": q(f"SELECT grp, {r('avg(abs(xv - yv))')} AS mae, {r('max(abs(xv - yv))')} AS max_error, {r('sum(xv * yv) / sqrt(sum(xv * xv) * sum(yv * yv))')} AS cosine FROM cells GROUP BY grp"),
     "weight_drift": q(f"""SELECT name, a.ckpt AS "left", b.ckpt AS "right", {r('sum(list_dot_product(a.vals, b.vals)) / sqrt(sum(list_dot_product(a.vals, a.vals)) * sum(list_dot_product(b.vals, b.vals)))')} AS cosine
         FROM tensors a JOIN tensors b USING (name, row) WHERE (a.ckpt, b.ckpt) IN (('base', 'descendant'), ('base', 'ancestor'), ('ancestor', 'descendant')) GROUP BY 1, 2, 3"""),
     "layer_count": q("""SELECT ckpt, sum(CASE WHEN layer = rn - 1 THEN 1 ELSE 0 END)::BIGINT AS n_layers FROM
         (SELECT ckpt, layer, row_number() OVER (PARTITION BY ckpt ORDER BY layer NULLS LAST) AS rn FROM
-         (SELECT DISTINCT ckpt, try_cast(regexp_extract(name, '^encoder\\.layers\\.(\\d+)\\.', 1) AS BIGINT) AS layer FROM catalog)) GROUP BY ckpt"""),
+         (SELECT DISTINCT ckpt, CASE WHEN name LIKE '%.norm_out.weight' THEN try_cast(regexp_extract(name, '^encoder\\.layers\\.(\\d+)\\.', 1) AS BIGINT) END AS layer FROM catalog)) GROUP BY ckpt"""),
     "precision_classes": q("SELECT ckpt, name, precision FROM classes"),
     "role_counts": q("""SELECT ckpt, sum((precision = 'q8_0')::INT)::BIGINT AS n_q8_0, sum((precision = 'f16')::INT)::BIGINT AS n_f16, sum((precision = 'f32')::INT)::BIGINT AS n_f32 FROM classes GROUP BY ckpt"""),
     "renamed": q("SELECT ckpt, name, new_name FROM canon WHERE starts_with(name, 'encoder.')"),

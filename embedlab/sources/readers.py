@@ -78,7 +78,9 @@ def scan_debug_blocks(spark: SparkSession, path: str, **sentinels: str) -> DataF
     """One row per log file with its parsed block."""
 
     logs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("value").alias("text"),
     )
     return parse_debug_block(logs, **sentinels)
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -68,18 +67,22 @@ def merged_partials(spark: SparkSession, out: str, by: Sequence[str] = ()) -> Da
 def write_capped(stream: DataFrame, out: str, checkpoint: str, cap: int) -> int:
     """Keep micro-batches until ``cap`` rows are there, then stop reading the stream.
 
-    The kept count is read back from what was written, so a restart continues correctly.
-    Returns the rows written; :func:`capped_rows` cuts them to exactly ``cap``.
+    What earlier runs wrote is counted once at the start; then each micro-batch adds its own count, and
+    a batch that is replayed replaces its earlier one. Returns the rows written; :func:`capped_rows`
+    cuts them to exactly ``cap``.
     """
 
     spark = stream.sparkSession
-    kept = {"rows": _rows_below(spark, out)}
+    batches = _rows_below(spark, out)
+    kept = {"rows": sum(batches.values())}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if kept["rows"] >= cap:
             return
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        kept["rows"] = _rows_below(spark, out)
+        part = f"{out}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(part)
+        batches[batch_id] = spark.read.schema(batch.schema).parquet(part).count()
+        kept["rows"] = sum(batches.values())
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -93,11 +96,14 @@ def write_capped(stream: DataFrame, out: str, checkpoint: str, cap: int) -> int:
     return kept["rows"]
 
 
-def _rows_below(spark: SparkSession, out: str) -> int:
-    try:
-        return spark.read.parquet(out).count()
-    except AnalysisException:  # nothing written yet
-        return 0
+def _rows_below(spark: SparkSession, out: str) -> dict[int, int]:
+    """Rows per micro-batch already written; a folder that is not there yet has none."""
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    counts = spark.read.parquet(out).groupBy("batch_id").count().collect()
+    return {row["batch_id"]: row["count"] for row in counts}
 
 
 def capped_rows(spark: SparkSession, out: str, cap: int, order: Sequence[str]) -> DataFrame:

@@ -114,12 +114,11 @@ def test_holdout_keeps_groups_whole(spark):
         sampling.group_holdout(df.filter("grp = 's1'"), "grp")
 
 
-def test_boundary_key_beyond_the_small_limit(spark, monkeypatch):
-    from embedlab.operators import ordering
-
-    monkeypatch.setattr(ordering, "SMALL_KEY_COUNT", 10)
+def test_boundary_key(spark):
     df = rows(spark, [(f"k{i:04d}",) for i in range(500)], "k string")
     assert boundary_key(df, "k", lambda total: total // 5) == ("k0099", 100, 500)
+    with pytest.raises(Exception, match="null keys"):
+        boundary_key(rows(spark, [("a",), (None,)], "k string"), "k", lambda total: 1)
 
 
 def test_positions_with_a_hot_group(spark):
@@ -344,20 +343,22 @@ def test_best_map_skips_report_only_rows(spark):
 def test_quantile_bracket_is_exact(spark):
     rng = np.random.default_rng(4)
     values = {"a": rng.normal(size=5001), "b": np.round(rng.normal(size=777), 1), "c": np.ones(50)}
+    values |= {f"n{n}": rng.normal(size=n) for n in (1, 2, 3, 10, 96)}
     df = rows(spark, [(k, float(v)) for k, vs in values.items() for v in vs], "g string, v double")
-    for p in (0.05, 0.5, 1.0):
-        got = {r["g"]: r["q"] for r in scoring.bracketed_quantile(df, ["g"], "v", p, accuracy=50).collect()}
+    for p, accuracy in itertools.product((0.05, 0.5, 0.95, 1.0), (50, scoring.SKETCH_ACCURACY)):
+        got = {r["g"]: r["q"] for r in scoring.linear_quantile(df, ["g"], "v", p, accuracy=accuracy).collect()}
         for k, vs in values.items():
-            assert got[k] == pytest.approx(np.quantile(vs, p), abs=1e-12)
+            if accuracy > 1000 or len(vs) > 50 or k == "c":
+                assert got[k] == pytest.approx(np.quantile(vs, p), abs=1e-12)
 
 
-def test_long_scores_use_the_bracket(spark, sample):
-    _, _, df = sample
+def test_scored_quantile_against_numpy(spark, sample):
+    x, y, df = sample
     maps = fits.fit(matrices(df)[None], ["identity", "diagonal"])
-    short = sorted(scoring.score_rows(df, maps).collect())
-    long = sorted(scoring.score_rows(df, maps, rows=10**9).collect())
-    for a, b in zip(short, long):
-        assert list(a)[3:] == pytest.approx(list(b)[3:])
+    for row, mapping in zip(sorted(scoring.score_rows(df, maps).collect()), maps):
+        guess = x @ mapping.weight + mapping.bias
+        cosines = (guess * y).sum(1) / np.linalg.norm(guess, axis=1) / np.linalg.norm(y, axis=1)
+        assert row["cosine_p05"] == pytest.approx(np.quantile(cosines, 0.05))
 
 
 def test_mlp(spark, sample):
@@ -403,11 +404,11 @@ def test_uneven_plans():
 def test_costs(spark, sample):
     x, y, df = sample
     m = matrices(df)[None]
-    assert np.allclose(matching.cost_matrix(m, "correlation"), 1 - np.corrcoef(x.T, y.T)[:6, 6:])
+    assert np.allclose(matching.unit_distances(m, "correlation"), 1 - np.corrcoef(x.T, y.T)[:6, 6:])
     unit = lambda a: a / np.linalg.norm(a, axis=0)
-    assert np.allclose(matching.cost_matrix(m, "cosine"), 1 - unit(x).T @ unit(y))
+    assert np.allclose(matching.unit_distances(m, "cosine"), 1 - unit(x).T @ unit(y))
     with pytest.raises(ValueError, match="choose from"):
-        matching.cost_matrix(m, "other")
+        matching.unit_distances(m, "other")
 
 
 def test_operators_on_a_barycentric_plan(spark):
@@ -724,3 +725,74 @@ def test_rebase_both_axes(spark):
     wide = rows(spark, [(p + "norm_out.weight", 0, [0.0] * (n + 1), 1)], "name string, row int, values array<double>, ndim int")
     with pytest.raises(Exception, match="differ in size"):
         tensors.rebase(wide, ops).collect()
+
+
+# ------------------------------------------------------------ nothing is lost silently
+
+
+def _tensor(spark, *cells):
+    return rows(spark, list(cells), "name string, row bigint, values array<double>")
+
+
+def test_arithmetic_refuses_missing_rows_names_and_widths(spark):
+    whole = _tensor(spark, ("a", 0, [1.0, 2.0]), ("a", 1, [3.0, 4.0]), ("b", 0, [5.0, 6.0]))
+    assert tensors.task_arithmetic(whole, whole, whole, 0.5).count() == 3
+    for broken, message in (
+        (_tensor(spark, ("a", 0, [1.0, 2.0]), ("b", 0, [5.0, 6.0])), "missing from"),
+        (_tensor(spark, ("a", 0, [1.0, 2.0]), ("a", 1, [3.0, 4.0])), "missing from"),
+        (_tensor(spark, ("a", 0, [1.0, 2.0]), ("a", 1, [3.0]), ("b", 0, [5.0, 6.0])), "widths differ"),
+    ):
+        for tables in ((broken, whole, whole), (whole, broken, whole), (whole, whole, broken)):
+            with pytest.raises(Exception, match=message):
+                tensors.task_arithmetic(*tables, 0.5).collect()
+            with pytest.raises(Exception, match=message):
+                tensors.lambda_sweep(*tables, [0.5]).collect()
+        drift = whole.withColumn("ckpt", F.lit("x")).unionByName(broken.withColumn("ckpt", F.lit("y")))
+        with pytest.raises(Exception, match=message):
+            tensors.weight_drift(drift, [("x", "y")]).collect()
+    narrow = _tensor(spark, ("a", 0, [1.0]), ("a", 1, [3.0, 4.0]), ("b", 0, [5.0, 6.0]))
+    with pytest.raises(Exception, match="widths differ"):
+        tensors.interpolate(whole, narrow, 0.5).collect()
+
+
+def test_vector_diff_refuses_one_sided_vectors(spark):
+    a = rows(spark, [(1, "g", [1.0]), (2, "g", [2.0])], "id int, g string, v array<double>")
+    b = a.filter("id = 1").drop("g")
+    for by in ([], ["g"]):
+        with pytest.raises(Exception, match="missing from"):
+            parity.vector_diff(a, b, ["id"], by=by).collect()
+
+
+def test_hook_join_refuses_a_missing_target(spark):
+    a = rows(spark, [("residual.1", 0, 1.0), ("ffn", 0, 2.0)], "key string, f int, x double")
+    b = rows(spark, [("residual.1", 0, 1.0), ("other", 0, 2.0)], "key string, f int, y double")
+    with pytest.raises(Exception, match="missing on the right"):
+        pairing.match_hook_points(a, b, ["key", "f"]).collect()
+    assert pairing.match_hook_points(a.filter("key <> 'ffn'"), b, ["key", "f"]).count() == 1
+
+
+def test_moments_do_not_depend_on_the_input_partitions(spark, sample):
+    _, _, df = sample
+    tables = [
+        {(r["kind"], r["i"], r["j"]): r["v"] for r in mom.moments(df.repartition(n), full_yy=True).collect()}
+        for n in (1, 7, 64)
+    ]
+    for table in tables[1:]:
+        assert table.keys() == tables[0].keys()
+        assert all(table[k] == pytest.approx(tables[0][k]) for k in table)
+    assert "Coalesce" not in mom.moments(df)._jdf.queryExecution().toString()
+
+
+def test_layers_without_the_anchor_do_not_count(spark):
+    data = [("a", "encoder.layers.0.norm_out.weight"), ("a", "encoder.layers.1.self_attn.q_proj.weight")]
+    counts = tensors.count_layers(rows(spark, data, "ckpt string, name string"))
+    assert [r["n_layers"] for r in counts.collect()] == [1]
+
+
+def test_wide_matching_of_many_units():
+    rng = np.random.default_rng(8)
+    n = 600
+    order = rng.permutation(n)
+    cost = rng.random((n, n)) + 1.0
+    cost[order, np.arange(n)] = rng.random(n) * 0.5
+    assert (matching.integral_assignment(cost) == order).all()
