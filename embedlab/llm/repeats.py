@@ -3,7 +3,8 @@
 Every window of ``length`` items is represented by its smallest sub-window hash, the anchor. Equal
 windows have equal anchors, so windows need comparing only where their anchor occurs twice, and
 neighbouring windows share an anchor: a *run* stands for about a dozen windows. Runs with equal
-content are settled at once; only the first copy of each content goes on to the window level.
+content are settled at once, within a text where it is read; only the first copy of each content goes
+on to the window level.
 
 ``place`` orders occurrences. For word windows it is the document alone, so repeats within one
 document do not count; for byte windows it is document and position.
@@ -31,15 +32,15 @@ from embedlab.llm.rolling import (
 )
 from embedlab.llm.rows import record_batch, slices
 
-RUN_SCHEMA = "_anchor long, _content long, _key binary, _rank long, _start int, _stop int"
+RUN_SCHEMA = "_anchor long, _content long, _key binary, _rank long, _starts array<int>, _width int"
 _RUN_ARROW = pa.schema(
     [
         ("_anchor", pa.int64()),
         ("_content", pa.int64()),
         ("_key", pa.binary()),
         ("_rank", pa.int64()),
-        ("_start", pa.int32()),
-        ("_stop", pa.int32()),
+        ("_starts", pa.list_(pa.int32())),
+        ("_width", pa.int32()),
     ]
 )
 BATCH_BYTES = 1 << 20
@@ -83,7 +84,10 @@ def segments(counts: list[int], length: int) -> Iterator[tuple[int, int, int]]:
 
 
 def run_emitter(to_items: Callable, length: int, inner: int) -> Callable:
-    """An Arrow function from (_key, _rank, _text) to runs; ``to_items`` makes a text an array."""
+    """An Arrow function from (_key, _rank, _text) to runs; ``to_items`` makes a text an array.
+
+    Runs of equal content in one text are one row with all their starts.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, convert = Powers(), to_items()
@@ -103,15 +107,24 @@ def run_emitter(to_items: Callable, length: int, inner: int) -> Callable:
                     piece = owner[start]
                     base = np.cumsum(sizes) - sizes
                     shift = np.array([begin for _, begin, _ in taken]) - base
-                    rows = pa.array(np.array([t for t, _, _ in taken])[piece])
+                    order = np.lexsort((start, content, anchor, piece))
+                    start, stop, anchor, content, piece = (
+                        x[order] for x in (start, stop, anchor, content, piece)
+                    )
+                    first, last = runs(piece, anchor, content)
+                    places = pa.ListArray.from_arrays(
+                        pa.array(np.concatenate((first, [len(start)])), pa.int32()),
+                        pa.array(start + shift[piece], pa.int32()),
+                    )
+                    rows = pa.array(np.array([t for t, _, _ in taken])[piece[first]])
                     yield record_batch(
                         {
-                            "_anchor": signed(anchor),
-                            "_content": signed(content),
+                            "_anchor": signed(anchor[first]),
+                            "_content": signed(content[first]),
                             "_key": part.column("_key").take(rows),
                             "_rank": part.column("_rank").take(rows),
-                            "_start": start + shift[piece],
-                            "_stop": stop + shift[piece],
+                            "_starts": places,
+                            "_width": (stop - start)[first],
                         },
                         _RUN_ARROW,
                     )
@@ -123,31 +136,31 @@ def live_runs(runs_table: DataFrame, across_documents: bool) -> DataFrame:
     """Runs whose anchor occurs again: in another document, or anywhere else."""
 
     counts = runs_table.groupBy("_anchor").agg(
-        F.min("_rank").alias("_low"), F.max("_rank").alias("_high"), F.count("*").alias("_n")
+        F.min("_rank").alias("_low"), F.max("_rank").alias("_high"), F.sum(F.size("_starts")).alias("_n")
     )
     again = F.col("_low") < F.col("_high") if across_documents else F.col("_n") > 1
     return runs_table.join(counts.where(again).select("_anchor"), "_anchor")
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:
-    """One row per document key with its ranges as an array; bounded by the text's length."""
+    """One row per document key with its runs as an array; bounded by the text's length."""
 
-    return spans.groupBy("_key").agg(F.collect_list(F.struct("_start", "_stop")).alias("_spans"))
+    return spans.groupBy("_key").agg(F.collect_list(F.struct("_starts", "_width")).alias("_spans"))
 
 
 def span_arrays(values: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Starts and stops of each row of an array<struct<_start, _stop>> column; empty for null."""
+    """Starts and stops of each row of an array<struct<_starts, _width>> column; empty for null."""
 
-    starts, stops = [], []
     flat = values.flatten()
-    first = flat.field("_start").to_numpy(zero_copy_only=False)
-    last = flat.field("_stop").to_numpy(zero_copy_only=False)
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(values), 0))
+    places = flat.field("_starts")
+    counts = np.asarray(pc.list_value_length(places), dtype=np.int64)
+    first = places.flatten().to_numpy(zero_copy_only=False)
+    last = first + np.repeat(flat.field("_width").to_numpy(zero_copy_only=False), counts)
+    inner = np.concatenate(([0], np.cumsum(counts)))
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(values), 0), dtype=np.int64)
     ends = np.cumsum(lengths)
-    for end, count in zip(ends.tolist(), lengths.tolist()):
-        starts.append(first[end - count : end])
-        stops.append(last[end - count : end])
-    return list(zip(starts, stops))
+    edges = list(zip(inner[ends - lengths].tolist(), inner[ends].tolist()))
+    return [(first[a:b], last[a:b]) for a, b in edges]
 
 
 __all__ = [

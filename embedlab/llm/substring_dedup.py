@@ -72,7 +72,7 @@ def _window_emitter(length: int) -> Callable:
 
 
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
-    """Ranges of window starts (``_key``, ``_start``, ``_stop``) whose words also start in a
+    """Ranges of window starts (``_key``, ``_starts``, ``_width``) whose words also start in a
     document of smaller id. ``texts`` comes from ``keyed`` and is read twice."""
 
     found = kept(
@@ -86,15 +86,15 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     variants = contents.groupBy("_anchor").agg(F.count("*").alias("_variants"))
     judged = kept(
         live.join(contents, ["_anchor", "_content"]).join(variants, "_anchor").select(
-            "_key", "_rank", "_start", "_stop", "_owner", "_variants"
+            "_key", "_rank", "_starts", "_width", "_owner", "_variants"
         ),
         "judged",
     )
-    copies = judged.where("_rank > _owner").select("_key", "_start", "_stop")
+    copies = judged.where("_rank > _owner").select("_key", "_starts", "_width")
     open_runs = judged.where("_rank = _owner and _variants > 1")
     windows = kept(
         texts.select("_key", "_rank", "_text")
-        .join(spans_by_document(open_runs.select("_key", "_start", "_stop")), "_key")
+        .join(spans_by_document(open_runs), "_key")
         .mapInArrow(
             _window_emitter(length),
             "_hash long, _guard long, _key binary, _rank long, _start int",
@@ -107,7 +107,7 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     later = (
         windows.join(owners.where("_low < _high"), ["_hash", "_guard"])
         .where("_rank > _low")
-        .select("_key", "_start", (F.col("_start") + 1).alias("_stop"))
+        .select("_key", F.array("_start").alias("_starts"), F.lit(1).alias("_width"))
     )
     return copies.unionByName(later)
 

@@ -11,8 +11,8 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +29,8 @@ from embedlab.llm.rows import kept, keyed, prepare, record_batch, slices
 
 LENGTH_BYTES = 400
 ANCHOR_BYTES = 64
-GROUP_VARIANTS = 1000
-SORTED_BYTES = 8
+GROUP_VARIANTS = 4096
+BLOCK_BYTES = 1 << 20
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
@@ -39,20 +39,21 @@ def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
     Equal ranks mean equal prefixes of that size. A suffix that ends early sorts first.
     """
 
-    ranks = data.astype(np.int64) + 1
+    ranks = data.astype(np.int32) + 1
     levels, size = [(1, ranks)], 1
     while size < depth:
-        second = np.zeros_like(ranks)
+        second = np.zeros(len(ranks), np.int64)
         second[: max(len(ranks) - size, 0)] = ranks[size:]
-        joint = ranks * (int(ranks.max(initial=0)) + 2) + second
-        if size >= SORTED_BYTES // 2:
-            order = np.argsort(joint, kind="stable")
-            step = np.ones(len(joint), np.int64)
-            step[1:] = joint[order[1:]] != joint[order[:-1]]
-            ranks = np.empty_like(joint)
+        joint = ranks.astype(np.int64) * (int(ranks.max(initial=0)) + 2) + second
+        if size > 1:
+            order = np.argsort(joint)
+            step = np.ones(len(joint), np.int32)
+            ordered = joint[order]
+            step[1:] = ordered[1:] != ordered[:-1]
+            ranks = np.empty(len(joint), np.int32)
             ranks[order] = np.cumsum(step)
         else:
-            ranks = joint
+            ranks = joint.astype(np.int32)
         size *= 2
         levels.append((size, ranks))
     return levels
@@ -150,7 +151,7 @@ def _snippet_emitter(length: int) -> Callable:
                         out["_key"].append(key)
                         out["_rank"].append(rank)
                         out["_start"].append(run["_start"])
-                        out["_bytes"].append(text[run["_start"] : run["_stop"] + length - 1])
+                        out["_bytes"].append(text[run["_start"] : run["_start"] + run["_width"] + length - 1])
                 yield record_batch(out, schema)
 
     return emit
@@ -198,9 +199,16 @@ def _window_emitter(length: int) -> Callable:
 
 
 def _group_matcher(length: int, keep_first: bool) -> Callable:
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_rank", "_key", "_start"], kind="stable")
-        texts = group["_bytes"].tolist()
+    """Suffix-sort whole anchor groups, several together: rows come ordered by anchor and place.
+
+    Groups never share a string of ``length`` bytes, so sorting them in one block changes nothing.
+    """
+
+    schema = pa.schema([("_key", pa.binary()), ("_starts", pa.list_(pa.int32())), ("_width", pa.int32())])
+
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        group = pa.Table.from_batches(rows).combine_chunks()
+        texts = group.column("_bytes").to_pylist()
         sizes = np.array([len(t) for t in texts])
         base = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(texts)), sizes)
@@ -208,23 +216,38 @@ def _group_matcher(length: int, keep_first: bool) -> Callable:
         places = np.flatnonzero(inside <= sizes[owner] - length)
         data = np.frombuffer(b"".join(texts), np.uint8)
         previous, following, _ = longest_factors(data, places, length)
-        gone = previous >= length
-        if not keep_first:
-            gone |= following >= length
-        begin, end = runs(gone | False)
-        take = np.array([i for i in range(len(begin)) if gone[begin[i]]], dtype=np.int64)
-        # ranges of places may span several texts; cut them where the text changes
-        cuts = np.flatnonzero(np.diff(owner[places])) + 1
-        edges = np.unique(np.concatenate((begin[take], end[take], cuts, [0, len(places)])))
-        first, last = edges[:-1], edges[1:]
-        keep = gone[first]
-        first, last = first[keep], last[keep]
+        gone = previous >= length if keep_first else np.maximum(previous, following) >= length
+        first, last = runs(gone, owner[places])
+        kept_runs = gone[first]
+        first, last = first[kept_runs], last[kept_runs]
         row = owner[places[first]]
-        start = group["_start"].to_numpy()[row] + inside[places[first]]
-        return pd.DataFrame(
-            {"_key": group["_key"].to_numpy()[row], "_start": start, "_stop": start + last - first}
+        start = group.column("_start").to_numpy()[row] + inside[places[first]]
+        ones = pa.array(np.arange(len(first) + 1), pa.int32())
+        return record_batch(
+            {
+                "_key": group.column("_key").combine_chunks().take(pa.array(row)),
+                "_starts": pa.ListArray.from_arrays(ones, pa.array(start, pa.int32())),
+                "_width": last - first,
+            },
+            schema,
         )
 
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            anchors = batch.column("_anchor").to_numpy()
+            sizes = np.asarray(pc.binary_length(batch.column("_bytes")), dtype=np.int64)
+            for begin, end in zip(*runs(anchors)):
+                new = not waiting or waiting[-1].column("_anchor")[-1].as_py() != anchors[begin]
+                if new and size >= BLOCK_BYTES:
+                    yield solve(waiting)
+                    waiting, size = [], 0
+                waiting.append(batch.slice(begin, end - begin))
+                size += int(sizes[begin:end].sum())
+        if waiting:
+            yield solve(waiting)
+
     return match
 
 
@@ -232,7 +255,8 @@ def repeated_strings(texts: DataFrame, length: int, keep_first: bool) -> DataFra
     """Ranges of window starts whose ``length`` bytes also start elsewhere (earlier only, with
     ``keep_first``). A group of suffixes that share an anchor is sorted in one task; an anchor with
     over ``GROUP_VARIANTS`` different surroundings is split by the hash of the whole window, below
-    which all suffixes match for ``length`` bytes and only their order of occurrence matters."""
+    which all suffixes match for ``length`` bytes and only their order of occurrence matters. That
+    bounds what a task sorts at once to about 2 MB of text and 200 MB of ranks."""
 
     inner = min(ANCHOR_BYTES, max(1, length // 2))
     found = kept(
@@ -242,9 +266,10 @@ def repeated_strings(texts: DataFrame, length: int, keep_first: bool) -> DataFra
         "runs",
     )
     live = live_runs(found, across_documents=False)
+    live = live.withColumn("_start", F.col("_starts")[0])
     place = F.struct("_rank", "_key", "_start")
     contents = live.groupBy("_anchor", "_content").agg(
-        F.min(place).alias("_first"), F.count("*").alias("_copies")
+        F.min(place).alias("_first"), F.sum(F.size("_starts")).alias("_copies")
     )
     variants = contents.groupBy("_anchor").agg(F.count("*").alias("_variants"))
     judged = kept(
@@ -254,11 +279,11 @@ def repeated_strings(texts: DataFrame, length: int, keep_first: bool) -> DataFra
         .drop("_first", "_content"),
         "judged",
     )
-    gone = "_copies > 1 and not _is_first" if keep_first else "_copies > 1"
-    whole = judged.where(gone).select("_key", "_start", "_stop")
+    later = F.when(F.col("_is_first") & F.lit(keep_first), F.slice("_starts", 2, F.size("_starts")))
+    whole = judged.where("_copies > 1").select("_key", later.otherwise(F.col("_starts")).alias("_starts"), "_width")
     opened = judged.where("_is_first and _variants > 1")
     wanted = opened.groupBy("_key").agg(
-        F.collect_list(F.struct("_anchor", "_start", "_stop")).alias("_runs")
+        F.collect_list(F.struct("_anchor", "_start", "_width")).alias("_runs")
     )
     snippets = kept(
         texts.select("_key", "_rank", "_text")
@@ -273,8 +298,9 @@ def repeated_strings(texts: DataFrame, length: int, keep_first: bool) -> DataFra
     hot = variants.where(F.col("_variants") > GROUP_VARIANTS).select("_anchor")
     sorted_groups = (
         snippets.join(hot, "_anchor", "left_anti")
-        .groupBy("_anchor")
-        .applyInPandas(_group_matcher(length, keep_first), "_key binary, _start int, _stop int")
+        .repartition("_anchor")
+        .sortWithinPartitions("_anchor", "_rank", "_key", "_start")
+        .mapInArrow(_group_matcher(length, keep_first), "_key binary, _starts array<int>, _width int")
     )
     windows = snippets.join(hot, "_anchor", "left_semi").mapInArrow(
         _window_emitter(length), "_hash long, _guard long, _key binary, _rank long, _start int"
@@ -286,7 +312,7 @@ def repeated_strings(texts: DataFrame, length: int, keep_first: bool) -> DataFra
     if keep_first:
         split = split.where(place != F.col("_first"))
     return whole.unionByName(sorted_groups).unionByName(
-        split.select("_key", "_start", (F.col("_start") + 1).alias("_stop"))
+        split.select("_key", F.array("_start").alias("_starts"), F.lit(1).alias("_width"))
     )
 
 
