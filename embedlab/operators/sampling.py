@@ -130,10 +130,6 @@ def holdout_counts(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def distinct_groups(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key).distinct()
-
-
 def frame_count(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_frames"))
 
@@ -151,12 +147,6 @@ def batches(
     return placed.withColumn("batch_id", F.floor(F.col("_pos") / size)).drop("_pos")
 
 
-def hashed_batches(df: DataFrame, count: int, key: str) -> DataFrame:
-    """Batch identity without any shuffle, for statistics that only need *some* batch."""
-
-    return df.withColumn("batch_id", F.pmod(F.xxhash64(key), F.lit(count)))
-
-
 def cap_rows(df: DataFrame, cap: int, order: Sequence[str]) -> DataFrame:
     """The first ``cap`` rows in order: a top-k, not a global sort."""
 

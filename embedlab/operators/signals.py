@@ -240,14 +240,6 @@ def power_spectrum(frames: DataFrame, window: np.ndarray) -> DataFrame:
     return _per_frame(frames, "power", compute)
 
 
-def mel_log(power: DataFrame, filters: np.ndarray) -> DataFrame:
-    """``(clip, frame, mel)`` from power rows."""
-
-    return _per_frame(
-        power, "mel", lambda batch: np.log(matrix(batch.column("power")) @ filters.T + LOG_FLOOR)
-    )
-
-
 def log_mel(
     signal: DataFrame, filters: np.ndarray, window: np.ndarray, n_fft: int = N_FFT, hop: int = HOP
 ) -> DataFrame:

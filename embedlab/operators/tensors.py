@@ -17,6 +17,8 @@ from embedlab.session import BROADCAST_BYTES
 
 # Fixed value: the tensor that every complete layer has.
 LAYER_ANCHOR = ".norm_out.weight"
+# Fixed value: mel bins of the container format.
+MEL_BINS = 128
 
 # Name endings by stored precision.
 F16_SUFFIXES = [
@@ -287,18 +289,41 @@ def compatibility(configs: DataFrame) -> DataFrame:
     return configs.withColumn("reason", reason)
 
 
+def equal_widths(source: DataFrame, target: DataFrame, on: str = "ckpt") -> DataFrame:
+    """Pairs of configurations with ``reason``, null where the two hidden sizes agree.
+
+    Aligning needs two encoders of one width; a configuration without a counterpart is left out.
+    """
+
+    width = F.col("encoder_config.hidden_size")
+    a = source.select(on, width.alias("source_width"))
+    b = target.select(on, width.alias("target_width"))
+    differ = F.concat(
+        F.lit("widths differ: "), F.col("source_width").cast("string"), F.lit(" against "), F.col("target_width").cast("string")
+    )
+    same = F.col("source_width").eqNullSafe(F.col("target_width"))
+    return a.join(b, on).withColumn("reason", F.when(~same, F.coalesce(differ, F.lit("width unknown"))))
+
+
 def derive_config(catalog: DataFrame) -> DataFrame:
-    """Widths of each checkpoint read off the shapes of its layer 0 tensors."""
+    """Each checkpoint's configuration, read off its layer count and tensor shapes; mel bins,
+    subsampling and window are those of the container format."""
 
-    def shape(suffix: str, dim: str):
-        return F.max(F.when(F.col("name") == f"encoder.layers.0.{suffix}", F.col(dim)))
+    def shape(name: str, dim: str):
+        return F.max(F.when(F.col("name") == f"encoder.{name}", F.col(dim)))
 
-    return catalog.groupBy("ckpt").agg(
-        shape("self_attn.q_proj.weight", "width").alias("hidden_size"),
-        shape("self_attn.bias_u", "rows").alias("num_attention_heads"),
-        shape("feed_forward1.linear1.weight", "rows").alias("intermediate_size"),
-        shape("conv.depthwise_conv.weight", "width").alias("conv_kernel_size"),
-        F.lit(LEFT_CONTEXT_WINDOW).cast("bigint").alias("sliding_window"),
+    shapes = catalog.groupBy("ckpt").agg(
+        shape("subsampling.linear.weight", "rows").alias("hidden_size"),
+        shape("layers.0.self_attn.bias_u", "rows").alias("num_attention_heads"),
+        shape("layers.0.feed_forward1.linear1.weight", "rows").alias("intermediate_size"),
+        shape("layers.0.conv.depthwise_conv.weight", "width").alias("conv_kernel_size"),
+    )
+    constant = lambda value, name: F.lit(value).cast("bigint").alias(name)
+    layers = count_layers(catalog).withColumnRenamed("n_layers", "num_hidden_layers")
+    return shapes.join(layers, "ckpt").select(
+        "ckpt", "num_hidden_layers", "hidden_size", "num_attention_heads", "intermediate_size",
+        constant(MEL_BINS, "num_mel_bins"), constant(SUBSAMPLING, "subsampling_factor"),
+        "conv_kernel_size", constant(LEFT_CONTEXT_WINDOW, "sliding_window"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -810,6 +812,13 @@ def derived_config(spark: SparkSession, d: str) -> DataFrame:
     return tensors.derive_config(tensors.to_canonical(views.tensor_catalog(spark, d)).drop("name").withColumnRenamed("new_name", "name"))
 
 
+def equal_widths(spark: SparkSession, d: str) -> DataFrame:
+    source = readers.parse_configs(views.config_texts(spark, d))
+    narrow = F.when(F.col("ckpt") % 4 == 0, 32).otherwise(F.col("encoder_config.hidden_size")).cast("bigint")
+    target = source.withColumn("encoder_config", F.col("encoder_config").withField("hidden_size", narrow))
+    return tensors.equal_widths(source, target)
+
+
 def key_difference(spark: SparkSession, d: str) -> DataFrame:
     lines = read_table(spark, d, "lineitem").select(
         F.concat(F.lit("part."), F.col("l_partkey").cast("string"), F.lit(".l"), F.col("l_linenumber").cast("string")).alias("name"),
@@ -955,20 +964,42 @@ def _pair_files(spark: SparkSession, pairs: DataFrame, parts: int) -> str:
     return out
 
 
+def _line_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The line items of the given table as a stream of its files, as pairs."""
+
+    schema = read_table(spark, d, "lineitem").schema
+    # a pattern, as the table may be one file or a folder of files
+    return views.pairs_of_lines(statistics.read_pair_stream(spark, f"{d}/lineitem.parque[t]", schema, 1))
+
+
 def stream_moments(spark: SparkSession, d: str) -> DataFrame:
-    """Line-item pairs as a stream of files; merged micro-batch partials."""
+    """Line-item pairs as a stream; merged micro-batch partials."""
 
-    pairs = views.lineitem_pairs(spark, d)
-    files = _pair_files(spark, pairs, 3)
-    stream = statistics.read_pair_stream(spark, files, pairs.schema, 1)
     out = fresh_path(spark, "partials")
     query = statistics.write_partial_moments(
-        stream, out, fresh_path(spark, "offsets"), full_yy=True, widths=(4, 4)
+        _line_stream(spark, d), out, fresh_path(spark, "offsets"), full_yy=True, widths=(4, 4)
     )
     query.awaitTermination()
     return _r(_long(statistics.merged_partials(spark, out), "i", "j"), "v", digits=4)
 
 
+def stream_state_moments(spark: SparkSession, d: str) -> DataFrame:
+    """The same sums kept in the state store: one row per cell, whatever the number of pairs."""
+
+    name = f"cells_{uuid.uuid4().hex}"
+    query = (
+        statistics.stream_moments(_line_stream(spark, d))
+        .writeStream.format("memory")
+        .queryName(name)
+        .outputMode("complete")
+        .option("checkpointLocation", fresh_path(spark, "offsets"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return _r(_long(spark.table(name), "i", "j"), "v", digits=4)
+
+
 def stream_unit_stats(spark: SparkSession, d: str) -> DataFrame:
     """Unit costs from a stream whose rows are scaled per batch inside each micro-batch."""
 
@@ -1104,6 +1135,8 @@ QUERIES = {
     "probe_roundtrip": probe_roundtrip,
     "mlp_scores": mlp_scores,
     "stream_moments": stream_moments,
+    "stream_state_moments": stream_state_moments,
+    "equal_widths": equal_widths,
     "stream_unit_stats": stream_unit_stats,
     "stream_cap": stream_cap,
 }

@@ -542,10 +542,14 @@ ORACLE: dict[str, str] = {
         LEFT JOIN catalog k ON k.ckpt = w.ckpt AND k.name = w.name
         LEFT JOIN (SELECT name, max(rows) AS rows FROM catalog WHERE name IN (SELECT unnest({sql_list(T.COMPANIONS)})) GROUP BY name) l ON l.name = w.name
         WHERE CASE WHEN own THEN k.rows ELSE l.rows END IS NOT NULL"""),
-    "derived_config": q("""SELECT ckpt, max(CASE WHEN new_name = 'encoder.layers.0.self_attn.q_proj.weight' THEN width END) AS hidden_size,
+    "derived_config": q("""SELECT ckpt, any_value(n.n_layers) AS num_hidden_layers, 128::BIGINT AS num_mel_bins, 8::BIGINT AS subsampling_factor, max(CASE WHEN new_name = 'encoder.subsampling.linear.weight' THEN rows END) AS hidden_size,
         max(CASE WHEN new_name = 'encoder.layers.0.self_attn.bias_u' THEN rows END) AS num_attention_heads,
         max(CASE WHEN new_name = 'encoder.layers.0.feed_forward1.linear1.weight' THEN rows END) AS intermediate_size,
-        max(CASE WHEN new_name = 'encoder.layers.0.conv.depthwise_conv.weight' THEN width END) AS conv_kernel_size, 71::BIGINT AS sliding_window FROM canon GROUP BY ckpt"""),
+        max(CASE WHEN new_name = 'encoder.layers.0.conv.depthwise_conv.weight' THEN width END) AS conv_kernel_size, 71::BIGINT AS sliding_window FROM canon JOIN
+        (SELECT ckpt, sum(CASE WHEN layer = rn - 1 THEN 1 ELSE 0 END)::BIGINT AS n_layers FROM (SELECT ckpt, layer, row_number() OVER (PARTITION BY ckpt ORDER BY layer NULLS LAST) AS rn FROM
+         (SELECT DISTINCT ckpt, CASE WHEN new_name LIKE '%.norm_out.weight' THEN try_cast(regexp_extract(new_name, '^encoder\\.layers\\.(\\d+)\\.', 1) AS BIGINT) END AS layer FROM canon)) GROUP BY ckpt) n USING (ckpt) GROUP BY ckpt"""),
+    "equal_widths": """SELECT p_partkey AS ckpt, 64::BIGINT AS source_width, (CASE WHEN p_partkey % 4 = 0 THEN 32 ELSE 64 END)::BIGINT AS target_width,
+        CASE WHEN p_partkey % 4 = 0 THEN 'widths differ: 64 against 32' END AS reason FROM part""",
     "key_difference": """SELECT name, concat_ws(',', CASE WHEN NOT a THEN 'A' END, CASE WHEN NOT n THEN 'N' END, CASE WHEN NOT r THEN 'R' END) AS missing_from FROM
         (SELECT 'part.' || l_partkey || '.l' || l_linenumber AS name, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'N') AS n, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
         WHERE NOT (a AND n AND r)""",
@@ -573,6 +577,7 @@ ORACLE: dict[str, str] = {
         unnest(list_transform(range(16), lambda o: list_sum(list_transform(hid, lambda h, k: h * ((((o * 7 + (k - 1) * 11) % 29) - 14)::DOUBLE / 29::DOUBLE))) + o::DOUBLE / 32)) AS v FROM
         (SELECT vec_id, list_transform(range(32), lambda o: greatest(0.0::DOUBLE, list_sum(list_transform(x, lambda a, k: a * ((((o * 5 + (k - 1) * 3) % 37) - 18)::DOUBLE / 37::DOUBLE))) + o::DOUBLE / 64)) AS hid FROM pairs0))"""),
     "stream_moments": q(_moment_rows("lp", 4, "rid", digits=4)),
+    "stream_state_moments": q(_moment_rows("lp", 4, "rid", full=False, digits=4)),
     "stream_unit_stats": q(f"""SELECT a.j AS src, b.j AS tgt, {r('1 - corr(a.xs, b.ys)')} AS cost FROM
         (SELECT vec_id, j, xv / sqrt(avg(xv * xv) OVER w) AS xs, yv / sqrt(avg(yv * yv) OVER w) AS ys FROM cells WINDOW w AS (PARTITION BY vec_id // 50)) a
         JOIN (SELECT vec_id, j, xv / sqrt(avg(xv * xv) OVER w) AS xs, yv / sqrt(avg(yv * yv) OVER w) AS ys FROM cells WINDOW w AS (PARTITION BY vec_id // 50)) b

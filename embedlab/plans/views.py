@@ -40,7 +40,13 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
 def lineitem_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """``(grp, x, y)`` at width 4, one row per line item; the last target is not linear."""
 
-    raw = read_table(spark, folder, "lineitem").select(
+    return pairs_of_lines(read_table(spark, folder, "lineitem"))
+
+
+def pairs_of_lines(lines: DataFrame) -> DataFrame:
+    """The same from a table or a stream of line items."""
+
+    raw = lines.select(
         (F.col("l_suppkey") % 20).cast("string").alias("grp"),
         (F.col("l_quantity") / 50.0).alias("x0"),
         (F.col("l_extendedprice") / 100000.0).alias("x1"),
@@ -184,15 +190,6 @@ def tensor_catalog(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("q") * 32).alias("width"),
     )
 
-
-CONFIG_SCHEMA = (
-    "ckpt bigint, encoder_config struct<num_hidden_layers: bigint, hidden_size: bigint, "
-    "num_attention_heads: bigint, intermediate_size: bigint, num_mel_bins: bigint, "
-    "subsampling_factor: bigint, conv_kernel_size: bigint, sliding_window: bigint, "
-    "attention_bias: boolean, convolution_bias: boolean, scale_input: boolean>"
-)
-
-
 def config_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``(ckpt, text)``: one JSON configuration per part, some of them not compatible."""
 
