@@ -509,6 +509,35 @@ def _column_rules(ops: DataFrame) -> DataFrame:
     )
 
 
+def _turned(weight) -> Column:
+    """The array ``values`` under ``_rules``; ``weight`` picks a part's weight."""
+
+    return F.transform(
+        "_rules",
+        lambda rule: F.aggregate(
+            rule["parts"],
+            F.lit(0.0),
+            lambda acc, part: acc + F.get("values", part["src"]) * weight(part),
+        ),
+    )
+
+
+def turn_values(tensors: DataFrame, ops: DataFrame, weight: str) -> DataFrame:
+    """Turn the axis inside ``values`` by one operator, row by row: nothing is exploded or shuffled.
+
+    ``weight`` is ``analysis`` or ``synthesis``. Another width than the operator's fails the job. Pass a
+    materialised ``ops``: its cells are counted, and broadcast when they are few.
+    """
+
+    one = F.lit(0).alias("group")
+    rules = _column_rules(ops.select(one, "src", "tgt", "analysis", "synthesis")).withColumnRenamed("group", "_op")
+    small = ops.count() * CELL_BYTES <= BROADCAST_BYTES
+    joined = tensors.withColumn("_op", F.lit(0)).join(F.broadcast(rules) if small else rules, "_op")
+    fits = F.size("values") == F.col("_sources")
+    turned = joined.filter(_or_fail(fits, "inner axis and operator differ in size: "))
+    return turned.withColumn("values", _turned(lambda part: part[weight])).select(*tensors.columns)
+
+
 def rebase(tensors: DataFrame, ops: DataFrame) -> DataFrame:
     """Express tensors in another basis: ``(name, row, values)``.
 
@@ -535,14 +564,7 @@ def rebase(tensors: DataFrame, ops: DataFrame) -> DataFrame:
     fits = F.col("_rules").isNull() | (F.size("values") == F.col("_sources"))
     joined = joined.filter(_or_fail(fits, "inner axis and operator differ in size: "))
     weight = lambda part: F.when(F.col("_flat"), part["analysis"]).otherwise(part["synthesis"])
-    turned = F.transform(
-        "_rules",
-        lambda rule: F.aggregate(
-            rule["parts"],
-            F.lit(0.0),
-            lambda acc, part: acc + F.get("values", part["src"]) * weight(part),
-        ),
-    )
+    turned = _turned(weight)
     inner = joined.select(
         "name",
         F.col("row").cast("bigint").alias("row"),

@@ -574,9 +574,8 @@ def barycentric_match(spark: SparkSession, d: str) -> DataFrame:
 def identity_ops(spark: SparkSession, d: str) -> DataFrame:
     """Groups without a plan keep their order: a change of basis by the identity changes nothing."""
 
-    ops = matching.identity_ops(spark, views.WIDTH)
-    cells = tensors.tensor_cells(_base(spark, d))
-    return _r(_long(tensors.apply_operator(cells, ops, "i", "synthesis"), "i"), "v")
+    turned = tensors.turn_values(_base(spark, d), matching.identity_ops(spark, views.WIDTH), "synthesis")
+    return _r(_long(tensors.tensor_cells(turned), "i"), "v")
 
 
 def expand_ops(spark: SparkSession, d: str) -> DataFrame:
@@ -591,9 +590,8 @@ def concat_ops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_axis(spark: SparkSession, d: str) -> DataFrame:
-    cells = tensors.tensor_cells(_base(spark, d))
-    turned = tensors.apply_operator(cells, _ops(spark, d), "i", "analysis")
-    return _r(_long(turned, "i"), "v")
+    turned = tensors.turn_values(_base(spark, d), materialize(_ops(spark, d)), "analysis")
+    return _r(_long(tensors.tensor_cells(turned), "i"), "v")
 
 
 def _block_weight() -> np.ndarray:
