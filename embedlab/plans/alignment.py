@@ -23,6 +23,9 @@ from embedlab.operators.moments import MomentMatrices, moments
 from embedlab.operators.sampling import group_holdout
 from embedlab.session import materialize
 
+# What a report keeps of each penalty.
+SWEEP_FIELDS = ("alpha", "r2", "relative_error", "cosine_mean", "cosine_p05", "deployed_r2")
+
 
 @dataclass
 class Split:
@@ -127,6 +130,17 @@ def ladder(
     )
 
 
+def with_sweep(rungs: DataFrame, sweep: DataFrame) -> DataFrame:
+    """The rungs with ``sweep``: for maps that were chosen from several penalties, all of them, in order.
+
+    ``sweep`` has a row per map and penalty, so its arrays are as long as the grid.
+    """
+
+    fields = [c for c in SWEEP_FIELDS if c in sweep.columns]
+    traces = sweep.groupBy("map").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("sweep"))
+    return rungs.join(traces, "map", "left")
+
+
 def report_only_rung(
     pairs: DataFrame, head: Sequence, projection, alphas: Sequence[float] = RIDGE_ALPHAS
 ) -> DataFrame:

@@ -938,6 +938,31 @@ def report_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _r(listed, "r2", "cosine_mean").select("chosen", "fit_frames", "n_groups", "map", "r2", "cosine_mean")
 
 
+def report_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep behind the ridge rung and the details of the run, after a write and a read."""
+
+    pairs = views.pairs(spark, d)
+    sweep = materialize(alignment.ridge_sweep(pairs).withColumn("map", F.lit("ridge")))
+    best = sweep.filter("is_best").select("map", "alpha", "r2", F.lit(1).alias("ord"))
+    detail = best.select(F.struct("alpha").alias("detail"))
+    header = pairs.agg(F.count(F.lit(1)).alias("clips")).select(
+        F.lit("ridge").alias("map"), "clips", F.lit(0.4).alias("seconds"),
+        F.lit("correlation").alias("ground_metric"), F.lit(False).alias("source_normalize"),
+    ).crossJoin(F.broadcast(detail))
+    out = fresh_path(spark, "report")
+    writers.write_report(writers.build_report(header, alignment.with_sweep(best, sweep)), out)
+    read = readers.scan_report(spark, out)
+    rung = read.withColumn("rung", F.element_at("ladder", 1))
+    listed = rung.select(
+        F.col("map").alias("chosen"), "clips", "seconds", "ground_metric", "source_normalize",
+        F.col("detail.alpha").alias("best_alpha"), F.inline("rung.sweep"),
+    )
+    return _r(
+        listed.select("chosen", "clips", "seconds", "ground_metric", "source_normalize", "best_alpha", "alpha", "r2", "cosine_p05"),
+        "r2", "cosine_p05",
+    )
+
+
 def probe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     table = crosslingual.retrieval_table(views.utterances(spark, d), views.WIDTH)
     out = fresh_path(spark, "probes")
@@ -1131,6 +1156,7 @@ QUERIES = {
     "tensor_roundtrip": tensor_roundtrip,
     "report_roundtrip": report_roundtrip,
     "probe_roundtrip": probe_roundtrip,
+    "report_sweep": report_sweep,
     "mlp_scores": mlp_scores,
     "stream_moments": stream_moments,
     "stream_state_moments": stream_state_moments,

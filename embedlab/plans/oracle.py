@@ -661,3 +661,5 @@ CTE["tkranks"] = """SELECT a.lang AS language, a.probe, a.sid, any_value(a.nt) A
 ORACLE["takes_retrieval"] = q(f"""SELECT language, probe, count(*) AS n, {r("avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END)")} AS top1,
     {r("avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END)")} AS top5, {r("median(rank)::DOUBLE")} AS median_rank,
     {r("1.0::DOUBLE / count(*)")} AS chance_top1, sum((nt = 1)::INT)::BIGINT AS n_single_take FROM tkranks GROUP BY 1, 2""")
+ORACLE["report_sweep"] = f"""SELECT 'ridge' AS chosen, (SELECT count(*) FROM embeddings) AS clips, 0.4::DOUBLE AS seconds, 'correlation' AS ground_metric,
+    false AS source_normalize, max(CASE WHEN is_best THEN alpha END) OVER () AS best_alpha, alpha, r2, cosine_p05 FROM ({ORACLE["ridge_score"]})"""

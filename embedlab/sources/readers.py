@@ -20,7 +20,9 @@ CONFIG_SCHEMA = f"ckpt bigint, model_type string, encoder_config {ENCODER_CONFIG
 SCORE_FIELDS = (
     "map: string, r2: double, relative_error: double, cosine_mean: double, cosine_p05: double, "
     "deployed_r2: double, deployed_cosine_mean: double, alpha: double, scale: double, "
-    "explained_singular_mass: double, shippable: boolean"
+    "explained_singular_mass: double, shippable: boolean, "
+    "sweep: array<struct<alpha: double, r2: double, relative_error: double, cosine_mean: double, "
+    "cosine_p05: double, deployed_r2: double>>"
 )
 TRANSPORT_FIELDS = (
     "group: string, source_size: bigint, target_size: bigint, transport_cost: double, "
@@ -28,7 +30,10 @@ TRANSPORT_FIELDS = (
     "min_self_mass: double"
 )
 REPORT_SCHEMA = (
-    "map string, projection_dim bigint, source string, fit_frames bigint, eval_frames bigint, "
+    "map string, projection_dim bigint, detail struct<alpha: double, scale: double, "
+    "explained_singular_mass: double>, source string, container string, audio string, clips bigint, "
+    "seconds double, fit_frames bigint, eval_frames bigint, source_normalize boolean, "
+    "ground_metric string, column_assignment string, "
     f"ladder array<struct<{SCORE_FIELDS}>>, transport array<struct<{TRANSPORT_FIELDS}>>"
 )
 PROBE_SCHEMA = (
