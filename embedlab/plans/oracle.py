@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from embedlab.operators import tensors as T
 from embedlab.plans import views
 
 
@@ -199,23 +198,44 @@ CTE["catalog"] = f"""SELECT ckpt, name, CASE WHEN name LIKE '%bias' OR name LIKE
       max(l_quantity::BIGINT) AS q FROM lineitem GROUP BY 1, 2)"""
 
 
+# Fixed values, written out here so that a wrong entry in the engine's own tables is noticed: the names
+# that occur in the catalogue view, their short forms, and which of them are kept at which precision.
+CHECKED_NAMES = {
+    "self_attn.linear_k.weight": "self_attn.k_proj.weight",
+    "conv.batch_norm.weight": "conv.norm.weight",
+}
+CHECKED_SHORT_NAMES = {
+    "self_attn.q_proj.weight": "attn_q.weight",
+    "self_attn.k_proj.weight": "attn_k.weight",
+    "self_attn.bias_u": "pos_bias_u",
+    "norm_out.weight": "ln2.weight",
+    "feed_forward1.linear1.weight": "ffn_up.weight",
+    "conv.pointwise_conv1.weight": "conv_pw1.weight",
+    "conv.depthwise_conv.weight": "conv_dw.weight",
+    "conv.norm.weight": "conv_norm.weight",
+}
+CHECKED_F16 = ["conv.pointwise_conv1.weight"]
+CHECKED_Q8 = ["self_attn.q_proj.weight", "feed_forward1.linear1.weight", "proj.weight"]
+CHECKED_COMPANIONS = ["proj.weight", "proj.bias", "preprocessor.featurizer.fb", "preprocessor.featurizer.window"]
+
+
 def _renamed(source: str) -> str:
-    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.LAYER_NAMES.items())
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CHECKED_NAMES.items())
     return f"""SELECT ckpt, name, ndim, rows, width, CASE WHEN regexp_matches(name, '^encoder\\.layers\\.\\d+\\.')
         THEN regexp_extract(name, '^encoder\\.layers\\.\\d+\\.') || (CASE regexp_replace(name, '^encoder\\.layers\\.\\d+\\.', '') {cases}
             ELSE regexp_replace(name, '^encoder\\.layers\\.\\d+\\.', '') END) ELSE name END AS new_name FROM {source}"""
 
 
 CTE["canon"] = _renamed("catalog")
-_short = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.SHORT_LAYER_NAMES.items())
+_short = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CHECKED_SHORT_NAMES.items())
 CTE["short"] = f"""SELECT ckpt, new_name AS name, CASE WHEN regexp_matches(new_name, '^encoder\\.layers\\.\\d+\\.')
     THEN 'a.blk.' || regexp_extract(new_name, '^encoder\\.layers\\.(\\d+)\\.', 1) || '.' ||
         (CASE regexp_replace(new_name, '^encoder\\.layers\\.\\d+\\.', '') {_short} END)
     ELSE CASE new_name WHEN 'proj.weight' THEN 'mm.a.proj.weight' WHEN 'proj.bias' THEN 'mm.a.proj.bias'
         WHEN 'preprocessor.featurizer.fb' THEN 'a.mel_filters' WHEN 'preprocessor.featurizer.window' THEN 'a.window' END END AS new_name FROM canon"""
 _ends = lambda column, names: "(" + " OR ".join(f"ends_with({column}, '{s}')" for s in names) + ")"
-CTE["classes"] = f"""SELECT ckpt, name, CASE WHEN {_ends("name", T.F16_SUFFIXES)} THEN 'f16'
-    WHEN ndim = 2 AND {_ends("name", T.Q8_SUFFIXES)} THEN 'q8_0' ELSE 'f32' END AS precision FROM catalog"""
+CTE["classes"] = f"""SELECT ckpt, name, CASE WHEN {_ends("name", CHECKED_F16)} THEN 'f16'
+    WHEN ndim = 2 AND {_ends("name", CHECKED_Q8)} THEN 'q8_0' ELSE 'f32' END AS precision FROM catalog"""
 
 
 def q(body: str) -> str:
@@ -535,12 +555,12 @@ ORACLE: dict[str, str] = {
     "role_counts": q("""SELECT ckpt, sum((precision = 'q8_0')::INT)::BIGINT AS n_q8_0, sum((precision = 'f16')::INT)::BIGINT AS n_f16, sum((precision = 'f32')::INT)::BIGINT AS n_f32 FROM classes GROUP BY ckpt"""),
     "renamed": q("SELECT ckpt, name, new_name FROM canon WHERE starts_with(name, 'encoder.')"),
     "short_names": q("SELECT ckpt, name, new_name FROM short"),
-    "missing_companions": q(f"""SELECT c.ckpt, n.name FROM (SELECT DISTINCT ckpt FROM catalog WHERE name = 'proj.weight') c, (SELECT unnest({sql_list(T.COMPANIONS)}) AS name) n
+    "missing_companions": q(f"""SELECT c.ckpt, n.name FROM (SELECT DISTINCT ckpt FROM catalog WHERE name = 'proj.weight') c, (SELECT unnest({sql_list(CHECKED_COMPANIONS)}) AS name) n
         WHERE NOT EXISTS (SELECT 1 FROM catalog k WHERE k.ckpt = c.ckpt AND k.name = n.name)"""),
     "own_or_borrowed": q(f"""SELECT w.ckpt, w.name, CASE WHEN own THEN k.rows ELSE l.rows END AS rows, CASE WHEN own THEN 'own' ELSE 'borrowed' END AS origin FROM
-        (SELECT ckpt, own, unnest({sql_list(T.COMPANIONS)}) AS name FROM (SELECT ckpt, bool_or(name = 'proj.weight') AS own FROM catalog GROUP BY ckpt)) w
+        (SELECT ckpt, own, unnest({sql_list(CHECKED_COMPANIONS)}) AS name FROM (SELECT ckpt, bool_or(name = 'proj.weight') AS own FROM catalog GROUP BY ckpt)) w
         LEFT JOIN catalog k ON k.ckpt = w.ckpt AND k.name = w.name
-        LEFT JOIN (SELECT name, max(rows) AS rows FROM catalog WHERE name IN (SELECT unnest({sql_list(T.COMPANIONS)})) GROUP BY name) l ON l.name = w.name
+        LEFT JOIN (SELECT name, max(rows) AS rows FROM catalog WHERE name IN (SELECT unnest({sql_list(CHECKED_COMPANIONS)})) GROUP BY name) l ON l.name = w.name
         WHERE CASE WHEN own THEN k.rows ELSE l.rows END IS NOT NULL"""),
     "derived_config": q("""SELECT ckpt, any_value(n.n_layers) AS num_hidden_layers, 128::BIGINT AS num_mel_bins, 8::BIGINT AS subsampling_factor, max(CASE WHEN new_name = 'encoder.subsampling.linear.weight' THEN rows END) AS hidden_size,
         max(CASE WHEN new_name = 'encoder.layers.0.self_attn.bias_u' THEN rows END) AS num_attention_heads,
