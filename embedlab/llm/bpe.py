@@ -21,16 +21,17 @@ from pyspark.sql import functions as F
 
 from embedlab.llm.rows import prepare, record_batch, slices
 
-MAX_CACHED_CHUNKS = 400_000
-CACHED_CHUNK_CHARS = 64
+MAX_CACHED_WORDS = 500_000
+BATCH_WORDS = 1 << 14
 BATCH_BYTES = 4 << 20
+OTHER = "\n"  # marks words that the library has split
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
 NO_RULE = 1 << 62
 # fixed values: the split pattern of the vocabulary file, for lower-case Latin-1 letters, digits and
 # ASCII signs; other characters go through the library's own splitting
-LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \na-z0-9ß-öø-ÿ]+")
+LATIN = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*+")
 # fixed values: printable bytes stand for themselves, the others for characters from 256 on
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARACTERS = {b: b for b in PRINTABLE} | {
@@ -107,6 +108,67 @@ class Merges:
         return tokens
 
 
+class BatchMerges:
+    """The same merges for many short words at once: rows of symbols, one merge per row and step."""
+
+    def __init__(self, merges: Merges) -> None:
+        pairs = np.array([[a, b] for a, b in merges.rules], np.int64).reshape(-1, 2)
+        keys = pairs[:, 0] << ID_BITS | pairs[:, 1]
+        order = np.argsort(keys)
+        self._keys = keys[order]
+        self._ranked = np.fromiter(merges.rules.values(), np.int64, len(keys))[order]
+        self._inner, self._last = np.full(1024, -1, np.int64), np.full(1024, -1, np.int64)
+        for code in BYTE_CHARACTERS.values():
+            self._inner[code] = merges.ids[chr(code)]
+            self._last[code] = merges.ids[chr(code) + merges.suffix]
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where((self._keys[at] == keys) & (right >= 0) & (left >= 0), self._ranked[at], NO_RULE)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word; the words are not empty and of similar length."""
+
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max())
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        tokens = np.full((len(words), width + 1), -1, np.int64)
+        inside = np.arange(width + 1) < sizes[:, None]
+        tokens[inside] = self._inner[codes]
+        tokens[np.arange(len(words)), sizes - 1] = self._last[codes[np.cumsum(sizes) - 1]]
+        done = tokens.copy()
+        rows = np.arange(len(words))
+        ranked = self._rank(tokens[:, :-1], tokens[:, 1:])
+        columns = np.arange(width + 1)
+        while len(rows):
+            at = ranked.argmin(axis=1)
+            here = np.arange(len(rows))
+            best = ranked[here, at]
+            stop = best == NO_RULE
+            if stop.any():
+                done[rows[stop]] = tokens[stop]
+                go = ~stop
+                rows, tokens, ranked, at, best = (x[go] for x in (rows, tokens, ranked, at, best))
+                here = np.arange(len(rows))
+                if len(rows) == 0:
+                    break
+            tokens[here, at] = best & ID_MASK
+            source = np.minimum(columns + (columns > at[:, None]), width)
+            tokens = np.take_along_axis(tokens, source, axis=1)
+            tokens[:, -1] = -1
+            source = np.minimum(columns[:-1] + (columns[:-1] > at[:, None]), width - 1)
+            ranked = np.take_along_axis(ranked, source, axis=1)
+            ranked[:, -1] = NO_RULE
+            ranked[here, at] = self._rank(tokens[here, at], tokens[here, at + 1])
+            before = np.maximum(at - 1, 0)
+            left = self._rank(tokens[here, before], tokens[here, before + 1])
+            ranked[here, before] = left
+        ends = np.cumsum((done >= 0).sum(axis=1) * 4).tolist()
+        packed = done[done >= 0].astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class WordTransducer:
     """Encodes one word fed in parts; gives out tokens as soon as they are certain."""
 
@@ -141,67 +203,93 @@ class WordTransducer:
         return self.merges.merge([ids[c] for c in word[:-1]] + [ids[word[-1] + self.merges.suffix]])
 
 
-class Encoder(dict):
+class Encoder:
     """Texts to ids packed as little-endian 32-bit integers.
 
-    No token spans white space, so a text is encoded between its blanks; short pieces are remembered
-    in a map of bounded size. Special tokens are cut out first, as the library does.
+    Texts of Latin-1 letters and ASCII signs are split here, others by the library between their
+    blanks, which no token spans. The ids of short words are remembered in a map of bounded size.
+    Special tokens are cut out first, as the library does.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.merges = Merges(path)
-        self._ids = self.merges.ids
-        self.short = WordTransducer(self.merges).block
+        self._known: dict[str, bytes] = {}
+        self._together = BatchMerges(self.merges)
+        self._short = WordTransducer(self.merges).block
         library = Tokenizer.from_file(path)
         self._normalize = library.normalizer.normalize_str
         self._split = library.pre_tokenizer.pre_tokenize_str
         special = {t.content: n for n, t in library.get_added_tokens_decoder().items()}
-        self.special = {text: np.array([n], "<u4").tobytes() for text, n in special.items()}
-        longest_first = sorted(self.special, key=len, reverse=True)
+        self._special_ids = {text: np.array([n], "<u4").tobytes() for text, n in special.items()}
+        longest_first = sorted(special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
 
-    def words(self, piece: str) -> Iterable[str]:
-        if LATIN.fullmatch(piece):
-            words = LATIN_WORDS.findall(piece.lower())
-            if piece.isascii():
-                return words
-            return [w.encode().decode("latin-1").translate(BYTE_CHARACTERS) for w in words]
-        return (word for word, _ in self._split(self._normalize(piece)))
-
-    def piece(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for word in self.words(piece):
-            if len(word) <= self.short:
-                symbols = [self._ids[c] for c in word[:-1]]
-                symbols.append(self._ids[word[-1] + self.merges.suffix])
-                ids += self.merges.merge(symbols)
-                continue
-            transducer = WordTransducer(self.merges)
-            ids.extend(transducer.feed(word))
-            ids.extend(transducer.finish())
-        return np.array(ids, "<u4").tobytes()
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special tokens, each in the characters its bytes stand for,
+        or plain where they are ASCII."""
 
-    def __missing__(self, piece: str) -> bytes:
-        packed = self.piece(piece)
-        if len(piece) <= CACHED_CHUNK_CHARS:
-            if len(self) >= MAX_CACHED_CHUNKS:
-                self.clear()
-            self[piece] = packed
-        return packed
+        if LATIN.fullmatch(text):
+            return LATIN_WORDS.findall(text.lower())
+        parts = (self._split(self._normalize(piece)) for piece in re.split(r"[ \n]+", text))
+        return [OTHER + word for found in parts for word, _ in found]
 
-    def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            parts = self._special.split(text)
-            return b"".join(
-                self.special[part] if i % 2 else self._plain(part) for i, part in enumerate(parts)
+    def _characters(self, word: str) -> str:
+        if word.startswith(OTHER):
+            return word[len(OTHER) :]
+        return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+
+    def word(self, characters: str) -> bytes:
+        transducer = WordTransducer(self.merges)
+        ids = [*transducer.feed(characters), *transducer.finish()]
+        return np.array(ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember new short words. They fit into a transducer's buffer as a whole, so the merges of
+        all of them are done together."""
+
+        if len(self._known) + len(words) > MAX_CACHED_WORDS:
+            self._known.clear()
+        sized: dict[int, list[tuple[str, str]]] = {}
+        for word in words:
+            characters = self._characters(word)
+            if len(characters) <= self._short:
+                sized.setdefault((len(characters) + 3) // 4, []).append((word, characters))
+        for group in sized.values():
+            for start in range(0, len(group), BATCH_WORDS):
+                part = group[start : start + BATCH_WORDS]
+                self._known.update(zip([w for w, _ in part], self._together([c for _, c in part])))
+
+    def _ids(self, word: str) -> bytes:
+        found = self._known.get(word)
+        return self.word(self._characters(word)) if found is None else found
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of each text."""
+
+        split = [self._special.split(text) if "<|" in text else [text] for text in texts]
+        found = [
+            [[part] if i % 2 else self.words(part) for i, part in enumerate(parts)] for parts in split
+        ]
+        known = self._known
+        fresh = {w for parts in found for words in parts[::2] for w in words if w not in known}
+        if len(known) + len(fresh) > MAX_CACHED_WORDS:
+            fresh = {w for parts in found for words in parts[::2] for w in words}
+        self._learn(fresh)
+        for parts in found:
+            yield b"".join(
+                self._special_ids[words[0]] if i % 2 else self._join(words) for i, words in enumerate(parts)
             )
-        return self._plain(text)
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def _join(self, words: list[str]) -> bytes:
+        try:
+            return b"".join([self._known[word] for word in words])
+        except KeyError:  # a word too long to be remembered
+            return b"".join([self._ids(word) for word in words])
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
 
 
 class Decoder:
@@ -261,8 +349,7 @@ def _round_trip(path: str, outputs: bool) -> Callable:
             for part, texts in slices(batch, "_text", BATCH_BYTES):
                 out: dict[str, list] = {name: [] for name in schema.names}
                 out["doc_id"] = part.column("doc_id").to_pylist()
-                for text in texts:
-                    packed = encoder.encode(text)
+                for packed in encoder.encode_all(texts):
                     ids = np.frombuffer(packed, "<u4")
                     decoder, digest, pieces = Decoder(tokens), hashlib.sha256(), []
                     for start in range(0, len(ids), 1 << 16):

@@ -75,8 +75,8 @@ def _pieces(path: str, capacity: int) -> Callable:
         for batch in batches:
             for part, texts in slices(batch, "_text", BATCH_BYTES):
                 out: dict[str, list] = {name: [] for name in schema.names}
-                for doc, text in zip(part.column("doc_id").to_pylist(), texts):
-                    packed = encoder.encode(text) + end
+                for doc, packed in zip(part.column("doc_id").to_pylist(), encoder.encode_all(texts)):
+                    packed += end
                     for piece, at in enumerate(range(0, len(packed), 4 * capacity)):
                         ids = packed[at : at + 4 * capacity]
                         out["doc_id"].append(doc)
