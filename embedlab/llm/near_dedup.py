@@ -7,8 +7,8 @@ documents agree in a register with probability equal to their probability Jaccar
 
 Bands of registers give buckets. In a bucket every member is checked against the first and against
 the one before it; what is linked is merged. Then members of a bucket that are still apart are
-compared by their signatures, and all pairs that could be similar are verified as well, so no
-candidate pair is dropped while pairs within a class are never listed.
+compared by their signatures, and the pairs that could be similar are verified where they are, so no
+candidate pair is dropped while pairs are never listed.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 REGISTERS = 127  # a prime, so that steps of any size visit every register
 BANDS, BAND_ROWS = 25, 5
-ESTIMATE_MARGIN = 0.2  # over five standard deviations of the estimate at the threshold
-BUCKET_BLOCK = 1024
+ESTIMATE_MARGIN = 0.15  # over four standard deviations of the estimate at the threshold
+BUCKET_BLOCK = 512
+BLOCK_TEXT = 4 << 20
 
 
 def shingles(words: np.ndarray, powers: Powers, size: int) -> np.ndarray:
@@ -109,6 +110,7 @@ def _signer(size: int) -> Callable:
             ("_node", pa.binary()),
             ("_signature", pa.binary()),
             ("_bands", pa.list_(pa.int64())),
+            ("_bytes", pa.int64()),
         ]
     )
 
@@ -153,6 +155,7 @@ def _signer(size: int) -> Callable:
                         "_node": nodes,
                         "_signature": prints,
                         "_bands": bands,
+                        "_bytes": [len(t) for t in texts],
                     },
                     schema,
                 )
@@ -180,55 +183,111 @@ def _verifier(size: int, threshold: float) -> Callable:
     return verify
 
 
-def _apart(threshold: float) -> Callable:
-    """Pairs of a bucket block that lie in different components and agree in enough registers.
-
-    Rows come ordered by bucket and block pair; a block has about ``BUCKET_BLOCK`` rows.
-    """
+_PLACE = ("_band", "_bucket", "_low", "_high")
+_MEMBER = [
+    ("_band", pa.int32()),
+    ("_bucket", pa.int64()),
+    ("_low", pa.int64()),
+    ("_high", pa.int64()),
+    ("_block", pa.int64()),
+    ("_node", pa.binary()),
+    ("_root", pa.binary()),
+    ("_signature", pa.binary()),
+    ("_bands", pa.list_(pa.int64())),
+]
+MEMBER_SCHEMA = (
+    "_band int, _bucket long, _low long, _high long, _block long, _node binary, _root binary, "
+    "_signature binary, _bands array<long>"
+)
+
+
+def _by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one bucket and pair of blocks at a time; input is ordered by them."""
+
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = [batch.column(c).to_numpy() for c in _PLACE]
+        for begin, end in zip(*runs(*keys)):
+            place = tuple(k[begin] for k in keys)
+            if waiting and place != last:
+                yield pa.Table.from_batches(waiting).combine_chunks()
+                waiting = []
+            waiting.append(batch.slice(begin, end - begin))
+            last = place
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _close_pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, other rows, agreement) of the pairs of a block pair that lie in different classes, agree in
+    nearly as many registers as the threshold asks, and meet here first of all bands they share."""
+
+    prints = np.frombuffer(b"".join(rows.column("_signature").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    bands = pc.list_flatten(rows.column("_bands")).to_numpy().reshape(-1, BANDS)
+    band, low, high = (rows.column(c)[0].as_py() for c in ("_band", "_low", "_high"))
+    roots = np.unique(np.array(rows.column("_root").to_pylist(), object), return_inverse=True)[1]
+    blocks = rows.column("_block").to_numpy()
+    first, second = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+    for i in first:
+        others = second[second > i] if low == high else second
+        others = others[roots[others] != roots[i]]
+        agree = (prints[others] == prints[i]).mean(axis=1)
+        near = agree >= threshold - ESTIMATE_MARGIN
+        others, agree = others[near], agree[near]
+        if len(others):
+            new = ~(bands[others, :band] == bands[i, :band]).any(axis=1)
+            if new.any():
+                yield int(i), others[new], agree[new]
 
-    schema = pa.schema([("_a", pa.binary()), ("_b", pa.binary())])
 
-    def compare(rows: pa.Table) -> tuple[list, list]:
-        prints = np.frombuffer(b"".join(rows.column("_signature").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        roots = np.unique(np.array(rows.column("_root").to_pylist(), object), return_inverse=True)[1]
-        blocks = rows.column("_block").to_numpy()
-        nodes = rows.column("_node").to_pylist()
-        low = rows.column("_low")[0].as_py()
-        high = rows.column("_high")[0].as_py()
-        first, second = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
-        a, b = [], []
-        for i in first:
-            others = second[second > i] if low == high else second
-            others = others[roots[others] != roots[i]]
-            agree = (prints[others] == prints[i]).mean(axis=1)
-            for j in others[agree >= threshold - ESTIMATE_MARGIN]:
-                pair = sorted((nodes[i], nodes[j]))
-                a.append(pair[0])
-                b.append(pair[1])
-        return a, b
+def _apart(threshold: float) -> Callable:
+    """The members of a bucket and block pair that have a close partner in another class."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
+        for rows in _by_place(batches):
+            marked = np.zeros(rows.num_rows, bool)
+            for i, others, _ in _close_pairs(rows, threshold):
+                marked[i] = True
+                marked[others] = True
+            if marked.any():
+                yield from rows.filter(pa.array(marked)).combine_chunks().to_batches()
 
-        def emit() -> pa.RecordBatch:
-            a, b = compare(pa.Table.from_batches(waiting).combine_chunks())
-            return record_batch({"_a": a, "_b": b}, schema)
+    return find
 
-        for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in ("_band", "_bucket", "_low", "_high")]
-            for begin, end in zip(*runs(*keys)):
-                piece = batch.slice(begin, end - begin)
-                if waiting and any(
-                    waiting[-1].column(c)[-1].as_py() != piece.column(c)[0].as_py()
-                    for c in ("_band", "_bucket", "_low", "_high")
-                ):
-                    yield emit()
-                    waiting = []
-                waiting.append(piece)
-        if waiting:
-            yield emit()
 
-    return find
+def _linker(size: int, threshold: float) -> Callable:
+    """Verify close pairs on the texts, closest first, and skip pairs whose classes have met by then:
+    what comes out of a place are at most as many links as it has members."""
+
+    schema = pa.schema([("_a", pa.binary()), ("_b", pa.binary())])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, hashes = Powers(), WordHashes()
+        for rows in _by_place(batches):
+            found = [(i, j, a) for i, others, agree in _close_pairs(rows, threshold) for j, a in zip(others, agree)]
+            bags = [bag(shingles(_words(hashes, t), powers, size)) for t in rows.column("_text").to_pylist()]
+            roots = np.unique(np.array(rows.column("_root").to_pylist(), object), return_inverse=True)[1].tolist()
+            parent = list(range(len(roots)))
+
+            def top(i: int, parent: list[int] = parent) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            nodes = rows.column("_node").to_pylist()
+            out: dict[str, list] = {"_a": [], "_b": []}
+            for i, j, _ in sorted(found, key=lambda pair: -pair[2]):
+                x, y = top(roots[i]), top(roots[j])
+                if x != y and probability_jaccard(bags[i], bags[j]) >= threshold:
+                    parent[x] = y
+                    for name, node in zip(("_a", "_b"), sorted((nodes[i], nodes[j]))):
+                        out[name].append(node)
+            if out["_a"]:
+                yield record_batch(out, schema)
+
+    return link
 
 
 class _Graph:
@@ -239,24 +298,32 @@ class _Graph:
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
+    def found_texts(self, ends: DataFrame) -> DataFrame:
+        """``_node``, ``_text`` of the nodes in ``ends``, kept. Rows of documents equal in id and text
+        repeat a node; what they repeat does no harm."""
+
+        wanted = self.nodes.select("_node", "_key").join(ends.distinct(), "_node", "left_semi")
+        return kept(self.texts.select("_key", "_text").join(wanted, "_key").select("_node", "_text"), "texts")
+
+    def add(self, links: DataFrame) -> None:
+        self.links = kept(links if self.links is None else links.unionByName(self.links), "similar")
+        self.roots = connected_components(self.links)
+
     def verify(self, pairs: DataFrame) -> None:
         """Compare the texts of ``pairs`` (``_a``, ``_b``) and merge what is similar."""
 
-        ends = pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
-        wanted = self.nodes.select("_node", "_key").join(ends, "_node", "left_semi")
-        # rows of documents equal in id and text repeat a key; the pairs they repeat do no harm
-        found = kept(self.texts.select("_key", "_text").join(wanted, "_key").select("_node", "_text"), "texts")
+        found = self.found_texts(
+            pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node")))
+        )
         wide = pairs.join(
             found.select(F.col("_node").alias("_b"), F.col("_text").alias("_text_b")), "_b"
         ).join(found.select(F.col("_node").alias("_a"), F.col("_text").alias("_text_a")), "_a")
-        links = (
+        self.add(
             wide.select("_a", "_b", "_text_a", "_text_b")
             .mapInArrow(_verifier(self.size, self.threshold), "_a binary, _b binary, _similar boolean")
             .where("_similar")
             .select("_a", "_b")
         )
-        self.links = kept(links if self.links is None else links.unionByName(self.links), "similar")
-        self.roots = connected_components(self.links)
 
 
 def _rooted(table: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
@@ -272,7 +339,7 @@ def near_duplicate_nodes(docs: DataFrame, size: int, threshold: float) -> DataFr
     signed_rows = kept(
         texts.select("doc_id", "_key", "_text").mapInArrow(
             _signer(size),
-            "doc_id long, _key binary, _node binary, _signature binary, _bands array<long>",
+            "doc_id long, _key binary, _node binary, _signature binary, _bands array<long>, _bytes long",
         ),
         "signatures",
     )
@@ -284,6 +351,7 @@ def near_duplicate_nodes(docs: DataFrame, size: int, threshold: float) -> DataFr
             F.min("_key").alias("_key"),
             F.first("_signature").alias("_signature"),
             F.first("_bands").alias("_bands"),
+            F.first("_bytes").alias("_bytes"),
         ),
         "nodes",
     )
@@ -309,35 +377,41 @@ def near_duplicate_nodes(docs: DataFrame, size: int, threshold: float) -> DataFr
     rest = _rooted(_rooted(pairs, graph.roots, "_a", "_root_a"), graph.roots, "_b", "_root_b")
     graph.verify(kept(rest.where("_root_a <> _root_b").select("_a", "_b"), "pairs"))
 
-    placed = _rooted(shared.select("_band", "_bucket", "_size", "_node"), graph.roots, "_node", "_root")
+    _link_what_is_apart(graph, shared, nodes, size, threshold)
+    return _rooted(signed_rows.select("doc_id", "_key", "_node"), graph.roots, "_node", "_root")
+
+
+def _link_what_is_apart(graph: _Graph, shared: DataFrame, nodes: DataFrame, size: int, threshold: float) -> None:
+    """Compare the members of a bucket that are still in different classes, block against block.
+
+    First by signatures, which leaves the members that may have a partner; then on their texts. Blocks
+    are bounded in rows and in text, so a bucket of any size is many tasks of bounded memory.
+    """
+
+    members = shared.select("_band", "_bucket", "_node")
+    placed = _rooted(members, graph.roots, "_node", "_root").join(nodes.select("_node", "_bytes"), "_node")
+    rows, volume = F.count("*") / BUCKET_BLOCK, F.sum("_bytes") / BLOCK_TEXT
     mixed = (
         placed.groupBy("_band", "_bucket")
-        .agg(F.min("_root").alias("_r1"), F.max("_root").alias("_r2"), F.count("*").alias("_size"))
-        .where("_r1 <> _r2 and _size > 2")
-        .select("_band", "_bucket", F.ceil(F.col("_size") / BUCKET_BLOCK).alias("_blocks"))
+        .agg(F.min("_root").alias("_r1"), F.max("_root").alias("_r2"), F.ceil(F.greatest(rows, volume)).alias("_blocks"))
+        .where("_r1 <> _r2")
+        .select("_band", "_bucket", "_blocks")
     )
     blocked = (
-        placed.drop("_size")
-        .join(mixed, ["_band", "_bucket"])
+        placed.join(mixed, ["_band", "_bucket"])
         .withColumn("_block", F.pmod(F.xxhash64("_node"), "_blocks"))
         .withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-        .select(
-            "_band", "_bucket", "_node", "_root", "_block",
-            F.least("_block", "_with").alias("_low"), F.greatest("_block", "_with").alias("_high"),
-        )
-        .join(nodes.select("_node", "_signature"), "_node")
+        .withColumn("_low", F.least("_block", "_with"))
+        .withColumn("_high", F.greatest("_block", "_with"))
+        .join(nodes.select("_node", "_signature", "_bands"), "_node")
+        .select(*[name for name, _ in _MEMBER])
     )
-    grouping = ["_band", "_bucket", "_low", "_high"]
-    open_pairs = (
-        blocked.repartition(*grouping)
-        .sortWithinPartitions(*grouping)
-        .select("_band", "_bucket", "_low", "_high", "_block", "_node", "_root", "_signature")
-        .mapInArrow(_apart(threshold), "_a binary, _b binary")
-        .distinct()
-        .join(pairs.select("_a", "_b"), ["_a", "_b"], "left_anti")
+    ordered = lambda df: df.repartition(*_PLACE).sortWithinPartitions(*_PLACE)
+    close = kept(ordered(blocked).mapInArrow(_apart(threshold), MEMBER_SCHEMA), "close")
+    found = graph.found_texts(close.select("_node"))
+    graph.add(
+        ordered(close.join(found, "_node")).mapInArrow(_linker(size, threshold), "_a binary, _b binary")
     )
-    graph.verify(kept(open_pairs, "pairs"))
-    return _rooted(signed_rows.select("doc_id", "_key", "_node"), graph.roots, "_node", "_root")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -377,8 +451,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float
     A text of fewer words is one shingle; a null text, or one without words, is alone (equal rows
     together). A class without any id has a null class_id. Other columns are ignored.
 
-    A pair at the threshold shares a bucket with probability above 0.9999; nothing else is left to
-    chance, as every candidate pair that is not yet in one class is verified on the texts.
+    A pair at the threshold shares a bucket with probability above 0.9999, and its signatures agree
+    often enough to be verified with about the same; every such pair that is not yet in one class is
+    then decided on the whole texts.
     """
 
     rows = kept(near_duplicate_nodes(docs, size, threshold), "classes")
