@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
-Text is cut into islands, the only places where an entity can be (they hold digits in number, an
-``@`` or a spelled-out one). In an island every span of up to ``MAX_TOKENS`` tokens is a candidate for
+Text is cut into islands, the only places where an entity can be (they hold digits in number, four
+parts joined by dots, an ``@`` or a spelled-out one). In an island every span of up to ``MAX_TOKENS`` tokens is a candidate for
 every kind, scored by features of the whole span; forward-backward trains the weights and a Viterbi
 pass picks boundaries and kinds together. Spans of the fixed patterns always stay.
 """
@@ -35,15 +35,16 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 NUMBERS = re.compile(r"[+(]?[0-9](?:[ ().\[\]/,:+-]{0,3}[0-9])++")
-SPELLED = re.compile(r"[(\[{]at[)\]}]| dot ")
+PARTS = re.compile(r"(?<![0-9])[0-9]++(?:\[?\.\]?[0-9]++){3,}+")
+SPELLED = re.compile(r"(?i:[(\[{]at[)\]}]| dot )")
 SPELLED_EMAIL = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64} ?(?:[(\[{]at[)\]}]| at ) ?[A-Za-z0-9-]{1,63}"
-    r"(?: ?(?:\.|[(\[{]dot[)\]}]| dot ) ?[A-Za-z0-9-]{1,63}){1,8}"
+    r"[A-Za-z0-9._%+-]{1,64} ?(?i:[(\[{]at[)\]}]| at ) ?[A-Za-z0-9-]{1,63}"
+    r"(?: ?(?i:\.|[(\[{]dot[)\]}]| dot ) ?[A-Za-z0-9-]{1,63}){1,8}"
 )
 SPELLED_WINDOW = 160
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\s0-9A-Za-z]")
-AT = re.compile(r"@|[(\[{]at[)\]}]| at ")
-DOT = re.compile(r"\.|[(\[{]dot[)\]}]| dot ")
+AT = re.compile(r"@|(?i:[(\[{]at[)\]}]| at )")
+DOT = re.compile(r"\.|(?i:[(\[{]dot[)\]}]| dot )")
 FOUR_PARTS = re.compile(r"([0-9]{1,3})\[?\.\]?([0-9]{1,3})\[?\.\]?([0-9]{1,3})\[?\.\]?([0-9]{1,3})")
 DATE = re.compile(r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{2,4})\b.*")
 CONTEXT = {
@@ -101,7 +102,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 def islands(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Maximal ranges that can hold entities: patterns, digit runs, and addresses spelled out."""
+    """Maximal ranges that can hold entities: patterns, digit runs, four parts or more joined by ``.``
+    or ``[.]`` whatever their digits, and addresses spelled out in either case."""
 
     found = [(s, e) for s, e, _ in base]
     if DIGIT.search(text):
@@ -109,6 +111,7 @@ def islands(text: str, base: list[Span]) -> list[tuple[int, int]]:
             if m.end() - m.start() >= 7 and len(_digits(m[0])) >= 7:
                 end = m.end() + 1 if text[m.end() : m.end() + 1] == ")" else m.end()
                 found.append((m.start(), end))
+        found += [m.span() for m in PARTS.finditer(text)]
     for m in SPELLED.finditer(text):
         low = max(0, m.start() - SPELLED_WINDOW)
         for address in SPELLED_EMAIL.finditer(text, low, m.end() + SPELLED_WINDOW):
@@ -246,12 +249,24 @@ def best_segmentation(island: Island, scores: np.ndarray) -> list[Span]:
     return found[::-1]
 
 
+def _known(text: str) -> list[Span]:
+    """The spans of the fixed patterns and bracketed addresses, which a text must not teach to be none."""
+
+    found = base_spans(text)
+    for m in PARTS.finditer(text):
+        parts = FOUR_PARTS.fullmatch(m[0]) if "[" in m[0] or "]" in m[0] else None
+        if parts and all(int(p) <= 255 for p in parts.groups()):
+            found.append((m.start(), m.end(), "ip"))
+    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
 def _examples(rng: np.random.Generator, words: list[str]) -> Iterator[tuple[str, list[Span]]]:
     """Made-up texts with known entities, in forms the fixed patterns take or miss, and look-alikes."""
 
     number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     pick = lambda *options: options[rng.integers(len(options))]
     around = lambda: " ".join(pick(*words) for _ in range(3))
+    short = np.random.default_rng(12)
     for _ in range(60):
         name, host = pick(*words) + pick("", "." + number(2)), pick(*words) + pick("", number(1))
         top = pick("com", "org", "net", "example.com", "de")
@@ -270,6 +285,7 @@ def _examples(rng: np.random.Generator, words: list[str]) -> Iterator[tuple[str,
             ("email", f"{pick(*words)}{pick('[at]', '(at)')}{pick(*words)}{pick('[dot]', '.')}{pick('com', 'org', 'net')}"),
             ("ip", ".".join(octets)),
             ("ip", "[.]".join(octets)),
+            *(("ip", "[.]".join(str(x) for x in short.integers(0, high, 4))) for high in (10, 100, 256)),
             ("card", pick("", " ", "-").join(quads)),
             ("phone", f"+{pick('1', '44', '49')} ({area}) {middle}-{last}"),
             ("phone", f"({area}) {middle}-{last}"),
@@ -316,7 +332,7 @@ def _sample_islands(seed: int) -> Callable:
 
 def train_spans(docs: DataFrame, sample_islands: int = SAMPLE_ISLANDS, steps: int = 60) -> np.ndarray:
     """Weights (kind, feature), fitted to made-up examples and to at most ``sample_islands`` islands
-    of the texts, chosen by hash, whose entities are those of the fixed patterns."""
+    of the texts, chosen by hash, whose entities are those of the fixed patterns and bracketed addresses."""
 
     prepare(docs.sparkSession)
     cut = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(
@@ -325,7 +341,7 @@ def train_spans(docs: DataFrame, sample_islands: int = SAMPLE_ISLANDS, steps: in
     sample = [r["text"] for r in cut.orderBy("order", "text").limit(sample_islands).collect()]
     rng = np.random.default_rng(11)
     words = sorted({w.lower() for t in sample for w in re.findall(r"[A-Za-z]{3,12}", t)}) or ["alpha", "beta"]
-    examples = [(t, base_spans(t)) for t in sample] + list(_examples(rng, words))
+    examples = [(t, _known(t)) for t in sample] + list(_examples(rng, words))
     rows = []
     for text, gold in examples:
         for start, end in islands(text, base_spans(text)):

@@ -100,6 +100,28 @@ def test_finds_other_spellings_and_leaves_look_alikes(weights):
         assert find_spans(text, weights)[1] == [], text
 
 
+def test_finds_short_bracketed_addresses_and_upper_case_spellings(weights, spark):
+    for text, span in [
+        ("from 10[.]0[.]0[.]1 today", "ip:5:19"), ("8[.]8[.]8[.]8 is up", "ip:0:13"),
+        ("see 192[.]0[.]2[.]1, please", "ip:4:19"), ("seen at 172[.]16[.]0[.]9", "ip:8:24"),
+        ("write jane [AT] mail [DOT] org now", "email:6:30"), ("jane AT mail DOT org", "email:0:20"),
+        ("write jane[At]mail[Dot]org.", "email:6:26"),
+    ]:
+        docs = spark.createDataFrame([(1, text, "", 0)], SCHEMA)
+        kind, start, end = span.split(":")
+        row = find_personal_data(docs, weights).first()
+        assert row.spans == span, text
+        assert row.redacted == text[: int(start)] + f"[{kind.upper()}]" + text[int(end) :]
+    for text in ["part 300[.]1[.]2[.]3 of it", "call 1[.]2[.]3 now", "we met AT home DOT", "1[.]2[.]3[.]4567 no"]:
+        assert find_spans(text, weights)[1] == [], text
+
+
+def test_bracketed_addresses_of_the_texts_do_not_teach_against_them(spark):
+    rows = [(i, f"the host {i % 9 + 1}[.]{i}[.]{i % 7}[.]{i % 251} wrote it", "", 0) for i in range(200)]
+    weights = train_spans(spark.createDataFrame(rows, SCHEMA))
+    assert [s[2] for s in find_spans("from 10[.]0[.]0[.]1 today", weights)[1]] == ["ip"]
+
+
 def test_query_keeps_the_patterns_spans(spark, folder):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     rows = QUERIES["op9_personal_data"](spark, folder).collect()
