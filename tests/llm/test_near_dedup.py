@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -115,6 +116,17 @@ def test_registers_estimate_the_similarity():
     assert np.abs(np.array(estimates) - truths).max() < 0.2
 
 
+def test_the_estimate_hardly_drops_a_pair_at_the_threshold():
+    n, similarity = near_dedup.REGISTERS, near_dedup.THRESHOLD
+    agree = similarity + (1 - similarity) / 256
+    lost = sum(
+        math.comb(n, k) * agree**k * (1 - agree) ** (n - k)
+        for k in range(n + 1)
+        if k / n < similarity - near_dedup.ESTIMATE_MARGIN
+    )
+    assert lost < 1e-6
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(f"{i:03}".encode(), f"{i + 1:03}".encode()) for i in range(60) if i % 7]
