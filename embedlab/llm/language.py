@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedlab.llm.rows import prepare, record_batch, slices
+from embedlab.llm.rows import prepare, record_batch, row_key, slices
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -175,8 +175,9 @@ def _segments(languages_column: str) -> Callable:
 def train_chain(
     docs: DataFrame, documents_per_language: int = DOCUMENTS_PER_LANGUAGE, epochs: int = 6
 ) -> Chain | None:
-    """Fit on about ``documents_per_language`` labelled documents of each language, a bounded sample
-    by the hash of the id, and on segments spread over their whole texts. Held-out ids are left out.
+    """Fit on up to ``documents_per_language`` labelled documents of each language, those with the
+    smallest digests of id and text, and on segments spread over their whole texts. Rows equal in id and
+    text count once. Held-out ids are left out.
 
     Segments of two languages are joined in half of the sequences, so that transitions are seen.
     None when there is nothing to learn from.
@@ -185,16 +186,22 @@ def train_chain(
     prepare(docs.sparkSession)
     labelled = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
-    ).select("doc_id", "lang", "text")
-    counts = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    languages = sorted(counts)
-    steps = 1 << 30
-    limits = F.create_map(
-        *[F.lit(x) for lang in languages for x in (lang, steps * documents_per_language // counts[lang])]
+    ).select("lang", "text", row_key().alias("_key"))
+    smallest = Window.partitionBy("lang").orderBy("_key")
+    bounds = (
+        labelled.select("lang", "_key")
+        .distinct()
+        .withColumn("_nth", F.row_number().over(smallest))
+        .where(F.col("_nth") <= documents_per_language)
+        .groupBy("lang")
+        .agg(F.max("_key").alias("_last"))
     )
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(steps)) < limits[F.col("lang")])
+    last = {row["lang"]: bytes(row["_last"]) for row in bounds.collect()}
+    if not last:
+        return None
+    languages = sorted(last)
+    limits = F.create_map(*[F.lit(x) for lang in languages for x in (lang, last[lang])])
+    sample = labelled.where(F.col("_key") <= limits[F.col("lang")]).dropDuplicates(["lang", "_key"])
     rows = (
         sample.select("lang", "text")
         .mapInArrow(_segments("lang"), "lang string, words array<string>")

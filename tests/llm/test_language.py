@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 
+from embedlab.llm import language
 from embedlab.llm.language import forward_backward, identify_languages, train_chain
 from embedlab.llm.queries import QUERIES
 
@@ -68,3 +69,12 @@ def test_odd_rows(spark, folder):
     nothing = identify_languages(spark.createDataFrame([(1, "a word", None, "x")], SCHEMA)).first()
     assert (nothing.lang_pred, nothing.score) == ("und", 0.0)
     assert identify_languages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_ids_are_neither_all_in_nor_all_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "_fit", lambda parts, languages, epochs: (parts, languages))
+    rows = [(i // 40, f"w{chr(97 + i % 26)} x{'abcdefghij'[i // 26 % 10]}{'klmnopqrst'[i // 260]}", "en", "") for i in range(1000)]
+    rows += [(6, "same words", "de", "")] * 300 + [(n, "ein wort", "fr", "") for n in (6, 6, 8)]
+    parts, languages = train_chain(spark.createDataFrame(rows, SCHEMA), documents_per_language=50)
+    count = [sum(label == k for label, _ in parts) for k in range(3)]
+    assert languages == ["de", "en", "fr"] and count == [1, 50, 2]
