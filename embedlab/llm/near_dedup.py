@@ -14,6 +14,7 @@ candidate pair is dropped while pairs are never listed.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,30 @@ from embedlab.llm.rows import free_name, kept, keyed, prepare, record_batch, row
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 REGISTERS = 127  # a prime, so that steps of any size visit every register
-BANDS, BAND_ROWS = 25, 5
+BAND_ROWS = 5  # at most; ``band_shape`` takes fewer for lower thresholds
+LOST = 1e-4  # chance to miss a pair at the threshold
 ESTIMATE_MARGIN = 0.2  # over five standard deviations of the estimate at the threshold
 BUCKET_BLOCK = 512
 BLOCK_TEXT = 4 << 20
 
 
+def band_shape(threshold: float) -> tuple[int, int]:
+    """(bands, rows) with the most rows for which a pair at ``threshold`` is missed, by the bands and by
+    the estimate together, with probability below ``LOST``; an error where none are."""
+
+    agree = threshold + (1 - threshold) / 256  # signatures keep 8 bits of a register
+    dropped = sum(
+        comb(REGISTERS, k) * agree**k * (1 - agree) ** (REGISTERS - k)
+        for k in range(REGISTERS + 1)
+        if k / REGISTERS < threshold - ESTIMATE_MARGIN
+    )
+    for rows in range(BAND_ROWS, 0, -1):
+        bands = REGISTERS // rows
+        if (1 - threshold**rows) ** bands + dropped < LOST:
+            return bands, rows
+    raise ValueError(f"{REGISTERS} registers cannot find all pairs of similarity {threshold}")
+
+
 def shingles(words: np.ndarray, powers: Powers, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words; a shorter text is one shingle of all its words."""
 
@@ -102,7 +121,7 @@ def _words(hashes: WordHashes, text: bytes) -> np.ndarray:
     return hashes.of(text.lower().split())
 
 
-def _signer(size: int) -> Callable:
+def _signer(size: int, band_count: int, band_rows: int) -> Callable:
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
@@ -116,7 +135,7 @@ def _signer(size: int) -> Callable:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, hashes = Powers(), WordHashes()
-        seeds = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64))
+        seeds = mix(np.arange(1, band_count * band_rows + 1, dtype=np.uint64))
         for batch in batches:
             for part, texts in slices(batch, "_text", BATCH_BYTES):
                 bags = [bag(shingles(_words(hashes, t), powers, size)) for t in texts]
@@ -131,7 +150,7 @@ def _signer(size: int) -> Callable:
                         np.concatenate([bags[i][1] for i in filled]),
                         len(filled),
                     )
-                mixed = mix(table[:, : BANDS * BAND_ROWS] ^ seeds).reshape(-1, BANDS, BAND_ROWS)
+                mixed = mix(table[:, : band_count * band_rows] ^ seeds).reshape(-1, band_count, band_rows)
                 bucket = signed(mix(mixed.sum(axis=2, dtype=np.uint64)))
                 small = (mix(table) >> np.uint64(56)).astype(np.uint8)
                 at = {int(i): k for k, i in enumerate(filled)}
@@ -224,7 +243,7 @@ def _close_pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[int, np.nda
     nearly as many registers as the threshold asks, and meet here first of all bands they share."""
 
     prints = np.frombuffer(b"".join(rows.column("_signature").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    bands = pc.list_flatten(rows.column("_bands")).to_numpy().reshape(-1, BANDS)
+    bands = pc.list_flatten(rows.column("_bands")).to_numpy().reshape(rows.num_rows, -1)
     band, low, high = (rows.column(c)[0].as_py() for c in ("_band", "_low", "_high"))
     roots = np.unique(np.array(rows.column("_root").to_pylist(), object), return_inverse=True)[1]
     blocks = rows.column("_block").to_numpy()
@@ -338,7 +357,7 @@ def near_duplicate_nodes(docs: DataFrame, size: int, threshold: float) -> DataFr
     texts = keyed(docs)
     signed_rows = kept(
         texts.select("doc_id", "_key", "_text").mapInArrow(
-            _signer(size),
+            _signer(size, *band_shape(threshold)),
             "doc_id long, _key binary, _node binary, _signature binary, _bands array<long>, _bytes long",
         ),
         "signatures",
@@ -451,8 +470,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float
     A text of fewer words is one shingle; a null text, or one without words, is alone (equal rows
     together). A class without any id has a null class_id. Other columns are ignored.
 
-    A pair at the threshold shares a bucket with probability above 0.9999, and its signatures agree
-    often enough to be verified but for 1.4e-7 at 0.8; every such pair that is not yet in one class is
+    A pair at the threshold shares a bucket, and its signatures agree often enough to be verified, with
+    probability above 0.9999 together; bands follow from ``threshold``, and one too low for that (under
+    about 0.07) is an error. Every such pair that is not yet in one class is
     then decided on the whole texts.
     """
 

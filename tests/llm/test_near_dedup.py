@@ -127,6 +127,22 @@ def test_the_estimate_hardly_drops_a_pair_at_the_threshold():
     assert lost < 1e-6
 
 
+def test_lower_thresholds_find_their_pairs(spark):
+    assert near_dedup.band_shape(0.8) == near_dedup.band_shape(0.95) == (25, 5)
+    for threshold in (0.1, 0.3, 0.5, 0.7, 0.79):
+        bands, rows = near_dedup.band_shape(threshold)
+        assert bands * rows <= near_dedup.REGISTERS and (1 - threshold**rows) ** bands < 1e-4
+    docs = []
+    for i in range(60):
+        text = [f"a{i}x{k}" for k in range(64)]
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:45] + [f"b{i}x{k}" for k in range(19)]))]
+    assert 0.5 < _similarity(_bag(docs[0][1]), _bag(docs[1][1])) < 0.53
+    rows = near_duplicates(spark.createDataFrame([(d, t, "", 0) for d, t in docs], SCHEMA), threshold=0.5).collect()
+    assert sorted(tuple(r) for r in rows) == [(d, d - d % 2, 2) for d, _ in docs]
+    with pytest.raises(ValueError, match="similarity 0.02"):
+        near_duplicates(spark.createDataFrame([], SCHEMA), threshold=0.02)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(f"{i:03}".encode(), f"{i + 1:03}".encode()) for i in range(60) if i % 7]
