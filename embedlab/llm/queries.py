@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from embedlab.llm.archives import read_archives, write_archives
 from embedlab.llm.bpe import encode_decode
 from embedlab.llm.exact_dedup import exact_duplicates
+from embedlab.llm.filter_audit import audit_filters
 from embedlab.llm.language import identify_languages
 from embedlab.llm.near_dedup import near_duplicates
 from embedlab.llm.packing import pack_documents
@@ -62,6 +63,10 @@ def op10_web_archives(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_personal_data": op9_personal_data,
     "op10_web_archives": op10_web_archives,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE = {
@@ -95,4 +101,39 @@ ORACLE = {
         SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM scored
         WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER best <= 10""",
+    "op13_filter_audit": r"""
+        WITH known AS (
+            SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+            FROM labels GROUP BY doc_id),
+        docs AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   coalesce(doc_id, 9223372036854775807) AS nr FROM documents),
+        split AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM docs),
+        judged AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                   + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+                   + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                   + 16 * (nr > min(nr) OVER (PARTITION BY t))::INT AS mask
+            FROM split LEFT JOIN known USING (doc_id)),
+        counts AS (SELECT part, mask, good, toxic, count(*) AS n FROM judged GROUP BY ALL),
+        letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+        orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letter a JOIN letter b ON b.f <> a.f JOIN letter c ON c.f NOT IN (a.f, b.f)
+            JOIN letter d ON d.f NOT IN (a.f, b.f, c.f) JOIN letter e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+        steps AS (
+            SELECT filter_order, s::INT AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0)::INT AS earlier
+            FROM orders, unnest([1, 2, 3, 4, 5]) AS u(s)),
+        found AS (
+            SELECT part, filter_order, step, bit,
+                   sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN good AND mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN toxic AND mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT
+                       AS toxic_lost
+            FROM counts, steps GROUP BY ALL)
+        SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM found""",
 }
