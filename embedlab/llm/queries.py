@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from embedlab.llm.archives import read_archives, write_archives
 from embedlab.llm.bpe import encode_decode
+from embedlab.llm.collocations import collocations
 from embedlab.llm.exact_dedup import exact_duplicates
 from embedlab.llm.filter_audit import audit_filters
 from embedlab.llm.language import identify_languages
@@ -63,6 +64,10 @@ def op10_web_archives(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(read_table(spark, folder, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_filters(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_personal_data": op9_personal_data,
     "op10_web_archives": op10_web_archives,
+    "op11_collocations": op11_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -101,6 +107,37 @@ ORACLE = {
         SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM scored
         WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER best <= 10""",
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        grams AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m
+            FROM w, unnest([1, 2, 3, 4]) AS k(m), unnest(range(1, len(w) - m + 2)) AS s(i)),
+        f AS (SELECT lang, phrase, m, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+        cut AS (
+            SELECT f.*, k, string_split(phrase, ' ') AS p FROM f, unnest([1, 2, 3]) AS c(k) WHERE m > k),
+        score AS (
+            SELECT c.lang, c.phrase, c.m, c.a, k, x.a AS l, y.a AS r,
+                   ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+            FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(p[1:k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(p[k + 1:], ' ')
+            QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+        covered AS (
+            SELECT DISTINCT c.lang, c.phrase
+            FROM f b, unnest([2, 3]) AS u(m2), unnest([1, 2, 3]) AS s(i), f c
+            WHERE b.m > m2 AND i + m2 - 1 <= b.m AND c.lang = b.lang
+              AND c.phrase = array_to_string(string_split(b.phrase, ' ')[i:i + m2 - 1], ' ')
+              AND 100 * b.a::HUGEINT >= 80 * c.a)
+        SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score
+        FROM score ANTI JOIN covered USING (lang, phrase) JOIN totals USING (lang)
+        WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+        QUALIFY row_number() OVER best <= 2000""",
     "op13_filter_audit": r"""
         WITH known AS (
             SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
