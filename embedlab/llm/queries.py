@@ -17,6 +17,7 @@ from embedlab.llm.privacy import find_personal_data
 from embedlab.llm.substring_dedup import remove_repeated_words
 from embedlab.llm.suffix_dedup import remove_repeated_bytes
 from embedlab.llm.topk import integer_vectors, top_products
+from embedlab.llm.toxicity import score_toxicity
 from embedlab.sources.tables import read_table
 
 
@@ -68,6 +69,10 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(read_table(spark, folder, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels")).drop("restored")
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_filters(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_web_archives": op10_web_archives,
     "op11_collocations": op11_collocations,
+    "op12_toxicity": op12_toxicity,
     "op13_filter_audit": op13_filter_audit,
 }
 
