@@ -33,7 +33,7 @@ from embedlab.llm.sketch import cells_for, counting_filter, least_count
 TOP = 2000
 MIN_COUNT = 30
 COVER_PERCENT = 80
-ROUND = 4000
+ROUND = 16_000
 GROWTH = 4
 ROUND_BOUND = 1 << 20
 NO_LANGUAGE = "und"
@@ -46,8 +46,9 @@ def _ratio(a: str, below: str) -> Column:
 
 
 def _counted(texts: DataFrame, counter, min_count: int, label: str) -> DataFrame:
-    counts = texts.mapInArrow(counter, COUNT_SCHEMA).groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f"))
-    return kept(counts.where((F.col("f") >= min_count) | (F.col("m") == 0)), label)
+    counts = texts.mapInArrow(counter, COUNT_SCHEMA).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return kept(counts.where((F.col("f") >= min_count) | (F.col("phrase") == "")).withColumn("m", size), label)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -115,18 +116,30 @@ def _covers(phrases: DataFrame) -> DataFrame:
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, hash): 0 grown pair, 1 grown triple, 2 triple asked for, 3 the first two words of a triple."""
+
     for batch in batches:
-        pairs = zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
-        hashes = np.array([phrase_hash(lang, phrase) for lang, phrase in pairs], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes)], names=["_h"])
+        kinds, hashes = [], []
+        for lang, phrase, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            words = phrase.split(" ")
+            kinds.append(2 if asked else len(words) - 2)
+            hashes.append(phrase_hash(lang, phrase))
+            if len(words) > 2:
+                kinds.append(3)
+                hashes.append(phrase_hash(lang, " ".join(words[:2])))
+        columns = [pa.array(kinds, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["_kind", "_h"])
 
 
-def _hash_set(phrases: DataFrame):
-    """Broadcast hashes of at most ``ROUND_BOUND`` phrases or so."""
+def _hash_sets(front: DataFrame, asked: DataFrame):
+    """Broadcast hashes of what one round grows: two numbers at most for each of ``round_bound`` phrases, and
+    for the parts that their phrases of four words miss."""
 
-    rows = phrases.select("lang", "phrase").mapInArrow(_hash_rows, "_h long").collect()
-    hashes = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    return phrases.sparkSession.sparkContext.broadcast(hashes)
+    phrases = front.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)))
+    rows = phrases.select("lang", "phrase", "_asked").mapInArrow(_hash_rows, "_kind int, _h long").toArrow()
+    kind, hashes = (rows.column(c).to_numpy() for c in ("_kind", "_h"))
+    sets = [np.unique(hashes[kind == k]).view(np.uint64) for k in range(4)]
+    return front.sparkSession.sparkContext.broadcast(sets)
 
 
 def _best(table: DataFrame, order: list[Column], limit: int, name: str = "_nth") -> DataFrame:
@@ -158,7 +171,7 @@ def collocations(
 
     prepare(docs.sparkSession)
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.col("text").alias("text"))
+    texts = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.col("text").cast("binary").alias("text"))
     words = _counted(texts, word_counter(block_bytes), min_count, "words")
     pairs = _counted(texts, pair_counter(_frequent_words(words), block_bytes), min_count, "pairs")
     totals = words.where("m = 0").select("lang", F.col("f").alias("n"))
@@ -201,7 +214,7 @@ def collocations(
         )
         if front.isEmpty() and asked.isEmpty():
             return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
-        found = _counted(texts, growth_counter(_hash_set(front), _hash_set(asked), block_bytes), min_count, "grown")
+        found = _counted(texts, growth_counter(_hash_sets(front, asked), block_bytes), min_count, "grown")
         known = _union(counts[1:])
         new = kept(found.join(known, ["lang", "phrase"], "left_anti"), "new")
         counts.append(new)

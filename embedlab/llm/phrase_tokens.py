@@ -8,25 +8,32 @@ from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 LONGEST = 4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 ROWS_OUT = 1 << 16
-COUNT_SCHEMA = "lang string, phrase string, m int, f long"
-_COUNT_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("m", pa.int32()), ("f", pa.int64())])
+COUNT_SCHEMA = "lang string, phrase string, f long"
+_COUNT_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
+#: stands for a break between pieces; no byte of UTF-8 text
+BREAK = b"\xff"
 _FOLD = bytes.maketrans(
-    ascii_uppercase.encode() + _BREAKS + b"\t", ascii_lowercase.encode() + b"\n" * len(_BREAKS) + b" "
+    ascii_uppercase.encode() + _BREAKS + b"\t", ascii_lowercase.encode() + BREAK * len(_BREAKS) + b" "
 )
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 20
 
 
-def fold(text: str | None) -> bytes:
-    """A-Z lower-cased, breaks between pieces as newlines, tabs as blanks."""
+def fold(text: bytes | None) -> bytes:
+    """A-Z lower-cased, breaks between pieces as one byte, tabs as blanks."""
 
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
+    return (text or b"").translate(_FOLD)
+
+
+def _apart(data: bytes) -> bytes:
+    return data.replace(BREAK, b" " + BREAK + b" ")
 
 
 def word_hash(lang: str, word: bytes) -> int:
@@ -68,7 +75,7 @@ class Members:
 
 
 def blocks(data: bytes, limit: int = BLOCK_BYTES) -> Iterator[tuple[bytes, int]]:
-    """Blocks of about ``limit`` bytes and how many of their first words the block before has counted.
+    """Blocks of about ``limit`` bytes and how many of their first tokens the block before has counted.
 
     Cut between pieces; a longer piece is cut between words, and its last words are carried over.
     """
@@ -76,20 +83,20 @@ def blocks(data: bytes, limit: int = BLOCK_BYTES) -> Iterator[tuple[bytes, int]]
     at, counted = 0, 0
 
     def block(end: int) -> tuple[bytes, int]:
-        return data[at:end], len(data[at : min(counted, end)].split())
+        return data[at:end], len(_apart(data[at : min(counted, end)]).split())
 
     while len(data) - at > limit:
-        cut = data.rfind(b"\n", at, at + limit)
+        cut = data.rfind(BREAK, at, at + limit)
         if cut > at:
             yield block(cut)
             at = cut + 1
             continue
         # no break between pieces: end at a word, far enough on to leave words to carry over
-        size, words = limit, []
+        size, tokens = limit, []
         while at + size < len(data):
             cut = data.rfind(b" ", at, at + size)
-            words = data[at:cut].split() if cut > at else []
-            if len(words) > 2 * LONGEST:
+            tokens = _apart(data[at:cut]).split() if cut > at else []
+            if len(tokens) > 2 * LONGEST:
                 break
             size *= 2
         if at + size >= len(data):
@@ -98,28 +105,35 @@ def blocks(data: bytes, limit: int = BLOCK_BYTES) -> Iterator[tuple[bytes, int]]
         counted = cut
         # step back over the words that windows of the next block begin with
         at = cut
-        for word in words[: -LONGEST : -1]:
-            at = data.rfind(word, 0, at)
+        for token in tokens[: -LONGEST : -1]:
+            at = data.rfind(token, 0, at)
     yield block(len(data))
 
 
 class Block:
-    """Local word numbers, pieces and hashes of one block of one language."""
+    """Local numbers of the words of one block of one language; breaks are tokens of their own."""
 
     def __init__(self, data: bytes, carried: int):
-        words = data.split()
-        numbers: defaultdict[bytes, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        self.ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        self.words = list(numbers)
-        self.carried = carried
+        data = _apart(data) + b" "
         raw = np.frombuffer(data, np.uint8)
-        apart = (raw == 10) | (raw == 32)
-        start = np.flatnonzero(~apart & np.concatenate(([True], apart[:-1]))) if len(raw) else np.empty(0, np.int64)
-        self.piece = np.cumsum(raw == 10)[start] if len(raw) else start
+        ends = np.flatnonzero(raw == 32).astype(np.int32) + 1
+        offsets = np.concatenate(([0], ends)).astype(np.int32)
+        # every token with the blank behind it, without a copy
+        tokens = pa.BinaryArray.from_buffers(
+            pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+        ).dictionary_encode()
+        words = [w[:-1] for w in tokens.dictionary.to_pylist()]
+        ids = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        empty = words.index(b"") if b"" in words else -1
+        self.ids = ids[ids != empty] if empty >= 0 else ids
+        self.words = pa.array(words, pa.binary())
+        self.broken = self.ids == (words.index(BREAK) if BREAK in words else -1)
+        self.carried = carried
 
     def hashes(self, lang: str) -> np.ndarray:
-        return np.array([word_hash(lang, w) for w in self.words], np.uint64)
+        prefix = lang.encode() + b"\0"
+        digest = xxhash.xxh64_intdigest
+        return np.array([digest(prefix + w, 42) for w in self.words.to_pylist()], np.uint64)
 
     def valid(self, m: int) -> np.ndarray:
         """Window starts of ``m`` words within a piece, not already counted by the block before."""
@@ -127,20 +141,29 @@ class Block:
         n = len(self.ids) - m + 1
         if n <= 0:
             return np.zeros(0, bool)
-        inside = self.piece[:n] == self.piece[m - 1 :]
+        inside = ~self.broken[:n]
+        for i in range(1, m):
+            inside &= ~self.broken[i : i + n]
         inside[: max(0, min(n, self.carried - m + 1))] = False
         return inside
 
-    def count(self, starts: np.ndarray, m: int) -> tuple[list[bytes], np.ndarray]:
+    def count(self, starts: np.ndarray, m: int) -> tuple[pa.Array, np.ndarray]:
         """Distinct phrases at these window starts and how often each occurs; exact, not by hash."""
 
-        rank = self.ids[starts]
-        for i in range(1, m):
-            rank = np.unique(rank * len(self.words) + self.ids[starts + i], return_inverse=True)[1]
-        _, first, count = np.unique(rank, return_index=True, return_counts=True)
-        columns = [self.ids[starts[first] + i].tolist() for i in range(m)]
-        words = self.words
-        return [b" ".join([words[i] for i in row]) for row in zip(*columns)], count
+        size = len(self.words)
+        if m <= 2:
+            key, count = np.unique(
+                self.ids[starts] if m == 1 else self.ids[starts] * size + self.ids[starts + 1], return_counts=True
+            )
+            columns = [key] if m == 1 else [key // size, key % size]
+        else:
+            rank = self.ids[starts]
+            for i in range(1, m):
+                rank = np.unique(rank * size + self.ids[starts + i], return_inverse=True)[1]
+            _, first, count = np.unique(rank, return_index=True, return_counts=True)
+            columns = [self.ids[starts[first] + i] for i in range(m)]
+        taken = [self.words.take(pa.array(c)) for c in columns]
+        return (pc.binary_join_element_wise(*taken, b" ") if m > 1 else taken[0]), count
 
 
 def by_language(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[str, Block]]:
@@ -162,18 +185,17 @@ def by_language(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) ->
 def _release(waiting: dict[str, list[bytes]], limit: int) -> Iterator[tuple[str, Block]]:
     while waiting:
         lang, texts = waiting.popitem()
-        for data, carried in blocks(b"\n".join(texts), limit):
+        for data, carried in blocks(BREAK.join(texts), limit):
             yield lang, Block(data, carried)
 
 
-def _rows(lang: str, phrases: list[bytes], m: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(phrases), ROWS_OUT):
-        part = phrases[at : at + ROWS_OUT]
+        part = phrases.slice(at, ROWS_OUT)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([lang] * len(part), pa.string()),
-                pa.array(part, pa.binary()).cast(pa.string()),
-                pa.array(np.full(len(part), m, np.int32)),
+                pa.repeat(pa.scalar(lang), len(part)),
+                part.cast(pa.string()),
                 pa.array(counts[at : at + ROWS_OUT].astype(np.int64)),
             ],
             schema=_COUNT_ARROW,
@@ -181,14 +203,14 @@ def _rows(lang: str, phrases: list[bytes], m: int, counts: np.ndarray) -> Iterat
 
 
 def word_counter(limit: int) -> Callable:
-    """Arrow function from (lang, text) to counts of words; ``m`` 0 is the number of all words."""
+    """Arrow function from (lang, text) to counts of words; the empty phrase counts all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in by_language(batches, limit):
-            own = block.ids[block.carried :]
-            counts = np.bincount(own, minlength=len(block.words))
-            yield from _rows(lang, [b""], 0, np.array([len(own)]))
-            yield from _rows(lang, block.words, 1, counts)
+            starts = np.flatnonzero(block.valid(1))
+            if len(starts):
+                yield from _rows(lang, pa.array([b""]), np.array([len(starts)]))
+                yield from _rows(lang, *block.count(starts, 1))
 
     return count
 
@@ -201,39 +223,34 @@ def pair_counter(frequent: Callable[[np.ndarray], np.ndarray], limit: int) -> Ca
             if len(block.ids) > 1:
                 known = frequent(block.hashes(lang))[block.ids]
                 starts = np.flatnonzero(block.valid(2) & known[:-1] & known[1:])
-                yield from _rows(lang, *_pairs(block, starts))
+                yield from _rows(lang, *block.count(starts, 2))
 
     return count
 
 
-def _pairs(block: Block, starts: np.ndarray) -> tuple[list[bytes], int, np.ndarray]:
-    phrases, counts = block.count(starts, 2)
-    return phrases, 2, counts
-
-
-def growth_counter(grown, wanted, limit: int) -> Callable:
-    """Arrow function to counts of the phrases that begin or end with a phrase of the broadcast
-    ``grown``, by one word longer, and of those in the broadcast ``wanted``."""
+def growth_counter(sets, limit: int) -> Callable:
+    """Arrow function to counts of the phrases that begin or end with a grown phrase and are longer by
+    one word, and of the phrases asked for. ``sets`` broadcasts the hashes: grown pairs, grown triples,
+    triples asked for, and the first two words of all these triples."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grows, asked = Members(grown.value), Members(wanted.value)
+        pairs, triples, asked, leads = (Members(h) for h in sets.value)
         for lang, block in by_language(batches, limit):
             if len(block.ids) < 3:
                 continue
             word = block.hashes(lang)[block.ids]
-            window, inside = word, None
-            for m in range(2, LONGEST + 1):
-                if len(word) < m:
-                    break
-                window = extend_hash(window[:-1], word[m - 1 :])
-                if m > 2:
-                    take = block.valid(m) & (inside[:-1] | inside[1:])
-                    if m == 3:
-                        take |= block.valid(m) & asked(window)
-                    starts = np.flatnonzero(take)
-                    if len(starts):
-                        phrases, counts = block.count(starts, m)
-                        yield from _rows(lang, phrases, m, counts)
-                inside = grows(window)
+            two = extend_hash(word[:-1], word[1:])
+            grown = pairs(two)
+            take = grown[:-1] | grown[1:]
+            lead = np.flatnonzero(leads(two)[:-1])
+            three = extend_hash(two[lead], word[lead + 2])
+            take[lead] |= asked(three)
+            starts = np.flatnonzero(take & block.valid(3))
+            yield from _rows(lang, *block.count(starts, 3))
+            inside = np.zeros(len(take), bool)
+            inside[lead] = triples(three)
+            if len(block.ids) > 3 and inside.any():
+                starts = np.flatnonzero((inside[:-1] | inside[1:]) & block.valid(4))
+                yield from _rows(lang, *block.count(starts, 4))
 
     return count

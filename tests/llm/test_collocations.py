@@ -85,14 +85,14 @@ def test_empty(spark):
 @pytest.mark.parametrize("limit", [1, 7, 30, 200, 10_000])
 def test_blocks_count_every_window_once(limit):
     rng = random.Random(limit)
-    text = "".join(rng.choice(["ab ", "c ", "longer-word ", "d\n", "  ", "\n\n", "é "]) for _ in range(400)) + "x" * 300 + " end of it"
-    data = fold(text)
+    text = "".join(rng.choice(["ab ", "c ", "longer-word ", "d\n", "  ", "\n\n", "é ", "f."]) for _ in range(400)) + "x" * 300 + " end of it"
+    data = fold(text.encode())
     whole = Block(data, 0)
     for m in range(1, 5):
         wanted, got = Counter(), Counter()
         for block, total in [(whole, wanted)] + [(Block(*b), got) for b in blocks(data, limit)]:
             phrases, counts = block.count(np.flatnonzero(block.valid(m)), m)
-            total.update(dict(zip(phrases, counts.tolist())))
+            total.update(dict(zip(phrases.to_pylist(), counts.tolist())))
         assert got == wanted
 
 
