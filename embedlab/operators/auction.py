@@ -4,8 +4,8 @@ Targets bid for sources. A pass over the cost rows, spread over all tasks, lists
 sources at the current prices and a bound on the value of all others. Prices only rise, so a list and
 its bound stay valid: bidding goes on among the lists alone, round by round (the two best values of every free
 bidder, the highest bid per source), until every bidder has a source or the free ones have run out of
-listed sources. Only those get new lists. One task holds the lists of a group, ``width`` cells per unit,
-never its cost matrix.
+listed sources. Then all bidders get new lists: a pass costs the same for one of them, and fresh bounds
+last longer. One task holds the lists of a group, ``width`` cells per unit, never its cost matrix.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embedlab.session import kept_summary, materialize
+from embedlab.session import join_summary, materialize
 
 WIDTH = 256
 SCALING = 6.0
 TOLERANCE = 1e-9
 
-_STATE = "prices array<double>, owner array<int>, needy array<int>, eps double, done boolean"
+_STATE = "prices array<double>, owner array<int>, eps double, done boolean"
 
 
 def best_and_bound(values: np.ndarray, prices: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -93,9 +93,11 @@ def _lists(slots: int, width: int, keys: list[str]):
             costs, prices = batch.column("costs"), batch.column("prices")
             out = []
             for i in range(batch.num_rows):
-                value = -costs[i].values.to_numpy()
+                value = costs[i].values.to_numpy()
                 if not np.isfinite(value).all():
                     raise ValueError("the cost table has NaN or infinite cells")
+                # a shift of a whole target changes no plan and keeps small differences of large costs
+                value = value.min() - value
                 out.append(best_and_bound(np.repeat(value, slots), prices[i].values.to_numpy(), width))
             columns = [batch.column(k) for k in [*keys, "tgt"]]
             columns += [
@@ -113,12 +115,13 @@ def _rounds(keys: list[str], tolerance: float):
 
     def run(key: tuple, lists: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         now = state.iloc[0]
-        lists = lists.sort_values(["tgt", "_round"]).drop_duplicates("tgt", keep="last")
+        lists = lists.sort_values("tgt")
         items, values = np.stack(lists["items"].to_list()), np.stack(lists["values"].to_list())
         auction = Auction(
             items, values, lists["bound"].to_numpy(float), np.array(now["prices"]), np.array(now["owner"], np.int64)
         )
-        last = tolerance * float(now["spread"])
+        # equal costs have no spread, but bids must still rise
+        last = tolerance * (float(now["spread"]) or 1.0)
         eps = now["eps"] if now["eps"] >= 0 else max(float(now["spread"]) / 4, last)
         while True:
             needy = auction.bid(eps)
@@ -127,7 +130,7 @@ def _rounds(keys: list[str], tolerance: float):
             eps = max(eps / SCALING, last)
             auction.release()
         row = {k: [v] for k, v in zip(keys, key)}
-        row |= {"prices": [auction.prices], "owner": [auction.owner], "needy": [needy], "eps": [eps]}
+        row |= {"prices": [auction.prices], "owner": [auction.owner], "eps": [eps]}
         return pd.DataFrame(row | {"done": [len(needy) == 0], "spread": [now["spread"]]})
 
     return run
@@ -154,12 +157,13 @@ def auction_plan(
     )
     spans = rows.groupBy(*keys).agg(
         F.count("*").alias("targets"), F.max("tgt").alias("last"), F.min(F.size("costs")).alias("least"),
-        F.max(F.size("costs")).alias("most"), F.max(F.array_max("_src")).alias("top"), F.min(F.array_min("costs")).alias("low"),
-        F.max(F.array_max("costs")).alias("high"),
+        F.max(F.size("costs")).alias("most"), F.max(F.array_max("_src")).alias("top"),
+        F.min(F.size(F.array_distinct("_src"))).alias("distinct"),
+        F.max(F.array_max("costs") - F.array_min("costs")).alias("spread"),
     )
     sizes = spans.select(
         F.min("targets").alias("a"), F.max("targets").alias("b"), F.min("least").alias("c"), F.max("most").alias("d"),
-        F.max("top").alias("top"), F.max("last").alias("last"),
+        F.max("top").alias("top"), F.max("last").alias("last"), F.min("distinct").alias("distinct"),
     ).first()
     fields = T.StructType(
         [cells.schema[k] for k in keys]
@@ -168,7 +172,8 @@ def auction_plan(
     if sizes["a"] is None:
         return cost_rows.sparkSession.createDataFrame([], fields).select(*by, "src", "tgt", "mass")
     targets, sources = sizes["b"], sizes["d"]
-    if (sizes["a"], sizes["c"], sizes["top"], sizes["last"]) != (targets, sources, sources - 1, targets - 1):
+    found = [sizes[name] for name in ("a", "c", "distinct", "top", "last")]
+    if found != [targets, sources, sources, sources - 1, targets - 1]:
         raise ValueError("the cost table has holes, or its groups differ in size")
     if targets % sources:
         raise ValueError(f"{targets} targets are no multiple of {sources} sources; use integral_plan")
@@ -178,35 +183,28 @@ def auction_plan(
         *keys,
         F.array_repeat(F.lit(0.0), count).alias("prices"),
         F.array_repeat(F.lit(-1), count).alias("owner"),
-        F.sequence(F.lit(0), F.lit(targets - 1)).alias("needy"),
         F.lit(-1.0).alias("eps"),
         F.lit(False).alias("done"),
-        (F.col("high") - F.col("low")).alias("spread"),
+        "spread",
     )
     key_fields = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
-    lists: DataFrame | None = None
-    number = 0
     while True:
-        # one row of unit-sized arrays per group
-        state = kept_summary(state, row_bytes=24 * (count + targets))
-        if state.filter("not done").isEmpty():
+        state = materialize(state)
+        running = state.filter("not done")
+        if running.isEmpty():
             break
-        asked = state.filter("not done").select(*keys, F.explode("needy").alias("tgt"), "prices")
-        wanted = rows.join(F.broadcast(asked.select(*keys, "tgt")) if targets < 1 << 20 else asked.select(*keys, "tgt"), [*keys, "tgt"])
-        wanted = wanted.join(state.select(*keys, "prices"), keys).select(*keys, "tgt", "costs", "prices")
-        new = wanted.mapInArrow(
+        # one row of unit-sized arrays per group
+        wanted = join_summary(rows, running.select(*keys, "prices"), keys, row_bytes=8 * count)
+        wanted = wanted.select(*keys, "tgt", "costs", "prices")
+        lists = wanted.mapInArrow(
             _lists(slots, min(width, count), keys), f"{key_fields}, tgt int, items array<int>, values array<double>, bound double"
-        ).withColumn("_round", F.lit(number))
-        new = materialize(new)
-        lists = new if lists is None else lists.unionByName(new)
-        open_lists = lists.join(state.filter("not done").select(*keys), keys, "left_semi")
+        )
         moved = (
-            open_lists.groupBy(*keys)
-            .cogroup(state.filter("not done").groupBy(*keys))
+            lists.groupBy(*keys)
+            .cogroup(running.groupBy(*keys))
             .applyInPandas(_rounds(keys, tolerance), f"{key_fields}, {_STATE}, spread double")
         )
         state = state.filter("done").unionByName(moved.select(*state.columns))
-        number += 1
     held = state.select(*keys, F.posexplode("owner").alias("_item", "tgt")).filter("tgt >= 0")
     return held.select(
         *by,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from embedlab.functions import vectors as V
 from embedlab.functions.sql import register_sql_functions
 from embedlab.functions.vectors import round_metric as r6
 from embedlab.operators import (
+    auction,
     fits,
     matching,
     pairing,
@@ -380,7 +382,7 @@ def scan_recordings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_takes(spark: SparkSession, d: str) -> DataFrame:
-    """Manifests of two languages in several files each; the order of lines decides the takes."""
+    """Manifests of every language, as their folders list them; the order of lines decides the takes."""
 
     root = fresh_path(spark, "manifests")
     takes = views.takes(spark, d)
@@ -389,18 +391,20 @@ def scan_takes(spark: SparkSession, d: str) -> DataFrame:
     lines.repartitionByRange(parts, "sentence_id").sortWithinPartitions("lang", "sentence_id", "ord").drop(
         "ord"
     ).write.partitionBy("lang").csv(root, sep="\t")
-    scanned = [readers.scan_takes(spark, f"{root}/lang={lang}", lang) for lang in ("user", "assistant")]
-    return pairing.first_last_take(scanned[0].unionByName(scanned[1]))
+    folders = spark.read.schema("sentence_id string, path string, lang string").csv(root, sep="\t")
+    languages = sorted(row["lang"] for row in folders.select("lang").distinct().collect())
+    scanned = [readers.scan_takes(spark, f"{root}/lang={lang}", lang) for lang in languages]
+    return pairing.first_last_take(reduce(DataFrame.unionByName, scanned))
 
 
 def scan_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs written as files and scanned with their fixed schema; the filter reaches the scan."""
+    """Pairs written as files and scanned with their fixed schema."""
 
     path = fresh_path(spark, "pairs")
     views.pairs(spark, d).select(
         F.col("vec_id").cast("string").alias("clip_id"), F.lit(0).alias("frame"), "grp", "x", "y"
     ).write.parquet(path)
-    return readers.scan_pairs(spark, path).filter("grp <> '3'").groupBy("grp").agg(
+    return readers.scan_pairs(spark, path).groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"),
         r6(F.sum(V.total(F.col("x")))).alias("sum_x"),
         r6(F.sum(V.total(F.col("y")))).alias("sum_y"),
@@ -559,6 +563,22 @@ def match_by_group(spark: SparkSession, d: str) -> DataFrame:
     return _r(_long(out, "src", "tgt"), "transport_cost")
 
 
+def auction_match(spark: SparkSession, d: str) -> DataFrame:
+    """The matching of ``unit_match`` by bidding over short lists."""
+
+    plan = auction.auction_plan(_cost(spark, d), ["group"])
+    return _r(_long(plan, "src", "tgt"), "mass").select("group", "src", "tgt", "mass")
+
+
+def auction_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """The matching of ``match_by_group`` by bidding, all groups at once, and what it costs."""
+
+    cost = materialize(alignment.unit_costs(views.lineitem_pairs(spark, d), ["grp"]))
+    plan = materialize(auction.auction_plan(cost, ["grp"]))
+    summary = matching.match_summary(cost, plan, ["grp"]).select("grp", "transport_cost")
+    return _r(_long(plan.select("grp", "src", "tgt").join(summary, "grp"), "src", "tgt"), "transport_cost")
+
+
 def barycentric_match(spark: SparkSession, d: str) -> DataFrame:
     """Four source units against two target units per supplier group, mass shared and in one piece."""
 
@@ -1106,6 +1126,8 @@ QUERIES = {
     "unit_sources": unit_sources,
     "match_summary": match_summary,
     "match_by_group": match_by_group,
+    "auction_match": auction_match,
+    "auction_by_group": auction_by_group,
     "barycentric_match": barycentric_match,
     "expand_ops": expand_ops,
     "concat_ops": concat_ops,

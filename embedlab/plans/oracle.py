@@ -479,8 +479,8 @@ ORACLE: dict[str, str] = {
          (SELECT *, {f16("(amax / 127)")} AS sc FROM (SELECT name, blk, list_max(list_transform(blk, lambda a: abs(a))) AS amax FROM
           (SELECT name, vals[block * 32 + 1 : block * 32 + 32] AS blk FROM tensors, (SELECT unnest([0, 1]) AS block) WHERE ckpt = 'base'))))) GROUP BY name"""),
     "scan_recordings": "SELECT source, lang, sum(strlen(text) + 1)::BIGINT AS total_bytes FROM documents GROUP BY 1, 2",
-    "scan_takes": q("SELECT lang, CAST(sentence_id AS VARCHAR) AS sentence_id, arg_min(path, ord) AS first_take, arg_max(path, ord) AS last_take, count(*) AS n_takes FROM takes WHERE lang IN ('user', 'assistant') GROUP BY 1, 2"),
-    "scan_pairs": q(f"SELECT grp, count(*) AS n, {r('sum(list_sum(x))')} AS sum_x, {r('sum(list_sum(y))')} AS sum_y FROM pairs WHERE grp <> '3' GROUP BY grp"),
+    "scan_takes": q("SELECT lang, CAST(sentence_id AS VARCHAR) AS sentence_id, arg_min(path, ord) AS first_take, arg_max(path, ord) AS last_take, count(*) AS n_takes FROM takes GROUP BY 1, 2"),
+    "scan_pairs": q(f"SELECT grp, count(*) AS n, {r('sum(list_sum(x))')} AS sum_x, {r('sum(list_sum(y))')} AS sum_y FROM pairs GROUP BY grp"),
     "scan_debug_blocks": q("SELECT utt, CASE WHEN utt % 5 = 0 THEN NULL ELSE e.frames END AS frames, CASE WHEN utt % 5 = 0 THEN NULL ELSE 64::BIGINT END AS width FROM blockstats JOIN ends e USING (utt)"),
     "scan_configs": "SELECT p_partkey AS ckpt, p_size::BIGINT AS num_hidden_layers FROM part",
     "nonempty": q("SELECT count(*) AS n FROM recordings"),
@@ -683,3 +683,7 @@ ORACLE["takes_retrieval"] = q(f"""SELECT language, probe, count(*) AS n, {r("avg
     {r("1.0::DOUBLE / count(*)")} AS chance_top1, sum((nt = 1)::INT)::BIGINT AS n_single_take FROM tkranks GROUP BY 1, 2""")
 ORACLE["report_sweep"] = f"""SELECT 'ridge' AS chosen, (SELECT count(*) FROM embeddings) AS clips, 0.4::DOUBLE AS seconds, 'correlation' AS ground_metric,
     false AS source_normalize, max(CASE WHEN is_best THEN alpha END) OVER () AS best_alpha, alpha, r2, cosine_p05 FROM ({ORACLE["ridge_score"]})"""
+
+# both solvers are held against the same plan and the same enumeration
+ORACLE["auction_match"] = ORACLE["unit_match"]
+ORACLE["auction_by_group"] = ORACLE["match_by_group"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from embedlab.functions import quant
 from embedlab.functions import vectors as V
 from embedlab.functions.text import group_key, layer_index, numbers
-from embedlab.operators import fits, matching, pairing, parity, retrieval, sampling, scoring, signals
+from embedlab.operators import auction, fits, matching, pairing, parity, retrieval, sampling, scoring, signals
 from embedlab.operators import moments as mom
 from embedlab.operators import tensors
 from embedlab.operators.ordering import boundary_key, dense_positions
@@ -796,3 +796,52 @@ def test_wide_matching_of_many_units():
     cost = rng.random((n, n)) + 1.0
     cost[order, np.arange(n)] = rng.random(n) * 0.5
     assert (matching.integral_assignment(cost) == order).all()
+
+
+# ------------------------------------------------------------ auction
+
+
+def _cost_table(spark, costs):
+    cells = [(g, i, j, float(c[i, j])) for g, c in enumerate(costs) for i, j in np.ndindex(*c.shape)]
+    return rows(spark, cells, "grp int, src int, tgt int, cost double")
+
+
+@pytest.mark.parametrize("shape, width", [((24, 24), 8), ((6, 18), 256)])
+def test_auction_costs_what_the_flow_costs(spark, shape, width):
+    rng = np.random.default_rng(5)
+    costs = [rng.random(shape), rng.integers(0, 4, shape).astype(float), np.ones(shape), 1e9 + rng.random(shape)]
+    plan = auction.auction_plan(_cost_table(spark, costs), ["grp"], width=width).collect()
+    for g, cost in enumerate(costs):
+        cells = [(r.src, r.tgt) for r in plan if r.grp == g]
+        assert sorted(t for _, t in cells) == list(range(shape[1]))
+        assert set(np.bincount([s for s, _ in cells], minlength=shape[0])) == {shape[1] // shape[0]}
+        want = cost[matching.integral_assignment(cost), np.arange(shape[1])].sum()
+        assert sum(cost[c] for c in cells) == pytest.approx(want, rel=1e-12, abs=1e-6)
+
+
+def test_auction_of_a_wide_population(spark):
+    """1,024 units whose least plan is known: one cheap cell per target, hidden by a shift of every target."""
+
+    n = 1024
+    unit = spark.range(n).select(F.col("id").cast("int").alias("src"))
+    cells = unit.withColumn("tgt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
+        "cost",
+        F.abs(F.xxhash64("src", "tgt")) / F.lit(2.0**63) + F.pmod(F.xxhash64("tgt"), F.lit(7))
+        + F.when(F.col("src") == (F.col("tgt") * 5 + 3) % n, 0.0).otherwise(1.0),
+    )
+    plan = auction.auction_plan(cells).collect()
+    assert len(plan) == n
+    assert all(r.src == (r.tgt * 5 + 3) % n and r.mass == 1 / n for r in plan)
+
+
+def test_auction_edges(spark):
+    one = np.ones((2, 2))
+    assert auction.auction_plan(_cost_table(spark, [one]).limit(0), ["grp"]).count() == 0
+    assert auction.auction_plan(_cost_table(spark, [np.ones((1, 1))]), ["grp"]).count() == 1
+    for broken in ("src < 1 or tgt < 1", "grp < 1 or tgt < 1"):
+        with pytest.raises(ValueError, match="holes"):
+            auction.auction_plan(_cost_table(spark, [one, one]).filter(broken), ["grp"])
+    with pytest.raises(ValueError, match="multiple"):
+        auction.auction_plan(_cost_table(spark, [np.ones((3, 2))]), ["grp"])
+    with pytest.raises(Exception, match="NaN or infinite"):
+        auction.auction_plan(_cost_table(spark, [np.array([[1.0, np.nan], [1.0, 2.0]])]), ["grp"])

@@ -107,3 +107,6 @@ def test_pairs_scan(spark, tmp_path):
     plan = readers.scan_pairs(spark, str(tmp_path / "p")).select(F.col("x"))
     assert plan.first()["x"] == [1.0]
     assert "ReadSchema: struct<x:array<double>>" in plan._jdf.queryExecution().toString()
+    chosen = readers.scan_pairs(spark, str(tmp_path / "p")).filter("grp = 'g'")
+    assert chosen.count() == 1
+    assert "PushedFilters: [IsNotNull(grp), EqualTo(grp,g)]" in chosen._jdf.queryExecution().toString()
