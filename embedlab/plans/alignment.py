@@ -187,9 +187,9 @@ def chosen_projection(pairs: DataFrame, projection, alphas: Sequence[float] = RI
 
 
 def unit_costs(pairs: DataFrame, by: Sequence[str], metric: str = "correlation") -> DataFrame:
-    """Unit costs per group, kept: d x d cells are read again instead of the pairs."""
+    """Unit costs per group, kept like the moments behind them: d x d cells are read again instead of the pairs."""
 
-    return materialize(unit_cost(moments(pairs, by), metric, by))
+    return materialize(unit_cost(materialize(moments(pairs, by)), metric, by))
 
 
 def transport_table(pairs: DataFrame, by: Sequence[str], metric: str = "correlation") -> DataFrame:

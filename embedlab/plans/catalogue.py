@@ -513,7 +513,7 @@ def _whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cost(spark: SparkSession, d: str) -> DataFrame:
-    return matching.unit_cost(mom.moments(_whole(spark, d), ["group"]), "correlation", ["group"])
+    return matching.unit_cost(materialize(mom.moments(_whole(spark, d), ["group"])), "correlation", ["group"])
 
 
 def unit_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -525,7 +525,7 @@ def unit_cost_by_group(spark: SparkSession, d: str) -> DataFrame:
 
     pairs = views.pairs(spark, d).withColumn("batch_id", F.floor(F.col("vec_id") / 50))
     scaled = matching.rms_normalize(pairs, ["grp", "batch_id"])
-    cost = matching.unit_cost(mom.moments(scaled, ["grp"]), "cosine", ["grp"])
+    cost = matching.unit_cost(materialize(mom.moments(scaled, ["grp"])), "cosine", ["grp"])
     return _r(_long(cost, "src", "tgt"), "cost")
 
 
