@@ -35,6 +35,8 @@ LOST = 1e-4  # chance to miss a pair at the threshold
 ESTIMATE_MARGIN = 0.2  # over five standard deviations of the estimate at the threshold
 BUCKET_BLOCK = 512
 BLOCK_TEXT = 4 << 20
+BOUND_SLACK = 1e-9  # rounding of the bound, so that no pair at the threshold is lost by it
+RUN_ROWS = 4096  # members of a bucket that are sorted together to find the one before
 
 
 def band_shape(threshold: float) -> tuple[int, int]:
@@ -79,7 +81,7 @@ def signatures(owner: np.ndarray, items: np.ndarray, weights: np.ndarray, n: int
     step, place = step.astype(np.int64), place.astype(np.int64)
     time = np.zeros(len(items))
     for i in range(REGISTERS):
-        draw = mix(items + np.uint64(i + 1) * np.uint64(0xD1342543DE82EF95))
+        draw = mix(items + np.uint64((i + 1) * 0xD1342543DE82EF95 % 2**64))
         uniform = ((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
         # of the registers not visited yet, the next comes at rate weight (R - i) / R
         time = time - np.log(uniform) * (REGISTERS / (REGISTERS - i)) / weights
@@ -117,6 +119,46 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (above[at] / x[both] + below[at] / y[both])).sum())
 
 
+class Bags:
+    """The bags of one place, stored one after the other over a common numbering of the shingles."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.bags = bags
+        self.sizes = np.array([len(values) for values, _ in bags], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        vocabulary, self.items = np.unique(np.concatenate([v for v, _ in bags]), return_inverse=True)
+        self.weights = np.concatenate([w for _, w in bags])
+        self.totals = np.add.reduceat(self.weights, self.starts[:-1])
+        self.row = np.zeros(len(vocabulary))
+
+    def bounds(self, i: int, others: np.ndarray) -> np.ndarray:
+        """What the probability Jaccard of bag ``i`` with each of ``others`` can be at most.
+
+        In the sum over j of max(x_j / x_i, y_j / y_i) the items of one side only are exact, and those of
+        both sides count at least max(X / x_i, Y / y_i) with the sums X, Y over them. The bound is the
+        value itself where the two agree on their common items up to a factor, as without repeats.
+        """
+
+        own = slice(self.starts[i], self.starts[i + 1])
+        self.row[self.items[own]] = self.weights[own]
+        sizes = self.sizes[others]
+        owner = np.repeat(np.arange(len(others)), sizes)
+        first = np.cumsum(sizes) - sizes
+        entries = np.arange(len(owner)) + np.repeat(self.starts[others] - first, sizes)
+        x = self.row[self.items[entries]]
+        self.row[self.items[own]] = 0.0
+        both = np.flatnonzero(x)
+        x, y, owner = x[both], self.weights[entries[both]], owner[both]
+        common_x = np.bincount(owner, x, len(others))
+        common_y = np.bincount(owner, y, len(others))
+        only_x, only_y = self.totals[i] - common_x, self.totals[others] - common_y
+        whole = np.maximum(common_x[owner] / x, common_y[owner] / y) + only_x[owner] / x + only_y[owner] / y
+        return np.bincount(owner, 1.0 / whole, len(others))
+
+    def similar(self, i: int, j: int) -> float:
+        return probability_jaccard(self.bags[i], self.bags[j])
+
+
 def _words(hashes: WordHashes, text: bytes) -> np.ndarray:
     return hashes.of(text.lower().split())
 
@@ -276,33 +318,33 @@ def _apart(threshold: float) -> Callable:
 
 
 def _linker(size: int, threshold: float) -> Callable:
-    """Verify close pairs on the texts, closest first, and skip pairs whose classes have met by then:
-    what comes out of a place are at most as many links as it has members."""
+    """Verify close pairs on the texts, skipping pairs whose classes have met by then: what comes out of
+    a place are at most as many links as it has members.
+
+    A member meets all its close partners at once: their bounds are taken together, and only partners
+    that the bound leaves are verified, closest first.
+    """
 
     schema = pa.schema([("_a", pa.binary()), ("_b", pa.binary())])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, hashes = Powers(), WordHashes()
         for rows in _by_place(batches):
-            found = [(i, j, a) for i, others, agree in _close_pairs(rows, threshold) for j, a in zip(others, agree)]
-            bags = [bag(shingles(_words(hashes, t), powers, size)) for t in rows.column("_text").to_pylist()]
-            roots = np.unique(np.array(rows.column("_root").to_pylist(), object), return_inverse=True)[1].tolist()
-            parent = list(range(len(roots)))
-
-            def top(i: int, parent: list[int] = parent) -> int:
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
+            bags = Bags([bag(shingles(_words(hashes, t), powers, size)) for t in rows.column("_text").to_pylist()])
             nodes = rows.column("_node").to_pylist()
+            # numbers of the classes as they merge; both arrays follow the rows and stay bounded by the place
+            classes = np.unique(np.array(rows.column("_root").to_pylist(), object), return_inverse=True)[1]
             out: dict[str, list] = {"_a": [], "_b": []}
-            for i, j, _ in sorted(found, key=lambda pair: -pair[2]):
-                x, y = top(roots[i]), top(roots[j])
-                if x != y and probability_jaccard(bags[i], bags[j]) >= threshold:
-                    parent[x] = y
-                    for name, node in zip(("_a", "_b"), sorted((nodes[i], nodes[j]))):
-                        out[name].append(node)
+            for i, others, agree in _close_pairs(rows, threshold):
+                others = others[np.argsort(-agree, kind="stable")]
+                others = others[classes[others] != classes[i]]
+                if len(others):
+                    others = others[bags.bounds(i, others) >= threshold - BOUND_SLACK]
+                for j in others.tolist():
+                    if classes[i] != classes[j] and bags.similar(i, j) >= threshold:
+                        classes[classes == classes[j]] = classes[i]
+                        for name, node in zip(("_a", "_b"), sorted((nodes[i], nodes[j]))):
+                            out[name].append(node)
             if out["_a"]:
                 yield record_batch(out, schema)
 
@@ -314,7 +356,6 @@ class _Graph:
 
     def __init__(self, texts: DataFrame, nodes: DataFrame, size: int, threshold: float) -> None:
         self.texts, self.nodes, self.size, self.threshold = texts, nodes, size, threshold
-        self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
     def found_texts(self, ends: DataFrame) -> DataFrame:
@@ -325,8 +366,16 @@ class _Graph:
         return kept(self.texts.select("_key", "_text").join(wanted, "_key").select("_node", "_text"), "texts")
 
     def add(self, links: DataFrame) -> None:
-        self.links = kept(links if self.links is None else links.unionByName(self.links), "similar")
-        self.roots = connected_components(self.links)
+        """Merge the classes that ``links`` connect: only classes, not the nodes inside them, are linked anew."""
+
+        if self.roots is None:
+            self.roots = connected_components(kept(links, "similar"))
+            return
+        ends = _rooted(_rooted(links, self.roots, "_a", "_root_a"), self.roots, "_b", "_root_b")
+        between = ends.where("_root_a <> _root_b").select(F.col("_root_a").alias("_a"), F.col("_root_b").alias("_b"))
+        merged = connected_components(kept(between.distinct(), "similar"))
+        moved = _rooted(self.roots.withColumnRenamed("_root", "_before"), merged, "_before", "_root")
+        self.roots = kept(moved.select("_node", "_root").unionByName(merged), "roots")
 
     def verify(self, pairs: DataFrame) -> None:
         """Compare the texts of ``pairs`` (``_a``, ``_b``) and merge what is similar."""
@@ -375,14 +424,16 @@ def near_duplicate_nodes(docs: DataFrame, size: int, threshold: float) -> DataFr
         "nodes",
     )
     members = nodes.select("_node", F.posexplode("_bands").alias("_band", "_bucket"))
-    in_bucket = Window.partitionBy("_band", "_bucket")
+    # the member before is taken within runs of bounded size; it only has to be some other member
+    run = F.pmod(F.xxhash64("_node"), F.ceil(F.col("_size") / RUN_ROWS))
+    in_bucket = Window.partitionBy("_band", "_bucket", "_run")
     sizes = members.groupBy("_band", "_bucket").agg(
         F.count("*").alias("_size"), F.min("_node").alias("_first")
     ).where("_size > 1")
     shared = kept(members.join(sizes, ["_band", "_bucket"]), "shared")
     before = F.lag("_node").over(in_bucket.orderBy("_node"))
     chosen = shared.select("_node", F.col("_first").alias("_other")).unionByName(
-        shared.select("_node", before.alias("_other"))
+        shared.withColumn("_run", run).select("_node", before.alias("_other"))
     )
     pairs = (
         chosen.where("_other < _node")
@@ -403,23 +454,39 @@ def near_duplicate_nodes(docs: DataFrame, size: int, threshold: float) -> DataFr
 def _link_what_is_apart(graph: _Graph, shared: DataFrame, nodes: DataFrame, size: int, threshold: float) -> None:
     """Compare the members of a bucket that are still in different classes, block against block.
 
-    First by signatures, which leaves the members that may have a partner; then on their texts. Blocks
+    Members of the largest class of a bucket meet the others only, not each other, so a hot bucket with
+    few outliers costs its size times their number. First by signatures, which leaves the members that may have a partner; then on their texts. Blocks
     are bounded in rows and in text, so a bucket of any size is many tasks of bounded memory.
     """
 
     members = shared.select("_band", "_bucket", "_node")
     placed = _rooted(members, graph.roots, "_node", "_root").join(nodes.select("_node", "_bytes"), "_node")
-    rows, volume = F.count("*") / BUCKET_BLOCK, F.sum("_bytes") / BLOCK_TEXT
+    classes = placed.groupBy("_band", "_bucket", "_root").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_v"))
+    most = F.max(F.struct("_n", "_v", "_root"))
+    blocks = lambda n, v: F.ceil(F.greatest(n / BUCKET_BLOCK, v / BLOCK_TEXT))
     mixed = (
-        placed.groupBy("_band", "_bucket")
-        .agg(F.min("_root").alias("_r1"), F.max("_root").alias("_r2"), F.ceil(F.greatest(rows, volume)).alias("_blocks"))
-        .where("_r1 <> _r2")
-        .select("_band", "_bucket", "_blocks")
+        classes.groupBy("_band", "_bucket")
+        .agg(most.alias("_most"), F.sum("_n").alias("_n"), F.sum("_v").alias("_v"), F.count("*").alias("_classes"))
+        .where("_classes > 1")
+        .select(
+            "_band",
+            "_bucket",
+            F.col("_most._root").alias("_largest"),
+            blocks(F.col("_most._n"), F.col("_most._v")).alias("_own"),
+            blocks(F.col("_n") - F.col("_most._n"), F.col("_v") - F.col("_most._v")).alias("_others"),
+        )
     )
+    # blocks of all other classes come first, then those of the largest class, which never meet each other
+    largest = F.col("_root") == F.col("_largest")
+    spot = F.xxhash64("_node")
     blocked = (
         placed.join(mixed, ["_band", "_bucket"])
-        .withColumn("_block", F.pmod(F.xxhash64("_node"), "_blocks"))
-        .withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        .withColumn(
+            "_block",
+            F.when(largest, F.col("_others") + F.pmod(spot, "_own")).otherwise(F.pmod(spot, "_others")),
+        )
+        .withColumn("_meets", F.when(largest, F.col("_others")).otherwise(F.col("_others") + F.col("_own")))
+        .withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_meets") - 1)))
         .withColumn("_low", F.least("_block", "_with"))
         .withColumn("_high", F.greatest("_block", "_with"))
         .join(nodes.select("_node", "_signature", "_bands"), "_node")

@@ -116,6 +116,39 @@ def test_registers_estimate_the_similarity():
     assert np.abs(np.array(estimates) - truths).max() < 0.2
 
 
+def test_bounds_are_never_below_the_value():
+    rng = np.random.default_rng(1)
+    bags = []
+    for k in range(40):
+        items = rng.choice(60, rng.integers(1, 50), replace=False).astype(np.uint64)
+        counts = np.ones(len(items)) if k % 2 else rng.integers(1, 5, len(items)).astype(float)
+        bags.append((np.sort(items), counts))
+    place = near_dedup.Bags(bags)
+    for i in range(40):
+        others = np.array([j for j in range(40) if j != i])
+        bounds = place.bounds(i, others)
+        exact = np.array([probability_jaccard(bags[i], bags[j]) for j in others])
+        assert (bounds >= exact - 1e-12).all()
+        plain = (others % 2 == 1) & (i % 2 == 1)
+        assert np.allclose(bounds[plain], exact[plain])
+    assert place.row.sum() == 0
+
+
+def test_outliers_of_a_large_class_meet_all_of_it(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "RUN_ROWS", 8)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(80):
+        copy = list(base)
+        for _ in range(1 if i < 60 else rng.randrange(2, 7)):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    mine = near_duplicates(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA)).collect()
+    assert sorted((tuple(r) for r in mine), key=repr) == _classes(rows)
+
+
 def test_the_estimate_hardly_drops_a_pair_at_the_threshold():
     n, similarity = near_dedup.REGISTERS, near_dedup.THRESHOLD
     agree = similarity + (1 - similarity) / 256
