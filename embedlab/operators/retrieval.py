@@ -19,7 +19,8 @@ from embedlab.session import BROADCAST_BYTES, kept_summary, materialize
 
 NORM_FLOOR = 1e-12
 BLOCK_ROWS = 16_384
-CHUNK_ROWS = 1024
+# similarities held at once, and vector cells gathered at once for ties: 8 MB each
+CHUNK_CELLS = 1 << 20
 # dot products closer than this to the truth are compared again in one fixed order
 TIE_BAND = 1e-9
 
@@ -65,19 +66,29 @@ def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(a * b, axis=1)[:, -1] + 0.0
 
 
-def _count_above(p: np.ndarray, r: np.ndarray, bar: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Per row of ``p``: rows of ``r`` whose product is above ``bar``, where ``other`` holds.
+def _count_above(
+    p: np.ndarray, r: np.ndarray, bar: np.ndarray, own: np.ndarray, others: np.ndarray
+) -> np.ndarray:
+    """Per row of ``p``: rows of ``r`` under another key whose product is above ``bar``.
 
-    Products within the tie band are computed again in the order ``bar`` was.
+    Products within the tie band are computed again in the order ``bar`` was. Memory beside the two
+    blocks is bounded by ``CHUNK_CELLS``, whatever their sizes and however many products tie.
     """
 
-    similarity = p @ r.T
-    above = similarity > bar[:, None]
-    rows, columns = np.nonzero((np.abs(similarity - bar[:, None]) <= TIE_BAND) & other)
-    for start in range(0, len(rows), 100_000):
-        a, b = rows[start : start + 100_000], columns[start : start + 100_000]
-        above[a, b] = _ordered_dot(p[a], r[b]) > bar[a]
-    return (above & other).sum(axis=1)
+    greater = np.zeros(len(p), dtype=np.int64)
+    step = max(1, CHUNK_CELLS // max(1, len(r)))
+    pairs = max(1, CHUNK_CELLS // max(1, p.shape[1]))
+    for begin in range(0, len(p), step):
+        part, level = p[begin : begin + step], bar[begin : begin + step]
+        other = own[begin : begin + step, None] != others
+        similarity = part @ r.T
+        above = similarity > level[:, None]
+        rows, columns = np.nonzero((np.abs(similarity - level[:, None]) <= TIE_BAND) & other)
+        for start in range(0, len(rows), pairs):
+            a, b = rows[start : start + pairs], columns[start : start + pairs]
+            above[a, b] = _ordered_dot(part[a], r[b]) > level[a]
+        greater[begin : begin + step] = (above & other).sum(axis=1)
+    return greater
 
 
 def truth_rank(
@@ -144,11 +155,8 @@ def rank_matched(
         greater = np.zeros(mine.num_rows, dtype=np.int64)
         if mine.num_rows and theirs.num_rows:
             p, r = matrix(mine["_p"].combine_chunks()), matrix(theirs["_r"].combine_chunks())
-            bar = mine["truth"].to_numpy()
             own, others = mine[key].to_numpy(), theirs[key].to_numpy()
-            for start in range(0, len(p), CHUNK_ROWS):
-                rows = slice(start, start + CHUNK_ROWS)
-                greater[rows] = _count_above(p[rows], r, bar[rows], own[rows, None] != others)
+            greater = _count_above(p, r, mine["truth"].to_numpy(), own, others)
         return mine.select([*by, key]).append_column("greater", pa.array(greater))
 
     # new attribute ids: both sides may come from the same table

@@ -1,6 +1,7 @@
 """Operators against NumPy, brute force and stated edge cases."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -486,6 +487,20 @@ def test_ranks_with_ties(spark, block_rows):
     assert row["chance_top1"] == 1 / 60
 
 
+def test_ranks_in_bounded_memory():
+    p = np.random.default_rng(13).normal(size=(600, 64))
+    p[:300] = p[0]  # copies: tens of thousands of ties
+    r, keys = np.concatenate([p] * 25), np.arange(600)
+    bar, others = retrieval._ordered_dot(p, p), np.tile(keys, 25)
+    tracemalloc.start()
+    got = retrieval._count_above(p, r, bar, keys, others)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    similarity = retrieval._ordered_dot(np.repeat(p, 600, 0), np.tile(p, (600, 1))).reshape(600, 600)
+    assert list(got) == list(25 * (similarity > bar[:, None]).sum(axis=1))
+
+
 def test_pooling_both_ways(spark, sample):
     x, _, df = sample
     wide = retrieval.mean_pool(df, ["grp"], ["x"]).orderBy("grp").collect()
