@@ -40,6 +40,7 @@ FIR_KERNEL = (0.5, 0.25, 0.125, 0.0625, 0.0625)
 LEFT = 3
 LAMBDAS = (0.0, 0.25, 0.5, 0.75, 1.0)
 BLOCKS = 8
+FILE_ROWS = 100_000
 
 
 def _r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -1002,8 +1003,11 @@ def mlp_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pair_files(spark: SparkSession, pairs: DataFrame, parts: int) -> str:
+    """At least ``parts`` files of at most ``FILE_ROWS`` pairs, written by the tasks that read them."""
+
     out = fresh_path(spark, "pairs")
-    pairs.repartition(parts).write.parquet(out)
+    limit = min(FILE_ROWS, max(1, -(-pairs.count() // parts)))
+    pairs.write.option("maxRecordsPerFile", limit).parquet(out)
     return out
 
 
@@ -1050,8 +1054,8 @@ def stream_unit_stats(spark: SparkSession, d: str) -> DataFrame:
         F.floor(F.col("vec_id") / 50).alias("batch_id"), "x", "y"
     )
     out_files = fresh_path(spark, "pairs")
-    # one batch is never split over files
-    pairs.repartition(4, "batch_id").write.parquet(out_files)
+    # one batch is never split over files; their number follows the rows
+    pairs.repartition(max(4, -(-pairs.count() // FILE_ROWS)), "batch_id").write.parquet(out_files)
     stream = statistics.read_pair_stream(spark, out_files, pairs.schema, 1)
     out = fresh_path(spark, "partials")
     statistics.write_partial_moments(

@@ -1,9 +1,12 @@
 """Streams give what the batch gives."""
 
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
 
 from embedlab.operators import moments as mom
-from embedlab.plans import views
+from embedlab.plans import catalogue, views
 from embedlab.streaming import statistics
 
 
@@ -62,3 +65,19 @@ def test_cap_stops_reading(spark, files, tmp_path):
         statistics.read_pair_stream(spark, out, pairs.schema, 1), kept, offsets, 200
     )
     assert again == written
+
+
+def test_files_of_a_stream_follow_the_rows(spark, folder, tmp_path, monkeypatch):
+    pairs = views.lineitem_pairs(spark, folder)
+    few = catalogue._pair_files(spark, pairs, 6)
+    assert spark.read.parquet(few).count() == pairs.count()
+    assert len(list(Path(few.removeprefix("file://")).glob("part-*"))) >= 6
+    monkeypatch.setattr(catalogue, "FILE_ROWS", 100)
+    many = catalogue._pair_files(spark, pairs, 6)
+    sizes = [pq.read_metadata(f).num_rows for f in Path(many.removeprefix("file://")).glob("part-*")]
+    assert sum(sizes) == pairs.count() and max(sizes) <= 100
+    # the folder of the stream that is cut by its batches
+    monkeypatch.setattr(catalogue, "fresh_path", lambda spark, label: str(tmp_path / label))
+    catalogue.stream_unit_stats(spark, folder)
+    sizes = [pq.read_metadata(f).num_rows for f in (tmp_path / "pairs").glob("part-*")]
+    assert len(sizes) > 1 and sum(sizes) == views.pairs(spark, folder).count()
